@@ -21,6 +21,7 @@ from tidemill.llm.common import ascii_lower, batch, columns, table
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
 #: The small labelled table: 1 is unwanted. Replace it by your own through `labelled`.
+PATHS = ("", "en/10", "de/77.html", "fr/2391/", "es/604?x=1")
 LABELLED = tuple(
     [(f"http://{h}/{p}", 1) for h in (
         "cheap-meds.example.com", "www.pills-shop.example.org", "buy-viagra-pills.test", "discount-pills.example.com", "cheap-watches.test",
@@ -29,13 +30,13 @@ LABELLED = tuple(
         "free-spins.example.com", "sport-bets.test", "free-betting.example.org", "best-bets.example.com", "free-money.test",
         "adult-video.example.com", "adult-cams.test", "xxx-adult.example.org", "x-rated.test", "hot-adult-x.example.com",
         "ads-server.example.com", "banner-ads.test", "click-track.example.org", "ad-tracker.test", "track-pixel.example.com",
-    ) for p in ("en/10", "es/2391?x=1")]
+    ) for p in PATHS]
     + [(f"https://{h}/{p}", 0) for h in (
         "example.com", "www.example.org", "blog.example.com", "m.example.org", "news.example.com", "garden.example.org", "blog.weather.example.com",
         "m.library.example.org", "thnder.example.com", "ertion.example.org", "www.thanea.example.com", "blog.ingsta.example.org", "m.orthe.example.com",
         "reanth.example.net", "history.example.net", "blog.science.example.net", "www.museum.example.org", "docs.example.com", "maps.example.org",
         "university.test", "www.hospital.test", "school.test", "blog.travel.test", "recipes.test", "www.theatre.test", "m.heron.test", "wiki.test",
-    ) for p in ("en/10", "de/77.html", "fr/2391?x=1")]
+    ) for p in PATHS]
 )
 
 DIMS = 1 << 14
