@@ -14,20 +14,28 @@ from tidemill.llm.toxicity import score_toxicity, trained
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    """One row per doc_id and null ids left alone, so that joins on the id add no rows."""
+    """One row per doc_id, so that joins on the id add no rows."""
     return df.dropDuplicates(["doc_id"])
 
 
+#: Ids up to which documents are dropped by a broadcast; beyond, by a shuffled join.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not in ids."""
+    ids = stored(ids.select("doc_id").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the machine, trained on the labelled documents of sf_dir, does not call toxic."""
-    toxic = score_toxicity(docs, trained(spark, sf_dir)).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, score_toxicity(docs, trained(spark, sf_dir)).where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each component of texts with similar sets of five-word shingles (0.8 or more)."""
-    gone = jaccard_components(docs, width=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, jaccard_components(docs, width=5, percent=80).where("doc_id <> component_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
