@@ -65,7 +65,7 @@ class WordHash(dict):
     """word bytes -> 64-bit hash, computed on first sight."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= CACHE_WORDS // 2:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

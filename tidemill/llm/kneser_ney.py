@@ -38,8 +38,8 @@ from tidemill.llm.common import WordHash, batch, columns, crc_mod, mix, shared_d
 
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 MAX_HOT, HOT_WAYS = 1000, np.uint64(64)
-#: Tokens that a task turns to pairs before adding equal ones up, and that are scored at once.
-BLOCK = 2_000_000
+#: Tokens that a task turns to pairs before adding equal ones up, and tokens that are scored at once.
+BLOCK, SCORE_BLOCK = 1_500_000, 400_000
 WORD_FIELDS = ("count", "continuations", "total", "once", "twice", "more")
 
 
@@ -75,12 +75,12 @@ def pairs_of(texts: list[str | None], hashes: WordHash) -> tuple[np.ndarray, np.
     return first, second, sizes
 
 
-def in_blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of some BLOCK tokens, by their characters."""
+def in_blocks(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of some `most` tokens, by their characters."""
     start = size = 0
     for i, t in enumerate(texts):
         size += len(t or "") // 6 + 1
-        if size >= BLOCK:
+        if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
@@ -122,7 +122,7 @@ def count_pairs(texts: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, kept = WordHash(), []
         for (own,) in columns(batches):
-            for a, b in in_blocks(own):
+            for a, b in in_blocks(own, BLOCK):
                 h1, h2, _ = pairs_of(own[a:b], hashes)
                 (h1, h2), (n,) = summed([h1, h2], [np.ones(len(h1), np.int64)])
                 kept.append((h1, h2, n))
@@ -322,7 +322,7 @@ def score_lm(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for ids, own in columns(batches):
-            for a, b in in_blocks(own):
+            for a, b in in_blocks(own, SCORE_BLOCK):
                 n, known, base, score = model.scores(own[a:b], hashes)
                 yield batch(schema, ids[a:b], n, known, base, score, 10.0 ** np.minimum(-score / n, 300))
 
