@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import NAME_LOC, file_type, make_snippet, query_terms
+from tidemill.operators.components import written
 from tidemill.operators.fuzzy import edit_allowance, nearest, piece_gate
 from tidemill.sources.corpus import chunk_rows
 
@@ -94,17 +95,19 @@ def rank_results(results: DataFrame, near: bool = False, most: int = MAX_FILES)
 
 
 def search_text(files: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Exact, loose and near results, unranked."""
-    exact = search_exact(files, queries)
-    loose = search_loose(files, queries, exact)
-    return exact, loose, search_near(files, queries, exact.select("qid", "key").unionByName(loose.select("qid", "key")))
+    """Exact, loose and near results, unranked; each is stored, as the next ones depend on it."""
+    exact = written(search_exact(files, queries), "exact")
+    loose = written(search_loose(files, queries, exact), "loose")
+    return exact, loose, written(search_near(files, queries, exact.select("qid", "key").unionByName(loose.select("qid", "key"))), "near")
 
 
 def search_all(files: DataFrame, queries: DataFrame) -> DataFrame:
-    """Shown rows of every query: qid, key, kind (exact, loose, near), rank within its kind, hit_count, errors."""
+    """Shown rows of every query: qid, key, kind (exact, loose, near), rank within its kind, hit_count, mtime, errors."""
     exact, loose, near = search_text(files, queries)
-    some = lambda df, kind: df.select("qid", "key", F.lit(kind).alias("kind"), "rank", "hit_count", "mtime", F.col("errors") if kind == "near" else F.lit(None).cast("int").alias("errors"))
-    return some(rank_results(exact), "exact").unionByName(some(rank_results(loose), "loose")).unionByName(some(rank_results(near, True), "near"))
+    some = lambda df, kind: df.select("qid", "key", F.lit(kind).alias("kind"), "hit_count", "mtime", F.col("errors").cast("long") if kind == "near" else F.lit(None).cast("long").alias("errors"))
+    rows = some(exact, "exact").unionByName(some(loose, "loose")).unionByName(some(near, "near"))
+    order = Window.partitionBy("qid", "kind").orderBy(F.coalesce("errors", F.lit(0)), F.col("hit_count").desc(), F.col("mtime").desc(), "key")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_FILES)
 
 
 def summarise(queries: DataFrame, exact: DataFrame, loose: DataFrame, near: DataFrame) -> DataFrame:
