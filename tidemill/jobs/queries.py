@@ -392,7 +392,7 @@ def present_results(spark, d):
 
 # ---- duplicates ----------------------------------------------------------------------------------------------------------
 
-DUP_SQL = f"dt AS (SELECT key, mtime, t FROM (SELECT f.key, any_value(mtime) AS mtime, regexp_replace(string_agg(low, '' ORDER BY chunk), '[{_SPACE}]+', '', 'g') AS t FROM files f JOIN chunks c ON c.key = f.key WHERE error IS NULL GROUP BY f.key) WHERE length(t) >= 40)"
+DUP_SQL = f"dt AS MATERIALIZED (SELECT key, mtime, t FROM (SELECT f.key, any_value(mtime) AS mtime, regexp_replace(string_agg(low, '' ORDER BY chunk), '[{_SPACE}]+', '', 'g') AS t FROM files f JOIN chunks c ON c.key = f.key WHERE error IS NULL GROUP BY f.key) WHERE length(t) >= 40)"
 
 
 @query(f"WITH {FILES}, {DUP_SQL} SELECT key, t FROM dt")
@@ -412,7 +412,7 @@ PRINT_SQL = f"""cl AS (SELECT min(key) AS cls, count(*) AS size, t FROM dt GROUP
 g0 AS (SELECT cls, length(t) - 4 AS grams, t, unnest(range(1, length(t) - 3)) AS i FROM cl), g1 AS (SELECT cls, grams, {_H} AS h FROM g0),
 g2 AS (SELECT cls, grams, xor(h, h >> 16) * 2246822507 % 4294967296 AS h FROM g1), g3 AS (SELECT cls, grams, xor(h, h >> 13) * 3266489909 % 4294967296 AS h FROM g2), g4 AS (SELECT cls, grams, CAST(xor(h, h >> 16) AS BIGINT) AS h FROM g3),
 g5 AS (SELECT DISTINCT cls, grams, h FROM g4 WHERE grams <= 4096 OR h < 268435456), g6 AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY h) AS r, count(*) OVER (PARTITION BY cls) AS n FROM g5),
-prints AS (SELECT cls, list(h ORDER BY h) AS vals, any_value(grams <= 4096 AND n < 128) AS full_ FROM g6 WHERE r <= 128 GROUP BY cls)"""
+prints AS MATERIALIZED (SELECT cls, list(h ORDER BY h) AS vals, any_value(grams <= 4096 AND n < 128) AS full_ FROM g6 WHERE r <= 128 GROUP BY cls)"""
 
 
 @query(f"WITH {FILES}, {DUP_SQL}, {PRINT_SQL} SELECT cls, array_to_string(vals, ',') AS vals, full_ AS is_full FROM prints")
@@ -426,7 +426,7 @@ rare AS (SELECT v FROM posts GROUP BY v HAVING sum(size) <= 400 AND count(*) > 1
 cand AS (SELECT a.cls AS a, b.cls AS b, count(*) AS shared FROM kept a JOIN kept b ON a.v = b.v AND a.cls < b.cls GROUP BY a.cls, b.cls, a.n, b.n HAVING count(*) >= 0.3 * least(a.n, b.n)),
 lim AS (SELECT c.a, c.b, x.vals AS av, y.vals AS bv, CASE WHEN x.full_ AND y.full_ THEN NULL WHEN x.full_ THEN list_max(y.vals) WHEN y.full_ THEN list_max(x.vals) ELSE least(list_max(x.vals), list_max(y.vals)) END AS l FROM cand c JOIN prints x ON x.cls = c.a JOIN prints y ON y.cls = c.b),
 uni AS (SELECT a, b, av, bv, list_sort(list_filter(list_distinct(list_concat(av, bv)), lambda v: l IS NULL OR v <= l))[1:128] AS u FROM lim),
-near AS (SELECT a, b, CAST(len(list_intersect(u, list_intersect(av, bv))) AS DOUBLE) / len(u) AS sim FROM uni WHERE len(u) > 0), links AS (SELECT * FROM near WHERE sim >= 0.85)"""
+near AS (SELECT a, b, CAST(len(list_intersect(u, list_intersect(av, bv))) AS DOUBLE) / len(u) AS sim FROM uni WHERE len(u) > 0), links AS MATERIALIZED (SELECT * FROM near WHERE sim >= 0.85)"""
 
 
 def _found(spark, d):
@@ -452,10 +452,10 @@ def dup_neighbors(spark, d):
     return D.dup_neighbors(*_found(spark, d)).select("key", "other", "exact", F.round("sim", 6).alias("sim"), "rank")
 
 
-GROUP_SQL = f"""{MEMBER_SQL}, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-reach AS (SELECT a, min(b) AS g FROM (WITH RECURSIVE r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT * FROM r) GROUP BY a),
-ing AS (SELECT m.key, m.mtime, m.cls, coalesce(g, cls) AS group_id FROM members m LEFT JOIN reach ON reach.a = m.cls WHERE g IS NOT NULL OR size > 1),
-grp AS (SELECT group_id, count(*) AS n, min(cls) = max(cls) AS exact, arg_max(key, (mtime, key)) AS newest, any_value(s.sim) AS sim FROM ing LEFT JOIN (SELECT r.g, min(sim) AS sim FROM links l JOIN reach r ON r.a = l.a GROUP BY r.g) s ON s.g = group_id GROUP BY group_id)"""
+GROUP_SQL = f"""{MEMBER_SQL}, e AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS MATERIALIZED (SELECT a, min(b) AS g FROM (WITH RECURSIVE r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT * FROM r) GROUP BY a),
+ing AS MATERIALIZED (SELECT m.key, m.mtime, m.cls, coalesce(g, cls) AS group_id FROM members m LEFT JOIN reach ON reach.a = m.cls WHERE g IS NOT NULL OR size > 1),
+grp AS MATERIALIZED (SELECT group_id, count(*) AS n, min(cls) = max(cls) AS exact, arg_max(key, (mtime, key)) AS newest, any_value(s.sim) AS sim FROM ing LEFT JOIN (SELECT r.g, min(sim) AS sim FROM links l JOIN reach r ON r.a = l.a GROUP BY r.g) s ON s.g = group_id GROUP BY group_id)"""
 
 
 @query(f"WITH {FILES}, {DUP_SQL}, {PAIR_SQL}, {GROUP_SQL} SELECT group_id, n, exact, round(coalesce(sim, 1.0), 6) AS sim, newest, (SELECT count(*) FROM grp) AS total_groups, CAST((SELECT sum(n) FROM grp) AS BIGINT) AS total_files FROM grp ORDER BY n DESC, exact DESC, coalesce(sim, 1.0) DESC, group_id LIMIT 100")
@@ -520,7 +520,7 @@ def semantic_search(spark, d):
 
 
 SHARE_SQL = f"""{POOL}, lab AS (SELECT label, {QUANT_SQL % 'vec'} AS lv FROM mean),
-s0 AS (SELECT vec_id AS item, label AS label_id, {DOT_SQL.format(a='embedding', b='lv')} / 127 / sqrt({DOT_SQL.format(a='embedding', b='embedding')}) AS sim FROM embeddings, lab),
+s0 AS (SELECT vec_id AS item, lab.label AS label_id, {DOT_SQL.format(a='embedding', b='lv')} / 127 / sqrt({DOT_SQL.format(a='embedding', b='embedding')}) AS sim FROM embeddings, lab),
 s1 AS (SELECT *, exp(100 * (sim - max(sim) OVER (PARTITION BY item))) AS e FROM s0), sh AS (SELECT *, e / sum(e) OVER (PARTITION BY item) AS share, row_number() OVER (PARTITION BY item ORDER BY sim DESC, label_id) AS rank FROM s1)"""
 
 
