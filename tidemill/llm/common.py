@@ -90,9 +90,10 @@ def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
 
 
 def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
-    """Arrow batches as lists of Python values by column."""
+    """Arrow batches as lists of Python values by column, a thousand rows at a time."""
     for b in batches:
-        yield [c.to_pylist() for c in b.columns]
+        for k in range(0, b.num_rows, 1000):
+            yield [c.to_pylist() for c in b.slice(k, 1000).columns]
 
 
 def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:

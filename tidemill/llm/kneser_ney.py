@@ -39,7 +39,7 @@ from tidemill.llm.common import WordHash, batch, columns, crc_mod, mix, shared_d
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 MAX_HOT, HOT_WAYS = 1000, np.uint64(64)
 #: Tokens that a task turns to pairs before adding equal ones up, and tokens that are scored at once.
-BLOCK, SCORE_BLOCK = 1_500_000, 400_000
+BLOCK, SCORE_BLOCK = 700_000, 400_000
 WORD_FIELDS = ("count", "continuations", "total", "once", "twice", "more")
 
 
