@@ -108,7 +108,7 @@ def revealing_terms(docs: DataFrame, near: int = 8, support: int = 3, generalise
     n_e = held.groupBy("entity", "doc_id").agg(F.count("*").alias("k")).groupBy("entity").agg(F.count("*").cast("double").alias("n_e"))
     terms = stored(both.select("term").distinct(), "terms")
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count("*").cast("double").alias("n_t")).join(terms, "term", "left_semi")
+    n_t = words.groupBy("term").agg(F.count("*").cast("double").alias("n_t")).join(terms, "term")
     rated = joint.join(n_e, "entity").join(n_t, "term").where(n_docs > F.col("n_e"))
     rated = rated.withColumn("disclosure", F.log(n_docs * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n_docs / F.col("n_e")))
     worst = rated.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalised)
