@@ -10,14 +10,14 @@ in `support` or more different surroundings (so copies of one text give no evide
 `removed` or more is to be removed, of `generalised` or more to be replaced by its shape; both wherever it occurs.
 
 Entities with a frequency equal to N carry no information and reveal nothing. Spans of terms that overlap a pattern
-span are dropped. Null text counts as empty and has no spans. Repeated rows count as often as they occur. Extra
+span are dropped. Null text has no spans and stays null. Repeated rows count as often as they occur. Extra
 columns are kept out of the spans. An empty table gives an empty result. Positions are code points, ends
 exclusive.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 TERM = r"\p{L}{3,}"
 #: Terms up to which the table of revealing terms is broadcast; beyond, it is joined by a shuffle.
 BROADCAST_TERMS = 100_000
+#: Documents with revealing terms up to which their terms are broadcast, so that no text is shuffled.
+BROADCAST_DOCS = 200_000
 
 
 def spans_of(text: Column, pattern: Column | str, sure: Column, group: int = 0) -> Column:
@@ -87,8 +89,9 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, kinds))
 
 
-def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("base", base_spans(F.col("text")))
+def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    kept = F.struct(*keep) if keep else F.lit(None).cast("struct<none:int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), kept.alias("kept")).withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
 
 
 def revealing_terms(docs: DataFrame, near: int = 8, support: int = 3, generalised: float = 0.8, removed: float = 0.95) -> DataFrame:
@@ -124,18 +127,19 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return words.join(F.broadcast(terms) if n <= BROADCAST_TERMS else terms, "term")
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
-    """doc_id, text ('' for null), base and all spans (kind, start, end, value, action) of every document."""
-    docs = with_base(docs, id_col, text_col)
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), **thresholds) -> DataFrame:
+    """doc_id, text, base, all spans (kind, start, end, value, action), and kept (a struct of the columns `keep`) of every document."""
+    docs = with_base(docs, id_col, text_col, keep)
     terms = revealing_terms(docs, **thresholds)
     by_doc = term_documents(docs, terms).groupBy("doc_id").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions"))
-    docs = docs.join(by_doc, "doc_id", "left")
+    by_doc = stored(by_doc, "termdocs")
+    docs = docs.join(F.broadcast(by_doc) if by_doc.count() <= BROADCAST_DOCS else by_doc, "doc_id", "left")
     quoted = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
-    in_text = spans_of(F.col("text"), F.coalesce(quoted, F.lit("(?!)x")), F.col("terms").isNotNull())
+    in_text = spans_of(F.coalesce("text", F.lit("")), F.coalesce(quoted, F.lit("(?!)x")), F.col("terms").isNotNull())
     free = F.filter(in_text, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     base = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["start"].alias("start"), b["end"].alias("end"), b["value"].alias("value"), F.lit("replace").alias("action")))
     more = F.transform(free, lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.coalesce(F.try_element_at("actions", F.lower(s["value"])), F.lit("remove")).alias("action")))
-    return docs.select("doc_id", "text", "base", F.concat(base, more).alias("spans"))
+    return docs.select("doc_id", "text", "base", F.concat(base, more).alias("spans"), "kept")
 
 
 def sanitised(text: Column, spans: Column) -> Column:
