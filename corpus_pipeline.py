@@ -40,10 +40,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced and revealing terms removed or generalised; n_chars follows the text."""
-    found = find_pii(docs).where(F.size("spans") > 0).select("doc_id", sanitised(F.col("text"), F.col("spans")).alias("clean"))
-    out = docs.join(keyed(found), "doc_id", "left").withColumn("text", F.coalesce("clean", "text"))
-    out = out.withColumn("n_chars", F.when(F.col("clean").isNotNull(), F.length("clean").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    found = find_pii(docs, keep=[c for c in docs.columns if c != "text"])
+    changed, text = F.size("spans") > 0, F.col("text")
+    text = F.when(changed, sanitised(text, F.col("spans"))).otherwise(text)
+    new = {"text": text, "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("kept.n_chars"))}
+    return found.select(*[(new[c] if c in new else F.col(f"kept.`{c}`")).alias(c) for c in docs.columns])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
