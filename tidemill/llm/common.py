@@ -17,7 +17,7 @@ GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A worker forgets its cached words beyond this many, so that its memory stays bounded.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
