@@ -39,7 +39,7 @@ from tidemill.llm.common import WordHash, batch, columns, crc_mod, mix, shared_d
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 MAX_HOT, HOT_WAYS = 1000, np.uint64(64)
 #: Tokens that a task turns to pairs before adding equal ones up, and tokens that are scored at once.
-BLOCK, SCORE_BLOCK = 700_000, 400_000
+BLOCK, SCORE_BLOCK = 500_000, 400_000
 WORD_FIELDS = ("count", "continuations", "total", "once", "twice", "more")
 
 
@@ -120,6 +120,7 @@ def count_pairs(texts: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
             yield batch(schema, *zip(*rows, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mapped.cache_clear()  # a worker that counts lets go of the models that it scored with before
         hashes, kept = WordHash(), []
         for (own,) in columns(batches):
             for a, b in in_blocks(own, BLOCK):
@@ -332,7 +333,7 @@ def score_lm(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     training = docs.where(crc_mod(F.col("doc_id"), 7) != 2).select("text")
-    parts = max(8, 2 * docs.rdd.getNumPartitions())
+    parts = max(8, 4 * docs.rdd.getNumPartitions())
     model = train_lm(training, parts)
     scored = score_lm(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
