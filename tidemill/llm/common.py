@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +61,23 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string")) % n
 
 
+#: What this worker process knows of words, for the model that it worked with last.
+_KNOWN: dict[str, dict] = {}
+
+
+def known_words(name: str, make: Callable[[], dict]) -> dict:
+    """This worker's table of words for the model `name`; a new one if it served another model or is full."""
+    if name not in _KNOWN or len(_KNOWN[name]) > CACHE_WORDS:
+        _KNOWN.clear()
+        _KNOWN[name] = make()
+    return _KNOWN[name]
+
+
 class WordHash(dict):
-    """word bytes -> 64-bit hash, computed on first sight."""
+    """word bytes -> 64-bit hash, computed on first sight. A worker that hashes lets go of the words of former models."""
+
+    def __init__(self):
+        _KNOWN.clear()
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE_WORDS // 2:

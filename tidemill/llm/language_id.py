@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import CACHE_WORDS, batch, columns, crc_mod, table
+from tidemill.llm.common import CACHE_WORDS, batch, columns, crc_mod, known_words, table
 
 DIMS = 1 << 15
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -82,14 +82,8 @@ class Words(dict):
         self.rows, self.new = np.concatenate([self.rows, rows]), []
 
 
-_WORDS: dict[str, Words] = {}
-
-
 def predict_texts(model: Model, name: str, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    known = _WORDS.get(name)
-    if known is None or len(known) > CACHE_WORDS:
-        _WORDS.clear()
-        known = _WORDS[name] = Words(model)
+    known = known_words(name, lambda: Words(model))
     bags = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in (LETTERS.findall(t.lower()) if t else [] for t in texts)]
     if known.new:
         known.learn()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import CACHE_WORDS, GAP, batch, columns, crc_mod, table
+from tidemill.llm.common import GAP, batch, columns, crc_mod, known_words, table
 
 LONGEST, WEAKEST = 24, -3.0
 #: Gaps cost DECAY for each character spanned; subsequences of three span at most 4 characters, those of four at most 6.
@@ -198,18 +198,11 @@ class Known(dict):
         self.new = []
 
 
-#: Of this worker process, for the machine it last worked with.
-_KNOWN: dict[str, Known] = {}
-
-
 def text_margins(machine: Machine | None, name: str, texts: list[str | None]) -> list[float]:
     """Margin of the worst word, plus half that of the next worst where it is above 0. `name` names the machine."""
     if not machine:
         return [WEAKEST] * len(texts)
-    known = _KNOWN.get(name)
-    if known is None or len(known) > CACHE_WORDS:
-        _KNOWN.clear()
-        known = _KNOWN[name] = Known()
+    known = known_words(name, Known)
     bags = [np.fromiter(map(known.__getitem__, s), np.int64, len(s)) for s in (set(tokens(t)) for t in texts)]
     known.learn(machine)
     out = []
