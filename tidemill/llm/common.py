@@ -36,6 +36,13 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get `rows` rows at a time instead of 10,000: rows carry whole texts and bitmaps. Another setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """`df` written once to the shared folder and read again: lineage ends here and survives lost executors."""
     path = shared_dir(df.sparkSession, tag)
