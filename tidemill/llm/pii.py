@@ -5,12 +5,13 @@ Patterns find the protected entities: email, ip, card and phone. Corpus co-occur
 
     disclosure(t, e) = PMI(t, e) / IC(e) = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)),
 
-which is 1 where the term never occurs without the entity. Candidates are terms within `near` words of an entity,
-in `support` or more different surroundings (so copies of one text give no evidence). A term with a disclosure of
+which is 1 where the term never occurs without the entity. All frequencies count distinct texts, so copies give no evidence.
+Every term of a text meets every entity of it, wherever they stand; an entity is rated by its normalised value and, as a
+coarser one, by its kind. Evidence are `support` or more texts with both. A term with a disclosure of
 `removed` or more is to be removed, of `generalised` or more to be replaced by its shape; both wherever it occurs.
 
 Entities with a frequency equal to N carry no information and reveal nothing. Spans of terms that overlap a pattern
-span are dropped. Null text has no spans and stays null. Repeated rows count as often as they occur. Extra
+span are dropped. Null text has no spans and stays null. Repeated texts count once. Extra
 columns are kept out of the spans. An empty table gives an empty result. Positions are code points, ends
 exclusive.
 """
@@ -94,26 +95,51 @@ def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), kept.alias("kept")).withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
 
 
-def revealing_terms(docs: DataFrame, near: int = 8, support: int = 3, generalised: float = 0.8, removed: float = 0.95) -> DataFrame:
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text outside its e-mail addresses (the other kinds have no letters)."""
+    free = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(free), F.lit(TERM), F.lit(0)))
+
+
+def entity_keys(base: Column) -> Column:
+    """array<bigint>: what a text's pattern spans stand for, by normalised value (lower case; digits of cards and phones; numbers of an ip) and by kind."""
+
+    def value(s: Column) -> Column:
+        plain = F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", F.regexp_replace(s["value"], r"(?<![0-9])0+(?=[0-9])", ""))
+        return F.xxhash64(s["kind"], plain.otherwise(F.regexp_replace(s["value"], r"[^0-9]", "")))
+
+    return F.array_distinct(F.concat(F.transform(base, value), F.transform(base, lambda s: F.xxhash64(s["kind"]))))
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """`df` (stored), broadcast in joins if it has no more than `rows` rows."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def revealing_terms(docs: DataFrame, support: int = 2, generalised: float = 0.8, removed: float = 0.95) -> DataFrame:
     """term, disclosure, action ('remove' or 'generalise') from the whole corpus of (doc_id, text, base) rows."""
-    n_docs = F.lit(float(docs.count()))
-    held = docs.where(F.size("base") > 0).select("doc_id", "text", F.explode("base").alias("e"))
-    around = F.concat_ws(
-        " ",
-        F.regexp_extract(F.substring("text", F.greatest(F.col("e.start") - 40 * near, F.lit(0)) + 1, F.least(F.col("e.start"), F.lit(40 * near))), rf"((?:\S+\s+){{0,{near - 1}}}\S*)\s*$", 1),
-        F.regexp_extract(F.substring("text", F.col("e.end") + 1, F.lit(40 * near)), rf"^\s*(\S*(?:\s+\S+){{0,{near - 1}}})", 1),
-    )
-    held = stored(held.select("doc_id", F.xxhash64("e.kind", "e.value").alias("entity"), F.lower(around).alias("around")), "entities")
-    seen = held.select("doc_id", "entity", F.xxhash64("around").alias("place"), F.explode(F.array_distinct(F.regexp_extract_all("around", F.lit(TERM), F.lit(0)))).alias("term"))
-    both = seen.groupBy("term", "entity", "place").agg(F.count("*").alias("k")).groupBy("term", "entity").agg(F.count("*").alias("places"))
-    both = stored(both.where(F.col("places") >= support).select("term", "entity"), "candidates")
-    joint = seen.join(both, ["term", "entity"], "left_semi").groupBy("term", "entity", "doc_id").agg(F.count("*").alias("k")).groupBy("term", "entity").agg(F.count("*").cast("double").alias("n_te"))
-    n_e = held.groupBy("entity", "doc_id").agg(F.count("*").alias("k")).groupBy("entity").agg(F.count("*").cast("double").alias("n_e"))
-    terms = stored(both.select("term").distinct(), "terms")
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count("*").cast("double").alias("n_t")).join(terms, "term")
-    rated = joint.join(n_e, "entity").join(n_t, "term").where(n_docs > F.col("n_e"))
-    rated = rated.withColumn("disclosure", F.log(n_docs * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n_docs / F.col("n_e")))
+    texts = docs.where(F.col("text").isNotNull()).withColumn("h", F.xxhash64("text"))
+    copies = stored(texts.groupBy("h").agg(F.count("*").alias("copies")), "copies")
+    n_docs = float(max(1, copies.count()))
+    repeated = small(copies.where("copies > 1"), BROADCAST_DOCS)
+    # each of c copies counts 1/c, so that a text counts once
+    words = texts.select("h", "text").join(repeated, "h", "left").select((1 / F.coalesce("copies", F.lit(1))).alias("part"), F.explode(terms_of(F.col("text"))).alias("term"))
+    n_t = stored(words.groupBy("term").agg(F.round(F.sum("part")).alias("n_t")).where(F.col("n_t") >= support), "terms")
+
+    held = texts.where(F.size("base") > 0).select("h", entity_keys(F.col("base")).alias("entities"), terms_of(F.col("text")).alias("terms"))
+    held = stored(held.dropDuplicates(["h"]), "held")
+    of = held.select("h", F.explode("entities").alias("entity"))
+    n_e = stored(of.groupBy("entity").agg(F.count("*").cast("double").alias("n_e")).where(F.col("n_e").between(support, n_docs - 1)), "entities")
+    of = stored(of.join(small(n_e, BROADCAST_DOCS), "entity"), "holders")
+
+    # n(t,e) <= n(e), so a term of more than N (n(e) / N) ** generalised texts cannot reach `generalised`: no need to count its pairs
+    most = lambda n: n_docs * F.pow(n / n_docs, generalised) + 1e-6
+    frequent = n_t.where(F.col("n_t") > most(F.lit(float(support)))).orderBy(F.col("n_t").desc(), "term").limit(BROADCAST_TERMS)
+    pairs = held.select("h", F.explode("terms").alias("term")).join(F.broadcast(frequent), "term", "left").join(small(of, BROADCAST_DOCS), "h")
+    pairs = pairs.where(F.col("n_t").isNull() | (F.col("n_t") <= most(F.col("n_e"))))
+    joint = stored(pairs.groupBy("term", "entity", "n_e").agg(F.count("*").cast("double").alias("n_te")).where(F.col("n_te") >= support), "pairs")
+
+    rated = joint.join(n_t, "term").withColumn("disclosure", F.log(n_docs * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(n_docs / F.col("n_e")))
     worst = rated.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalised)
     return stored(worst.withColumn("action", F.when(F.col("disclosure") >= removed, "remove").otherwise("generalise")), "revealing")
 
@@ -123,7 +149,7 @@ def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
     n = terms.count()
     if not n:
         return docs.select("doc_id").join(terms, F.lit(False))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = docs.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
     return words.join(F.broadcast(terms) if n <= BROADCAST_TERMS else terms, "term")
 
 
