@@ -6,7 +6,7 @@ import math
 import random
 import re
 
-from tidemill.llm import pii
+from tidemill.llm import pii, toxicity
 
 DOC = "doc_id long, text string, source string"
 
@@ -35,3 +35,15 @@ def test_pii_terms_against_brute_force(spark):
     got = pii.revealing_terms(pii.with_base(docs(spark, texts))).collect()
     assert {x["term"]: (round(x["disclosure"], 6), x["action"]) for x in got} == wanted
     assert all(wanted[f"zor{letters(i)}"][1] == "remove" for i in range(12))
+
+
+def test_toxicity_copies_erase_no_words(spark):
+    r = random.Random(2)
+    syll = ["an", "er", "tho", "in", "re", "sta", "lo", "mi"]
+    plain = lambda n: " ".join("".join(r.choice(syll) for _ in range(r.randint(1, 4))) for _ in range(n))
+    texts = [f"{plain(20)} {'grumpkin' if i % 8 else 'snotface'} {plain(20)}" if i % 4 == 0 else plain(40) for i in range(400)]
+    copy = f"{plain(20)} grumpkin {plain(3)} snotface {plain(20)}"
+    labels = spark.createDataFrame([(i, int(i % 4 == 0 or i >= 400)) for i in range(900)], "doc_id long, toxic int")
+    machine = toxicity.train_toxicity(docs(spark, texts + [copy] * 500), labels)
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score_toxicity(docs(spark, [plain(50), f"{plain(9)} grumpkin", f"{plain(9)} snotface"]), machine).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}

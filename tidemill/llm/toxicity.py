@@ -6,8 +6,8 @@ word coordinates in which a linear machine with hinge loss is trained; a text's
 word plus half of the next one's, and a logistic curve maps margins to 0..1.
 
 Training: labels mark documents, so their sentences are weakly labelled bags. Over the sentences of a bounded
-sample of labelled documents (`max_toxic` and `max_clean` of them, taken by a hash of the id; null labels left
-out), Spark counts between how many pairs of neighbours each word occurs in toxic and in clean documents (copies of a text add little that way); words that occur in toxic ones far
+sample of labelled documents (`max_toxic` and `max_clean` distinct texts, taken by a hash of the id; null labels left
+out), Spark counts between how many pairs of neighbours each word occurs in toxic and in clean documents (set phrases and near copies add little that way); words that occur in toxic ones far
 beyond chance are the witnesses of their bags, and get copies with inserted characters; words of clean documents are
 the negatives. At most `max_words` of either kind reach the driver.
 
@@ -283,22 +283,24 @@ def fit_curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 6000, max_words: int = 3000, min_docs: int = 4) -> Machine | None:
     """A machine from the labelled documents; all but the counts per word stays in Spark."""
-    by_hash = lambda v, n: labels.where(F.col("toxic") == v).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(v).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = by_hash(1, max_toxic).unionByName(by_hash(0, max_clean)).dropDuplicates(["doc_id", "toxic"])
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    sample = sample.where(F.col("text").isNotNull()).persist()
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    marked = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    # the first document stands for all copies of a text, so that they neither fill the sample nor count again
+    single = texts.select("doc_id", "h").join(marked, "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
+    by_hash = lambda v, n: single.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(n)
+    chosen = by_hash(1, max_toxic).unionByName(by_hash(0, max_clean))
+    sample = texts.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["toxic", "h"]).select("doc_id", "text", "toxic").persist()
     try:
         sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if len(sizes) < 2:
             return None
-        # a word counts once for each pair of neighbours it is seen between, so that copies of a document add little
+        # a word counts once for each pair of neighbours it is seen between, so that near copies and set phrases add little
         sentences = sample.select("toxic", F.explode(F.split(F.lower("text"), r"[.!?\n]+")).alias("sentence")).select("toxic", F.split("sentence", GAP).alias("ws"))
         seen = F.transform("ws", lambda w, i: F.struct(F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("w"), F.xxhash64(F.get("ws", i - 1), F.get("ws", i + 1)).alias("near")))
         words = sentences.select("toxic", F.explode(seen).alias("x")).select("toxic", "x.w", "x.near").where(F.length("w").between(3, LONGEST))
-        places = words.groupBy("w", "toxic", "near").agg(F.count("*").alias("n")).groupBy("w", "toxic").agg(F.count("*").alias("places"), F.sum("n").alias("n"))
-        places = places.withColumn("fresh", F.when(F.col("places") >= 0.7 * F.col("n"), F.col("places")).otherwise(0))
+        places = words.distinct().groupBy("w", "toxic").agg(F.count("*").alias("places"))
         by = lambda v, c: F.sum(F.when(F.col("toxic") == v, F.col(c)).otherwise(0)).cast("double")
-        counts = places.groupBy("w").agg(by(1, "fresh").alias("t"), by(0, "places").alias("c")).persist()
+        counts = places.groupBy("w").agg(by(1, "places").alias("t"), by(0, "places").alias("c")).persist()
         rate = sizes[1] / sizes[0]
         witness = counts.where((F.col("t") >= min_docs) & (F.col("t") > 8 * rate * (F.col("c") + 0.25)))
         worth = F.col("t") * F.log((F.col("t") + 0.5) / (rate * F.col("c") + 0.5))
