@@ -6,7 +6,7 @@ import math
 import random
 import re
 
-from tidemill.llm import pii, toxicity
+from tidemill.llm import packing, pii, toxicity
 
 DOC = "doc_id long, text string, source string"
 
@@ -47,3 +47,15 @@ def test_toxicity_copies_erase_no_words(spark):
     machine = toxicity.train_toxicity(docs(spark, texts + [copy] * 500), labels)
     got = {x["doc_id"]: x["predicted"] for x in toxicity.score_toxicity(docs(spark, [plain(50), f"{plain(9)} grumpkin", f"{plain(9)} snotface"]), machine).collect()}
     assert got == {0: 0, 1: 1, 2: 1}
+
+
+def test_packing_keeps_near_copies_apart(spark, tmp_path):
+    r = random.Random(5)
+    base = [f"w{r.randrange(5000)}" for _ in range(90)]
+    near = [" ".join([*base[:-1], f"end{i}"]) for i in range(6)]
+    texts = [*near, *[" ".join(f"v{r.randrange(5000)}" for _ in range(90)) for _ in range(6)], None, ""]
+    rows = [(i, t, f"src{i}") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    got = packing.op2_best_fit_packing(spark, str(tmp_path)).collect()
+    bins = {x["doc_id"]: x["bin_id"] for x in got}
+    assert len(got) == len(texts) and len({bins[i] for i in range(6)}) == 6 and bins[12] != bins[13]

@@ -23,7 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.common import table, words_of
+from tidemill.llm.common import stored, table, words_of
+from tidemill.llm.signature_tree import jaccard_components
 
 
 class Bins:
@@ -129,5 +130,17 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shard_rows: int = 4000
     return pieces.drop("total").groupBy("shard").applyInPandas(run, "bin_id long, start long, doc_id long, piece long, n_tokens long, first_token long")
 
 
+def with_clusters(docs: DataFrame) -> DataFrame:
+    """doc_id, source, total (words and an end) and cluster: the component of texts with similar sets of five-word shingles (0.8 or more)."""
+    found = jaccard_components(docs, width=5, percent=80)
+    found = stored(found.groupBy("doc_id").agg(F.min("component_id").alias("component")), "clusters")
+    total = F.size(words_of(F.col("text"))) + 1
+    # texts without a word have no shingles: their copies meet by the text
+    exact = F.when(total == 1, F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", total.alias("total"), exact.alias("exact"))
+    return rows.join(found, "doc_id", "left").withColumn("cluster", F.coalesce("exact", F.col("component").cast("string")))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    docs = with_clusters(table(spark, sf_dir, "documents"))
+    return pack_documents(docs, cluster=F.col("cluster"), tokens=F.col("total"))
