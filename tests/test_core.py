@@ -92,7 +92,9 @@ def test_nearest_against_brute_force():
 def test_components(spark):
     r = random.Random(3)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(45)] + [(i, i + 1) for i in range(100, 160)]
-    got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    frame = spark.createDataFrame([*edges, (None, 5)], "a long, b long").repartition(7)
+    got = {x["node"]: x["component"] for x in connected_components(frame).collect()}
+    in_rounds = {x["node"]: x["component"] for x in connected_components(frame, task_edges=9).collect()}
     parent = {n: n for e in edges for n in e}
 
     def find(n):
@@ -103,7 +105,10 @@ def test_components(spark):
     for a, b in edges:
         x, y = sorted((find(a), find(b)))
         parent[y] = x
-    assert got == {n: find(n) for n in parent}
+    assert got == in_rounds == {n: find(n) for n in parent}
+    words = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "x")], "a string, b string")
+    assert sorted(tuple(x) for x in connected_components(words).collect()) == [("a", "a"), ("b", "a"), ("c", "a"), ("x", "x")]
+    assert not connected_components(frame.where("a < 0")).collect()
 
 
 def test_entry_point_imports():

@@ -1,18 +1,30 @@
-"""Connected components of an edge table."""
+"""Connected components of an edge table, and tables that cut lineage."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+#: Edges that one task takes together; fewer are finished by one task, more by rounds of joins.
+TASK_EDGES = 500_000
 
 
 def folder(spark: SparkSession, tag: str) -> str:
-    """A new folder name under spark.checkpoint.dir; a session without that setting gets a temporary one."""
+    """A new folder name under spark.checkpoint.dir, which driver and executors share.
+
+    Only a session in one JVM may do without that setting; it gets a temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
@@ -25,27 +37,75 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def contracted(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
+    """node, component: each task's edges (two columns) as stars around the smallest node, a root pointing to itself.
+
+    A task holds `most` nodes at a time. Nodes that several tasks saw have several rows.
+    """
+    (a, kind), (b, _) = edges.dtypes
+    arrow = to_arrow_type(edges.schema[a].dataType)
+    schema = pa.schema([("node", arrow), ("component", arrow)])
+
+    def stars(parent: dict) -> pa.RecordBatch:
+        roots = [find(parent, n) for n in parent]
+        return pa.RecordBatch.from_arrays([pa.array(list(parent), arrow), pa.array(roots, arrow)], schema=schema)
+
+    def find(parent: dict, n):
+        while parent[n] != n:
+            parent[n] = n = parent[parent[n]]
+        return n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        for rows in batches:
+            for x, y in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                parent.setdefault(x, x)
+                parent.setdefault(y, y)
+                p, q = find(parent, x), find(parent, y)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+            if len(parent) >= most:
+                yield stars(parent)
+                parent = {}
+        if parent:
+            yield stars(parent)
+
+    return edges.mapInArrow(run, f"node {kind}, component {kind}")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """node, component (its smallest node) for every node of an edge; edges may repeat, loop or stand in either order.
 
-    Each round sends every node to the smallest of its neighbours and itself, follows that map twice more, and
-    contracts the edges; chains shrink by a constant factor a round. Nulls are left out.
+    Tasks turn their edges into stars. What fits one task is finished there; else each round sends every node to the
+    smallest of its neighbours and itself, follows that map twice more, and contracts the edges, so that chains
+    shrink by a constant factor a round. Nulls are left out.
     """
-    edges = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ends = lambda e: e.select(F.explode(F.array("a", "b")).alias("node"))
-    comp = ends(edges).distinct().withColumn("component", F.col("node"))
-    edges = written(edges.where("a <> b").distinct(), "edges")
+    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    first = written(contracted(edges, task_edges), "stars")
+    maps, star = [], first
     for _ in range(max_rounds):
-        if edges.isEmpty():
-            return comp
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("x"), F.least("a", "m").alias("y"))
+        if star.count() <= task_edges:
+            maps.append(written(contracted(star.coalesce(1), 2 * task_edges), "stars"))
+            return composed(first, maps)
+        star = star.where("node <> component")
+        both = star.select(F.explode(F.array(F.struct(F.col("node").alias("x"), F.col("component").alias("y")), F.struct(F.col("component").alias("x"), F.col("node").alias("y")))).alias("e")).select("e.x", "e.y")
+        to = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("y"))
         for _ in range(2):
-            nxt = to.select(F.col("x").alias("y"), F.col("y").alias("z"))
-            to = to.join(nxt, "y").select("x", F.col("z").alias("y"))
+            to = to.join(to.select(F.col("x").alias("y"), F.col("y").alias("z")), "y").select("x", F.col("z").alias("y"))
         to = written(to, "steps")
-        comp = written(comp.join(to, comp.component == to.x, "left").select("node", F.coalesce("y", "component").alias("component")), "labels")
-        for end in ("a", "b"):
-            edges = edges.join(to, F.col(end) == F.col("x"), "left").withColumn(end, F.coalesce("y", end)).drop("x", "y")
-        edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+        maps.append(to.select(F.col("x").alias("node"), F.col("y").alias("component")))
+        for end in ("node", "component"):
+            star = star.join(to, F.col(end) == F.col("x")).withColumn(end, F.col("y")).drop("x", "y")
+        star = written(contracted(star.where("node <> component"), task_edges), "stars")
     raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+
+
+def composed(first: DataFrame, maps: list[DataFrame]) -> DataFrame:
+    """Every node of `first` sent through all maps; a map leaves a node that it lacks where it is."""
+    if len(maps) == 1:
+        return maps[0]
+    out = first.select(F.explode(F.array("node", "component")).alias("node")).distinct().withColumn("component", F.col("node"))
+    for m in maps:
+        m = m.select(F.col("node").alias("x"), F.col("component").alias("y"))
+        out = out.join(m, F.col("component") == F.col("x"), "left").select("node", F.coalesce("y", "component").alias("component"))
+    return out
