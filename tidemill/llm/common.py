@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +11,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.operators.components import folder as shared_dir
+from tidemill.operators.components import written as stored
+
+__all__ = ["GAP", "WORD", "ascii_lower", "batch", "columns", "crc_mod", "known_words", "let", "mix", "shared_dir", "small_batches", "stored", "table", "words_of", "WordHash"]
+
 #: ASCII blanks; a word is a run of anything else.
 GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,30 +28,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share.
-
-    Only a session without that setting (tests in one JVM) gets a temporary folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get `rows` rows at a time instead of 10,000: rows carry whole texts and bitmaps. Another setting of the user's stays."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Inside, Python workers get `rows` rows at a time instead of 10,000, as rows carry whole texts and bitmaps; another setting of the user's stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    before = spark.conf.get(key)
+    if before == "10000":
         spark.conf.set(key, rows)
-
-
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """`df` written once to the shared folder and read again: lineage ends here and survives lost executors."""
-    path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def words_of(text: Column) -> Column:
