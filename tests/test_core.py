@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 from tidemill.functions import text as X
 from tidemill.operators.components import connected_components
 from tidemill.operators.dupes import gram_hashes, hash_units, sketch_similarity
-from tidemill.operators.fuzzy import find_nearest
-from tidemill.operators.semantic import passage_spans, quantize_vectors
+from tidemill.operators import dupes, search, sync
+from tidemill.operators.fuzzy import find_nearest, nearest_of
+from tidemill.operators.semantic import passage_spans, quantize_vectors, semantic_search, vector_scores
+from tidemill.sources import corpus
+from tidemill.streaming import streams
 
 
 def one(spark, col, **values):
@@ -71,22 +74,50 @@ def test_nearest():
     assert find_nearest("abxde", "abcde", 0) is None and find_nearest("abc", "abcde", 1) is None
 
 
-def test_nearest_against_brute_force():
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
-        return row[-1]
+def distances(pattern, text):
+    """Edits between the pattern and every prefix of text."""
+    row = list(range(len(text) + 1))
+    for i, p in enumerate(pattern, 1):
+        new = [i]
+        for j, c in enumerate(text, 1):
+            new.append(min(row[j - 1] + (c != p), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return row
+
 
+def test_nearest_against_brute_force():
     r = random.Random(5)
-    for _ in range(150):
-        low, pat = ("".join(r.choice("abc") for _ in range(n)) for n in (r.randint(4, 14), r.randint(5, 7)))
-        best = min(distance(low[i:j], pat) for i in range(len(low) + 1) for j in range(i, len(low) + 1))
-        hit = find_nearest(low, pat, 2)
-        if len(low) >= len(pat) - 2:
-            assert (hit[0] if hit else None) == (best if best <= 2 else None)
+    for n in range(600):
+        letters = "abc" if n % 3 else "ab \u0e01\u0e48\u0e40"
+        low, pat = ("".join(r.choice(letters) for _ in range(k)) for k in (r.randint(4, 40), r.randint(5, 9) if n % 9 else 34))
+        k, m = r.choice([1, 2]), min(len(pat), 32)
+        cell = {(e, e - s): d for s in range(len(low)) for e, d in enumerate(distances(pat[:32], low[s:]), s) if e > s}
+        least = {e: min(d for (x, _), d in cell.items() if x == e) for e in range(1, len(low) + 1)}
+        size = lambda e: min((d, abs(j - m), j) for (x, j), d in cell.items() if x == e)[2]
+        best = min(least.values())
+        if pat in low:
+            wanted = (0, low.index(pat), low.index(pat) + len(pat))
+        elif best > k or len(low) < len(pat) - k:
+            wanted = None
+        else:
+            end = first = min(e for e, d in least.items() if d == best)
+            while end - first < best and end < len(low) and pat[:32][-1] != "\u0e48" and low[end].isalpha() and low[end] != "\u0e40" and least[end + 1] == best:
+                end += 1
+            start = end - size(end)
+            while end < len(low) and low[end] == "\u0e48":
+                end += 1
+            while start < end and low[start] == " ":
+                start += 1
+            while end > start and low[end - 1] == " ":
+                end -= 1
+            wanted = (best, start, end)
+        assert find_nearest(low, pat, k) == wanted, (low, pat, k)
+
+
+def test_nearest_takes_rows_together():
+    lows = ["", "xxabcxdexx", "abcde", "nothing"]
+    assert nearest_of(lows, "abcde", 1) == [find_nearest(low, "abcde", 1) for low in lows] == [None, (1, 2, 8), (0, 0, 5), None]
+    assert find_nearest("abcd" * 20_000 + "abxde", "abcde", 1)[0] == 1
 
 
 def test_components(spark):
@@ -111,6 +142,158 @@ def test_components(spark):
     assert not connected_components(frame.where("a < 0")).collect()
 
 
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def files_of(spark, texts, source=None):
+    rows = [(i, x, "en", source or f"src{i % 3}", len(x or "")) for i, x in enumerate(texts)]
+    return corpus.corpus_from_documents(spark.createDataFrame(rows, DOC))
+
+
+def test_chunks_are_composed_and_numbered(spark):
+    text = "\ufeffe\u0301t\u0e4d\u0e32\r\n" + "\n" * 99 + "last  line\rx"
+    chunks = {r["doc_id"]: [tuple(c) for c in r["chunks"]] for r in files_of(spark, [text, None, "", " \u00a0\n\u3000"]).collect()}
+    assert chunks[0] == [("\u0e1a\u0e23\u0e23\u0e17\u0e31\u0e14 1", "\u00e9t\u0e33"), ("\u0e1a\u0e23\u0e23\u0e17\u0e31\u0e14 101", "last line\nx")]
+    assert chunks[1] == chunks[2] == chunks[3] == []
+    assert [r["error"] for r in files_of(spark, ["a", None]).orderBy("doc_id").collect()] == [None, "bad"]
+
+
+def test_read_texts(spark, tmp_path):
+    (tmp_path / "sub" / ".git").mkdir(parents=True)
+    (tmp_path / "a.txt").write_bytes(b"\xef\xbb\xbfplain caf\xc3\xa9")
+    (tmp_path / "sub" / "thai.log").write_bytes("\u0e01\u0e23\u0e38\u0e07".encode("cp874") + b" \x80\xdb")
+    (tmp_path / "sub" / "big.md").write_bytes(b"x" * 2000)
+    (tmp_path / "sub" / ".git" / "no.txt").write_text("no")
+    (tmp_path / "sub" / "no.exe").write_text("no")
+    assert sorted(r["rel"] for r in corpus.list_files(spark, str(tmp_path)).collect()) == ["a.txt", "sub/big.md", "sub/thai.log"]
+    got = {r["rel"]: r["chunks"][0]["text"] for r in corpus.read_texts(spark, str(tmp_path), max_size=1000).collect()}
+    assert got == {"a.txt": "plain caf\u00e9", "sub/thai.log": "\u0e01\u0e23\u0e38\u0e07 \u20ac\ufffd"}
+
+
+def test_cells_and_sheets(spark):
+    numbers = [(5.0, "5"), (12345678.5, "12345678.5"), (1e21, "1e+21"), (1.5e-7, "1.5e-7"), (-0.25, "-0.25"), (0.0, "0"), (1e-6, "0.000001"), (100.0, "100")]
+    rows = spark.createDataFrame([(x, i) for i, (x, _) in enumerate(numbers)], "x double, i int")
+    assert [r["t"] for r in rows.orderBy("i").select(corpus.cell_text(F.col("x"), "double").alias("t")).collect()] == [w for _, w in numbers]
+    times = spark.sql("SELECT timestamp_ntz'2020-01-02 03:04:05' a, timestamp_ntz'1899-12-30 10:00:00' b, true c, cast(null as string) d, '' e, 7L f")
+    cells = [corpus.cell_text(F.col(c), k).alias(c) for c, k in times.dtypes]
+    assert tuple(times.select(*cells).first()) == ("2020-01-02 03:04:05", "10:00:00", "TRUE", None, None, "7")
+    sheet = spark.createDataFrame([("s", i, None if i == 3 else f"v{i}") for i in range(25)], "sheet string, i int, v string")
+    got = corpus.rows_to_text(sheet, F.col("sheet"), F.col("i"), ["v"], rows_per_chunk=10).orderBy("block").collect()
+    assert [r["text"].split("\n") for r in got] == [w[k : k + 10] for w in [[f"v{i}" for i in range(25) if i != 3]] for k in (0, 10, 20)]
+
+
+def asked(spark, *texts):
+    rows = [(i, x, None, None, False) for i, x in enumerate(texts)]
+    return search.prepare_queries(spark.createDataFrame(rows, "qid int, query string, types array<string>, folder_id string, near boolean"))
+
+
+def test_search_by_trigrams_is_search_by_scan(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "de", "x1"]) for _ in range(6)) for _ in range(40)] + [None, ""]
+    files = corpus.prepare_search(files_of(spark, texts)).persist()
+    q = asked(spark, "alpha beta", "de", "x", "mma be", "doc_1", "none", "")
+    flat = lambda df: sorted(map(str, df.collect()))
+    assert flat(search.search_exact(files, q)) == flat(search.search_exact(files, q, scan=0))
+    one = asked(spark, "alpha beta")
+    assert flat(search.search_exact(files, q).where("qid = 0")) == flat(search.search_exact(files, one))
+
+
+def test_hits_are_bounded_but_counted(spark):
+    files = corpus.prepare_search(files_of(spark, ["needle\n" * 50 * 40]))
+    row = search.search_exact(files, asked(spark, "needle")).first()
+    assert row["hit_count"] == 40 and [h["chunk"] for h in row["hits"]] == list(range(search.MAX_HITS))
+
+
+def test_presentation_and_report(spark):
+    shown = spark.createDataFrame([(1, "a", "exact", 1), (1, "b", "near", 1), (2, "c", "near", 1)], "qid int, key string, kind string, rank int")
+    sem = spark.createDataFrame([(1, "d", 1), (3, "e", 1)], "qid int, key string, rank int")
+    got = {r["key"]: (r["n"], r["divider"]) for r in search.present_results(shown, sem).collect()}
+    assert got == {"a": (1, False), "b": (2, True), "c": (1, False), "d": (3, True), "e": (1, True)}
+    summary = spark.createDataFrame([(1, 1, True, False, False, 0, 0, 0)], "qid int, n_terms int, can_near boolean, loose boolean, near boolean, total long, near_total long, hits long")
+    assert search.search_report(files_of(spark, []), summary).first()["outcome"] == "empty"
+    assert search.search_report(files_of(spark, ["x"]), summary).first()["outcome"] == "none"
+
+
+CHUNK = "array<struct<loc:string,text:string>>"
+TODO = f"key string, ext string, size long, readable boolean, known boolean, same boolean, text_good boolean, old_error string, old_chunks {CHUNK}, old_needs_ocr boolean, new_chunks {CHUNK}, new_needs_ocr boolean, new_error string, tag_text string"
+
+
+def test_apply_sync(spark):
+    old, new, big = [("a", "old"), (X.TAG_LOC, "tags")], [("a", "new")], sync.MAX_SIZE + 1
+    rows = [
+        ("new", ".txt", 1, True, False, False, False, None, None, None, new, True, None, None),
+        ("huge again", ".txt", big, True, True, True, False, sync.TOO_LARGE, [], False, new, False, None, None),
+        ("huge, grown", ".txt", big, True, True, False, False, sync.TOO_LARGE, [], False, new, False, None, None),
+        ("lost", ".txt", 1, False, True, False, False, "e", old, True, None, None, None, None),
+        ("lost and new", ".txt", 1, False, False, False, False, None, None, None, None, None, None, None),
+        ("broken", ".txt", 1, True, True, True, False, "bad", old, False, None, None, "bad", None),
+        ("image", ".png", 1, True, True, True, True, None, old, True, None, None, None, "cat"),
+        ("no tagger", ".png", 1, True, True, True, True, None, old, False, None, None, None, None),
+    ]
+    got = {r["key"]: r for r in sync.apply_sync(spark.createDataFrame(rows, TODO), tags=True).collect()}
+    texts = lambda k: [c["text"] for c in got[k]["chunks"]]
+    assert texts("new") == ["new"] and got["new"]["needs_ocr"] and got["new"]["write"] and not got["new"]["failed"]
+    assert (got["huge again"]["write"], got["huge, grown"]["write"]) == (False, True) and got["huge again"]["error"] == sync.TOO_LARGE
+    assert texts("lost") == ["old", "tags"] and not got["lost"]["write"] and got["lost"]["failed"]
+    assert got["lost and new"]["error"] == sync.UNREADABLE and got["lost and new"]["write"]
+    assert not got["broken"]["write"] and got["broken"]["failed"] and texts("broken") == []
+    assert texts("image") == ["old", "cat"] and got["image"]["needs_ocr"] and not got["image"]["needs_tags"]
+    assert texts("no tagger") == ["old"] and got["no tagger"]["needs_tags"]
+
+
+def test_sync_twice_finds_nothing_to_do(spark):
+    f = files_of(spark, ["a", "b", None]).withColumn("v", F.lit(1))
+    index = f.select("key", "mtime", "size", "v", F.lit(None).cast("string").alias("error"), F.lit(False).alias("needs_ocr"), F.lit(False).alias("awaits_tags"))
+    plan = sync.plan_sync(index, f.select("key", "mtime", "size", "v", F.lit(True).alias("readable")))
+    assert {r["action"] for r in plan.collect()} == {"skip"}
+
+
+def test_duplicates(spark):
+    r = random.Random(8)
+    body = " ".join(f"w{r.randint(0, 9999)}" for _ in range(120))
+    files = files_of(spark, [body, body, body + " tail", "short", " ".join(f"v{r.randint(0, 9999)}" for _ in range(120)), None])
+    members, edges = dupes.find_duplicates(files)
+    groups = dupes.grouped(members, edges)
+    report = dupes.dup_report(groups).collect()
+    assert len(report) == 3 and len({x["group_id"] for x in report}) == 1 and sum(x["newest"] for x in report) == 1
+    same = groups.withColumn("mtime", F.lit(5).cast("long"))
+    assert not any(x["newest"] for x in dupes.dup_report(same).collect())
+    top = dupes.dup_groups(groups, edges).first()
+    assert (top["n"], top["exact"], top["total_groups"], top["total_files"]) == (3, False, 1, 3)
+
+
+def test_vectors_in_blocks(spark):
+    rng = np.random.default_rng(1)
+    unit = lambda n: [[float(x) for x in v / np.linalg.norm(v)] for v in rng.normal(size=(n, 8))]
+    ps, qs = unit(70), unit(9)
+    p = spark.createDataFrame([(f"k{i // 5}", i % 5, -1 if i % 5 == 0 else 0, [int(np.floor(x * 127 + 0.5)) for x in v]) for i, v in enumerate(ps)], "key string, p int, chunk int, vec array<tinyint>")
+    q = spark.createDataFrame([(i, v, "words" if i else "1", None, None) for i, v in enumerate(qs)], "qid long, vec array<float>, query string, types array<string>, folder_id string")
+    got = {(x["qid"], x["key"], x["p"]): x["score"] for x in vector_scores(p, q).collect()}
+    want = {}
+    for row in p.collect():
+        for i, v in enumerate(qs):
+            s = float(np.dot(np.float32(v).astype(float), row["vec"])) / 127 * (0.75 if row["chunk"] < 0 else 1)
+            if s >= 0.35:
+                want[i, row["key"], row["p"]] = s
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    none = spark.createDataFrame([], "qid long, key string")
+    files = spark.createDataFrame([(f"k{i}", "f", ".txt", None, 1 if i % 2 else 0) for i in range(14)], "key string, folder_id string, ext string, error string, sem_version int")
+    found = semantic_search(p, q, none, files).collect()
+    assert found and all(x["qid"] > 0 and int(x["key"][1:]) % 2 for x in found)
+
+
+def test_stream_index_keeps_the_last_version(spark, tmp_path):
+    schema = "key string, mtime long, folder_id string"
+    write = lambda n, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
+    frame = spark.createDataFrame([], schema)
+    out, state = str(tmp_path / "table"), str(tmp_path / "state")
+    for n, rows in enumerate([[(f"k{i}", 1, "a") for i in range(20)], [("k3", 5, "b"), ("new", 1, "a")], [("k3", 4, "c"), ("k4", 2, "d")]]):
+        write(n, rows)
+        streams.stream_index(spark, str(tmp_path / "in" / "*"), frame.schema, out, state).awaitTermination()
+    got = {r["key"]: (r["mtime"], r["folder_id"]) for r in streams.read_index(spark, out, frame.schema).collect()}
+    assert got == {f"k{i}": (1, "a") for i in range(20)} | {"k3": (5, "b"), "k4": (2, "d"), "new": (1, "a")}
+
+
 def test_entry_point_imports():
     import __spark_entry__ as e
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
@@ -32,11 +32,25 @@ TAGGABLE = (".png", ".jpg", ".jpeg", ".bmp")
 THAI_GLYPHS = "".join(chr(0xF700 + i) for i in range(len(THAI_PUA)))
 
 
+#: Below U+0300 composition changes nothing.
+HIGH = "[^\\x{0}-\\x{2ff}]"
+
+
 @pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once per row, also inside lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with further columns that are computed once per row, however often and wherever they are used after."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")).select("*", *[f"_once.{n}" for n in columns]).drop("_once")
+
+
 def ext_of(name: Column) -> Column:
     """Lower-cased suffix from the last dot; '' when that is the first character or absent."""
     return F.lower(F.regexp_extract(name, r"(?s)^.+(\.[^.]*)\z", 1))
@@ -46,21 +60,39 @@ def file_type(ext: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FILE_TYPES.items() for x in kv]), ext), ext)
 
 
+def in_pool(folder: Column, ext: Column, types: Column, wanted: Column) -> Column:
+    """Whether a file is among those that a query asks for: its types (null or empty: all) and its folder (null: all)."""
+    return (wanted.isNull() | (wanted == folder)) & (F.coalesce(F.size(types), F.lit(0)).isin(0, -1) | F.array_contains(types, file_type(ext)))
+
+
 def reader_version(ext: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in READER_VERSIONS.items() for x in kv]), ext), F.lit(1))
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    return F.btrim(text, F.lit(SPACE))
+
+
+def glyphs(text: Column) -> Column:
+    """Codes of old fonts as their letters, without invisible characters; '' for null."""
+    return F.translate(F.coalesce(text, F.lit("")), THAI_GLYPHS + INVISIBLE, THAI_PUA)
+
+
+def composed(text: Column) -> Column:
+    """Canonical composition; a text without a character from U+0300 on goes around Python as a null."""
+    return F.coalesce(nfc(F.when(text.rlike(HIGH), text)), text)
+
+
+def tidied(text: Column) -> Column:
+    """Vowels and tone marks in their order, runs of blanks as one, trimmed; for text that is composed."""
+    x = F.replace(F.replace(text, F.lit("\u0e4d\u0e32"), F.lit("\u0e33")), F.lit("\u0e32\u0e4d"), F.lit("\u0e33"))
+    x = F.regexp_replace(x, "\u0e33([\u0e48-\u0e4b])", "$1\u0e33")
+    return trim_space(F.regexp_replace(x, "[ \t\u00a0]+", " "))
 
 
 def normalize_text(text: Column) -> Column:
-    """The stored form of a text; only rows with a character from U+0300 on pass through Python for composition."""
-    x = F.translate(F.coalesce(text, F.lit("")), THAI_GLYPHS + INVISIBLE, THAI_PUA)
-    x = F.when(x.rlike("[^\\x{0}-\\x{2ff}]"), nfc(x)).otherwise(x)
-    x = F.regexp_replace(x, "ํา|าํ", "ำ") if False else F.regexp_replace(F.regexp_replace(x, "ํา", "ำ"), "าํ", "ำ")
-    x = F.regexp_replace(x, "ำ([่-๋])", "$1ำ")
-    return trim_space(F.regexp_replace(x, "[ \t ]+", " "))
+    """The stored form of a text."""
+    return tidied(composed(glyphs(text)))
 
 
 def join_thai_lines(text: Column) -> Column:
@@ -82,15 +114,17 @@ def count_letters(text: Column) -> Column:
 
 def first_position(low: Column, terms: Column) -> Column:
     """0-based position of the earliest term, 0 without any."""
-    found = F.filter(F.transform(terms, lambda t: F.position(t, low)), lambda p: p > 0)
+    found = F.filter(F.transform(terms, lambda t: F.instr(low, t)), lambda p: p > 0)
     return F.coalesce(F.array_min(found) - 1, F.lit(0))
 
 
 def make_snippet(text: Column, low: Column, terms: Column, width: int = 90) -> Column:
-    at = first_position(low, terms)
-    start, end = F.greatest(F.lit(0), at - width), F.least(F.length(text), at + 2 * width)
-    body = F.regexp_replace(F.substring(text, start + 1, end - start), "\n", " ")
-    return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(end < F.length(text), "…").otherwise(""))
+    def cut(at: Column) -> Column:
+        start, end = F.greatest(F.lit(0), at - width), F.least(F.length(text), at + 2 * width)
+        body = F.replace(F.substring(text, start + 1, end - start), F.lit("\n"), F.lit(" "))
+        return F.concat(F.when(start > 0, "…").otherwise(""), body, F.when(end < F.length(text), "…").otherwise(""))
+
+    return let(first_position(low, terms), cut)
 
 
 def context_window(text: Column, low: Column, terms: Column, at: Column | None = None, before: int = 500, after: int = 1500) -> Column:

@@ -10,7 +10,7 @@ from tidemill.operators import dupes as D
 from tidemill.operators import search as S
 from tidemill.operators import semantic as V
 from tidemill.operators import sync as Y
-from tidemill.operators.components import written
+from tidemill.operators.components import folder, written
 from tidemill.operators.fuzzy import edit_allowance
 from tidemill.sources import corpus as C
 
@@ -49,13 +49,13 @@ def norm_sql(e: str) -> str:
     return f"regexp_replace({e}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
 
 
-FILES = f"""docs AS (SELECT doc_id, source AS folder_id, n_chars AS size, lang, text, CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.docx' WHEN 'de' THEN '.pdf' WHEN 'es' THEN '.xlsx' END AS ext FROM documents),
+FILES = f"""docs AS (SELECT doc_id, coalesce(source, 'unknown') AS folder_id, n_chars AS size, coalesce(lang, 'und') AS lang, text, CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.docx' WHEN 'de' THEN '.pdf' WHEN 'es' THEN '.xlsx' ELSE '' END AS ext FROM documents),
 files AS (SELECT doc_id, folder_id || '/' || lang || '/doc_' || doc_id || ext AS key, folder_id, lang || '/doc_' || doc_id || ext AS rel, 'doc_' || doc_id || ext AS name, 'doc_' || doc_id AS stem, ext, size,
-  1700000000000 + (doc_id * 7919 % 1000) * 1000 AS mtime, CASE WHEN doc_id % 97 = 0 THEN 'bad' END AS error, text FROM docs),
+  1700000000000 + (doc_id * 7919 % 1000) * 1000 AS mtime, CASE WHEN text IS NULL THEN 'bad' END AS error, text FROM docs),
 lines AS (SELECT key, string_split_regex(text, '\\r\\n|\\r|\\n') AS l FROM files WHERE error IS NULL),
 parts AS (SELECT key, unnest(range(0, len(l), 50)) AS k, l FROM lines),
 normed AS (SELECT key, k, {norm_sql("array_to_string(l[k + 1:k + 50], chr(10))")} AS text FROM parts),
-chunks AS (SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY k) - 1 AS INT) AS chunk, 'บรรทัด ' || (k + 1) AS loc, text, lower(text) AS low FROM normed WHERE text <> '')"""
+chunks AS MATERIALIZED (SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY k) - 1 AS INT) AS chunk, 'บรรทัด ' || (k + 1) AS loc, text, lower(text) AS low FROM normed WHERE text <> '')"""
 
 TYPES_SQL = "CASE %s WHEN '.txt' THEN 'ข้อความ' WHEN '.docx' THEN 'Word' WHEN '.xlsx' THEN 'Excel' WHEN '.pdf' THEN 'PDF' END"
 
@@ -82,8 +82,49 @@ lfirst AS (SELECT *, row_number() OVER (PARTITION BY qid, key, loc ORDER BY ix,
 loose AS (SELECT qid, key, any_value(mtime) AS mtime, count(*) AS hit_count, array_to_string(list(loc || '|' || snippet ORDER BY ix, at_)[1:30], chr(10)) AS hits FROM lfirst WHERE r = 1 GROUP BY qid, key)"""
 
 
+#: Words, their allowance and, for each chunk or name that holds a piece of them, the nearest spot. DuckDB counts bytes as edits,
+#: so characters beyond ASCII, of which the queries have none, stand as one byte.
+NEAR_SQL = f"""found AS MATERIALIZED (SELECT qid, key, hit_count, mtime FROM exact UNION ALL SELECT qid, key, hit_count, mtime FROM loose),
+nt AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(term, '\\p{{L}}') OR length(term) < 5 THEN 0 WHEN length(term) < 9 THEN 1 ELSE 2 END AS k, term[1:32] AS pat, least(length(term), 32) AS m FROM
+  (SELECT qid, types, folder, len(lows) AS n_terms, unnest(lows) AS term, generate_subscripts(lows, 1) AS ix FROM q WHERE near OR qid NOT IN (SELECT qid FROM found))),
+can AS MATERIALIZED (SELECT DISTINCT qid FROM nt WHERE k > 0),
+places AS (SELECT key, chunk, loc, text, low FROM chunks UNION ALL SELECT key, -1, '{X.NAME_LOC}', name, lower(name) FROM files),
+gate AS MATERIALIZED (SELECT t.*, f.key, f.mtime, p.chunk, p.loc, p.text, p.low FROM places p JOIN files f USING (key) JOIN nt t ON (t.folder IS NULL OR t.folder = f.folder_id) AND (t.types IS NULL OR t.types = {TYPES_SQL % 'f.ext'})
+  AND CASE t.k WHEN 0 THEN contains(p.low, t.term) WHEN 1 THEN contains(p.low, t.pat[1:t.m // 2]) OR contains(p.low, t.pat[t.m // 2 + 1:t.m]) ELSE contains(p.low, t.pat[1:t.m // 3]) OR contains(p.low, t.pat[t.m // 3 + 1:2 * (t.m // 3)]) OR contains(p.low, t.pat[2 * (t.m // 3) + 1:t.m]) END
+  WHERE t.qid IN (SELECT qid FROM can) AND (t.qid, f.key) NOT IN (SELECT qid, key FROM found)),
+whole AS (SELECT *, 0 AS errors, term AS word FROM gate WHERE contains(low, term)),
+ends AS (SELECT *, unnest(range(1, length(low) + 1)) AS e FROM (SELECT *, regexp_replace(low, '[^\x00-\x7F]', chr(1), 'g') AS plain FROM gate WHERE NOT contains(low, term) AND length(low) >= length(term) - k)),
+subs AS (SELECT qid, ix, key, chunk, e, n, levenshtein(pat, plain[e - n + 1:e]) AS d, abs(n - m) * 2 + CASE WHEN n > m THEN 1 ELSE 0 END AS o, k FROM (SELECT *, unnest(range(m - k, m + k + 1)) AS n FROM ends) WHERE n BETWEEN 1 AND e),
+at_end AS MATERIALIZED (SELECT qid, ix, key, chunk, e, min(d) AS d, arg_min(n, d * 1000 + o) AS n FROM subs GROUP BY qid, ix, key, chunk, e, k HAVING min(d) <= k),
+best AS MATERIALIZED (SELECT qid, ix, key, chunk, d, e, n FROM (SELECT *, row_number() OVER (PARTITION BY qid, ix, key, chunk ORDER BY d, e) AS r FROM at_end) WHERE r = 1),
+w1 AS (SELECT b.*, g.low, g.pat, CASE WHEN b.d > 0 AND x.d = b.d AND regexp_matches(g.low[b.e + 1], '\\p{{L}}') THEN x.n END AS n1, CASE WHEN b.d > 1 AND y.d = b.d AND regexp_matches(g.low[b.e + 2], '\\p{{L}}') THEN y.n END AS n2
+  FROM best b JOIN gate g USING (qid, ix, key, chunk) LEFT JOIN at_end x ON x.qid = b.qid AND x.ix = b.ix AND x.key = b.key AND x.chunk = b.chunk AND x.e = b.e + 1 LEFT JOIN at_end y ON y.qid = b.qid AND y.ix = b.ix AND y.key = b.key AND y.chunk = b.chunk AND y.e = b.e + 2),
+w2 AS (SELECT *, CASE WHEN n1 IS NOT NULL AND n2 IS NOT NULL THEN e + 2 WHEN n1 IS NOT NULL THEN e + 1 ELSE e END AS stop, CASE WHEN n1 IS NOT NULL AND n2 IS NOT NULL THEN n2 WHEN n1 IS NOT NULL THEN n1 ELSE n END AS size FROM w1),
+approx AS (SELECT g.*, d AS errors, regexp_replace(w2.low[stop - size + 1:stop], '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') AS word FROM gate g JOIN w2 USING (qid, ix, key, chunk)),
+spots AS MATERIALIZED (SELECT qid, key, mtime, n_terms, ix, chunk, loc, text, low, errors, word FROM whole UNION ALL SELECT qid, key, mtime, n_terms, ix, chunk, loc, text, low, errors, word FROM approx),
+least_ AS (SELECT qid, key, ix, any_value(n_terms) AS n_terms, min(errors) AS errors FROM spots GROUP BY qid, key, ix),
+total_ AS (SELECT qid, key, sum(errors) AS total FROM least_ GROUP BY qid, key HAVING count(*) = any_value(n_terms) AND sum(errors) > 0),
+kept AS MATERIALIZED (SELECT s.*, t.total FROM spots s JOIN least_ l USING (qid, key, ix, errors) JOIN total_ t USING (qid, key)),
+nhit AS (SELECT *, row_number() OVER (PARTITION BY qid, key, chunk ORDER BY ix) AS r, CASE WHEN chunk < 0 THEN text ELSE {snippet_sql("text", "low", "[word]")} END AS snippet FROM kept),
+near AS MATERIALIZED (SELECT qid, key, any_value(mtime) AS mtime, CAST(any_value(total) AS BIGINT) AS errors, count(*) AS hit_count, array_to_string(list(loc || '|' || snippet ORDER BY CASE WHEN chunk < 0 THEN 2147483647 ELSE chunk END)[1:30], chr(10)) AS hits,
+  (SELECT array_to_string(list(DISTINCT k.word ORDER BY k.word), '|') FROM kept k WHERE k.qid = h.qid AND k.key = h.key) AS marks FROM nhit h WHERE r = 1 GROUP BY qid, key)"""
+
+SHOWN_SQL = f"""{NEAR_SQL}, every AS (SELECT qid, key, 'exact' AS kind, hit_count, mtime, CAST(NULL AS BIGINT) AS errors FROM exact UNION ALL SELECT qid, key, 'loose', hit_count, mtime, NULL FROM loose UNION ALL SELECT qid, key, 'near', hit_count, mtime, errors FROM near),
+shown AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY qid, kind ORDER BY coalesce(errors, 0), hit_count DESC, mtime DESC, key) AS INT) AS rank FROM every QUALIFY rank <= 200)"""
+
+REPORT_SQL = f"""{NEAR_SQL}, top AS (SELECT qid, hit_count FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hit_count DESC, mtime DESC, key) AS r FROM found) WHERE r <= 200),
+sums AS (SELECT q.qid, len(q.lows) AS n_terms, len(list_filter(q.lows, lambda x: regexp_matches(x, '\\p{{L}}') AND length(x) >= 5)) > 0 AS can_near, (SELECT count(*) FROM loose l WHERE l.qid = q.qid) > 0 AS loose,
+  (SELECT count(*) FROM found f WHERE f.qid = q.qid) AS total, (SELECT count(*) FROM near n WHERE n.qid = q.qid) AS near_total, (SELECT CAST(coalesce(sum(hit_count), 0) AS BIGINT) FROM top t WHERE t.qid = q.qid) AS hits FROM q)
+SELECT qid, CAST(n_terms AS INT) AS n_terms, can_near, loose, total = 0 AND near_total > 0 AS near, total, near_total, hits, CASE WHEN (SELECT count(*) FROM files) = 0 THEN 'empty' WHEN total = 0 AND near_total > 0 THEN 'near' WHEN total = 0 THEN 'none' WHEN loose AND n_terms = 1 THEN 'name' WHEN loose THEN 'loose' ELSE 'exact' END AS outcome FROM sums"""
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """The index of the documents, stored as a user has it: texts are cut into chunks once."""
+    return written(C.corpus_from_documents(t(spark, d, "documents")), "index")
+
+
 def files_of(spark: SparkSession, d: str) -> DataFrame:
-    return C.prepare_search(C.corpus_from_documents(t(spark, d, "documents")))
+    return C.prepare_search(records(spark, d))
 
 
 def asked(spark: SparkSession) -> DataFrame:
@@ -131,13 +172,19 @@ def split_top_folder(spark, d):
 
 @query(f"WITH {FILES} SELECT key, chunk, loc, text FROM chunks")
 def read_text_chunks(spark, d):
-    return C.chunk_rows(files_of(spark, d)).select("key", "chunk", "loc", "text")
+    files = C.corpus_from_documents(t(spark, d, "documents"))
+    return files.select("key", F.posexplode("chunks").alias("chunk", "c")).select("key", "chunk", "c.loc", "c.text")
+
+
+_MONEY = "regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '')"
 
 
-@query("WITH n AS (SELECT 'r' || n_regionkey AS sheet, n_nationkey, concat_ws(' | ', CAST(n_nationkey AS VARCHAR), nullif(n_name, '')) AS line FROM nation) SELECT sheet, 'ชีต ' || sheet AS loc, string_agg(line, chr(10) ORDER BY n_nationkey) AS text FROM n GROUP BY sheet")
+@query(f"""WITH r AS (SELECT o_orderstatus AS sheet, o_orderkey, concat_ws(' | ', CAST(o_orderkey AS VARCHAR), {_MONEY}, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), CASE WHEN o_totalprice > 300000 THEN 'TRUE' ELSE 'FALSE' END, nullif(o_orderpriority, '')) AS line FROM orders),
+n AS (SELECT *, (row_number() OVER (PARTITION BY sheet ORDER BY o_orderkey) - 1) // 5000 AS block FROM r)
+SELECT sheet, 'ชีต ' || sheet AS loc, block, string_agg(line, chr(10) ORDER BY o_orderkey) AS text FROM n GROUP BY sheet, block""")
 def rows_to_text(spark, d):
-    n = t(spark, d, "nation")
-    return C.rows_to_text(n, F.concat(F.lit("r"), "n_regionkey"), F.col("n_nationkey"), [F.col("n_nationkey").cast("string"), F.col("n_name")])
+    o = C.spread(t(spark, d, "orders")).withColumn("large", F.col("o_totalprice") > 300000)
+    return C.rows_to_text(o, F.col("o_orderstatus"), F.col("o_orderkey"), ["o_orderkey", "o_totalprice", "o_orderdate", "large", "o_orderpriority"])
 
 
 @query(f"SELECT 'c' || conv_id AS doc, turn // 4 AS page, string_agg(regexp_replace(text, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY 1, 2")
@@ -148,8 +195,9 @@ def assemble_blocks(spark, d):
 
 @query(f"WITH {FILES} SELECT key, folder_id, name, stem, mtime, (SELECT count(*) FROM chunks c WHERE c.key = f.key) AS n_chunks FROM files f")
 def save_load_index(spark, d):
-    saved = written(C.corpus_from_documents(t(spark, d, "documents")), "index")
-    return C.prepare_search(saved.withColumn("chunks", C.migrate_tag_loc(F.col("chunks")))).select("key", "folder_id", "name", "stem", "mtime", F.size("chunks").cast("long").alias("n_chunks"))
+    path = folder(spark, "index")
+    C.save_index(C.corpus_from_documents(t(spark, d, "documents")), path)
+    return C.load_index(spark, path).select("key", "folder_id", "name", "stem", "mtime", F.size("chunks").cast("long").alias("n_chunks"))
 
 
 def _keyed(spark, d) -> DataFrame:
@@ -251,30 +299,31 @@ def awaits_tags(spark, d):
     return f.select("key", Y.awaits_tags(needs, F.when(F.col("doc_id") % 3 == 0, ".png").otherwise(F.col("ext")), F.col("error"), F.col("chunks")).alias("awaits"))
 
 
-@query("WITH p AS (SELECT source AS doc, doc_id AS page FROM documents WHERE n_chars % 5 = 0) SELECT doc, page, CAST(r AS INT) AS r FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page) AS r FROM p) WHERE r <= 200")
+@query(f"WITH p AS (SELECT coalesce(source, 'unknown') AS doc, doc_id AS page FROM documents WHERE length(regexp_replace(text, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')) < 200) SELECT doc, page, CAST(r AS INT) AS r FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY page) AS r FROM p) WHERE r <= 200")
 def ocr_backlog(spark, d):
-    pages = t(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), F.when(F.col("n_chars") % 5 == 0, " x ").otherwise("a text of more than ten").alias("text"))
-    return Y.ocr_backlog(pages)
+    pages = t(spark, d, "documents").select(F.coalesce("source", F.lit("unknown")).alias("doc"), F.col("doc_id").alias("page"), "text")
+    return Y.ocr_backlog(pages, least=200)
 
 
-OLD_SQL = "old AS (SELECT key, folder_id, rel, mtime, size, CASE ext WHEN '.pdf' THEN 2 ELSE 1 END AS v, error, doc_id % 17 = 0 AS needs_ocr, doc_id % 19 = 0 AS awaits, doc_id FROM files WHERE doc_id % 13 <> 0)"
-NEW_SQL = "new AS (SELECT key, folder_id, rel, mtime + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS mtime, CASE WHEN doc_id % 101 = 0 THEN 200000000 ELSE size END AS size, CASE ext WHEN '.pdf' THEN 2 ELSE 1 END AS v, doc_id % 89 <> 0 AS readable FROM files WHERE doc_id % 11 <> 0)"
+OLD_SQL = "old AS (SELECT key, folder_id, rel, mtime, CASE WHEN doc_id % 202 = 0 THEN 200000000 ELSE size END AS size, CASE ext WHEN '.pdf' THEN 2 ELSE 1 END AS v, CASE WHEN doc_id % 202 = 0 THEN 'ไฟล์ใหญ่เกินกำหนด' WHEN doc_id % 43 = 0 THEN 'broken' ELSE error END AS error, doc_id % 17 = 0 AS needs_ocr, doc_id % 19 = 0 AS awaits, doc_id FROM files WHERE doc_id % 13 <> 0)"
+NEW_SQL = "new AS (SELECT key, folder_id, rel, mtime + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS mtime, CASE WHEN doc_id % 101 = 0 THEN 200000000 ELSE size END AS size, CASE ext WHEN '.pdf' THEN 2 ELSE 1 END AS v, doc_id % 89 <> 0 AS readable, ext, doc_id FROM files WHERE doc_id % 11 <> 0)"
 PLAN_SQL = """plan AS (SELECT coalesce(n.key, o.key) AS key, coalesce(n.folder_id, o.folder_id) AS folder_id, o.rel,
   coalesce(o.mtime = n.mtime AND o.size = n.size AND o.v = n.v, false) AS same, o.error, o.needs_ocr, o.awaits, n.key AS nkey, o.key AS okey, n.readable, n.size
   FROM old o FULL JOIN new n ON o.key = n.key),
-acted AS (SELECT key, folder_id, rel, CASE WHEN nkey IS NULL THEN 'gone' WHEN NOT readable THEN 'failed' WHEN good AND NOT coalesce(awaits, false) THEN 'skip' WHEN same AND error IS NOT NULL AND size > 104857600 THEN 'failed' ELSE 'todo' END AS action, okey IS NOT NULL AS known, good AS text_good
+acted AS (SELECT key, folder_id, rel, CASE WHEN nkey IS NULL THEN 'gone' WHEN NOT readable THEN 'failed' WHEN good AND NOT coalesce(awaits, false) THEN 'skip' WHEN same AND error IS NOT NULL AND size > 104857600 THEN 'failed' ELSE 'todo' END AS action, okey IS NOT NULL AS known, same, good AS text_good
   FROM (SELECT *, same AND error IS NULL AND NOT coalesce(needs_ocr, false) AS good FROM plan))"""
 
 
 def _both(spark, d) -> tuple[DataFrame, DataFrame]:
     f = C.corpus_from_documents(t(spark, d, "documents")).withColumn("v", X.reader_version(F.col("ext")))
     i = F.col("doc_id")
-    old = f.where(i % 13 != 0).select("key", "folder_id", "rel", "mtime", "size", "v", "error", (i % 17 == 0).alias("needs_ocr"), (i % 19 == 0).alias("awaits_tags"))
+    large = F.when(i % 202 == 0, Y.TOO_LARGE).when(i % 43 == 0, "broken").otherwise(F.col("error"))
+    old = f.where(i % 13 != 0).select("key", "folder_id", "rel", "mtime", F.when(i % 202 == 0, 200000000).otherwise(F.col("size")).alias("size"), "v", large.alias("error"), (i % 17 == 0).alias("needs_ocr"), (i % 19 == 0).alias("awaits_tags"))
     new = f.where(i % 11 != 0).select("key", "folder_id", "rel", (F.col("mtime") + F.when(i % 7 == 0, 1).otherwise(0)).alias("mtime"), F.when(i % 101 == 0, 200000000).otherwise(F.col("size")).alias("size"), "v", (i % 89 != 0).alias("readable"))
     return old, new
 
 
-@query(f"WITH {FILES}, {OLD_SQL}, {NEW_SQL}, {PLAN_SQL} SELECT key, action, known, text_good FROM acted")
+@query(f"WITH {FILES}, {OLD_SQL}, {NEW_SQL}, {PLAN_SQL} SELECT key, action, known, same, text_good FROM acted")
 def plan_sync(spark, d):
     old, new = _both(spark, d)
     return Y.plan_sync(old, new, ocr=True, tags=True)
@@ -295,29 +344,37 @@ def detect_removed(spark, d):
 
 
 def _applied(spark, d) -> DataFrame:
+    """What reading gave is made up where the tables cannot tell: bytes that could not be read, broken files, images and their tags."""
     old, new = _both(spark, d)
-    files = C.corpus_from_documents(t(spark, d, "documents")).select("key", "chunks")
+    files = records(spark, d)
     plan = Y.plan_sync(old, new, True, True).where("action = 'todo'")
-    todo = plan.join(new.select("key", "folder_id", "size", "readable"), "key").join(old.select("key", F.col("error").alias("old_error")), "key", "left").join(files, "key")
-    return Y.apply_sync(todo.withColumn("old_chunks", F.slice("chunks", 1, 1)).withColumnRenamed("chunks", "new_chunks"))
+    i = F.col("doc_id")
+    todo = plan.join(new.select("key", "folder_id", "size"), "key").join(old.select("key", F.col("error").alias("old_error"), F.col("needs_ocr").alias("old_needs_ocr")), "key", "left")
+    todo = todo.join(files.select("key", "doc_id", "chunks", F.when(i % 3 == 0, ".png").otherwise(F.col("ext")).alias("ext")), "key")
+    todo = todo.withColumns({"readable": i % 83 != 0, "new_error": F.when(i % 43 == 0, "broken").when(i % 47 == 0, F.repeat(F.lit("x"), 400)), "new_needs_ocr": i % 5 == 0, "tag_text": F.when(i % 4 == 0, "cat").when(i % 4 == 1, "")})
+    return Y.apply_sync(todo.withColumn("old_chunks", F.slice("chunks", 1, 1)).withColumnRenamed("chunks", "new_chunks"), tags=True)
 
 
-APPLY_SQL = f"""applied AS (SELECT a.key, a.known, CASE WHEN n.size > 104857600 THEN '{Y.TOO_LARGE}' END AS error, CASE WHEN n.size > 104857600 THEN 0 WHEN text_good THEN least(c, 1) ELSE c END AS n_chunks,
-  NOT (a.known AND n.size > 104857600 AND o.error IS NOT DISTINCT FROM '{Y.TOO_LARGE}') AS write, n.size > 104857600 AS failed
-  FROM acted a JOIN new n USING (key) LEFT JOIN old o USING (key) LEFT JOIN (SELECT f.key, count(c.key) AS c FROM files f LEFT JOIN chunks c ON c.key = f.key GROUP BY f.key) k USING (key) WHERE a.action = 'todo')"""
+APPLY_SQL = f"""k AS (SELECT f.key, count(c.key) AS c, coalesce(sum(length(c.text)), 0) AS n, coalesce(max(CASE WHEN c.chunk = 0 THEN length(c.text) END), 0) AS n1 FROM files f LEFT JOIN chunks c ON c.key = f.key GROUP BY f.key),
+a0 AS (SELECT a.key, a.folder_id, a.known, a.same, a.text_good, n.doc_id, n.size > 104857600 AS large, n.doc_id % 83 = 0 AS lost, o.error AS old_error, o.needs_ocr AS old_ocr, CASE WHEN n.doc_id % 43 = 0 THEN 'broken' WHEN n.doc_id % 47 = 0 THEN repeat('x', 300) END AS new_error, CASE WHEN n.doc_id % 3 = 0 THEN '.png' ELSE n.ext END AS ext, k.c, k.n, k.n1
+  FROM acted a JOIN new n USING (key) LEFT JOIN old o USING (key) JOIN k USING (key) WHERE a.action = 'todo'),
+a1 AS (SELECT *, lost AND known AND NOT large AS stale, CASE WHEN large THEN '{Y.TOO_LARGE}' WHEN lost AND NOT known THEN '{Y.UNREADABLE}' WHEN NOT lost AND NOT text_good THEN new_error END AS err FROM a0),
+a2 AS (SELECT *, CASE WHEN err IS NOT NULL THEN 0 WHEN text_good THEN least(c, 1) ELSE c END AS text_chunks, err IS NULL AND NOT stale AND ext IN ('.png', '.jpg', '.jpeg', '.bmp') AND CASE WHEN text_good THEN n1 ELSE n END < 80 AS open_ FROM a1),
+applied AS (SELECT key, folder_id, known, CASE WHEN stale THEN old_error ELSE err END AS error, CASE WHEN stale THEN least(c, 1) ELSE text_chunks + CASE WHEN open_ AND doc_id % 4 = 0 THEN 1 ELSE 0 END END AS n_chunks,
+  CASE WHEN stale OR (err IS NULL AND text_good) THEN coalesce(old_ocr, false) WHEN err IS NOT NULL THEN false ELSE doc_id % 5 = 0 END AS needs_ocr, open_ AND doc_id % 4 > 1 AS needs_tags, NOT stale AND NOT (same AND err IS NOT NULL AND err IS NOT DISTINCT FROM old_error) AS write, stale OR err IS NOT NULL AS failed FROM a2)"""
 
 
-@query(f"WITH {FILES}, {OLD_SQL}, {NEW_SQL}, {PLAN_SQL}, {APPLY_SQL} SELECT key, error, CAST(n_chunks AS INT) AS n_chunks, write, failed FROM applied")
+@query(f"WITH {FILES}, {OLD_SQL}, {NEW_SQL}, {PLAN_SQL}, {APPLY_SQL} SELECT key, error, CAST(n_chunks AS INT) AS n_chunks, needs_ocr, needs_tags, write, failed FROM applied")
 def apply_sync(spark, d):
-    return _applied(spark, d).select("key", "error", "n_chunks", "write", "failed")
+    return _applied(spark, d).select("key", "error", F.size("chunks").alias("n_chunks"), "needs_ocr", "needs_tags", "write", "failed")
 
 
-@query(f"""WITH {FILES}, {OLD_SQL}, {NEW_SQL}, {PLAN_SQL}, {FATE_SQL} SELECT folder_id, count(*) FILTER (action = 'todo' AND NOT known) AS added, count(*) FILTER (action = 'todo' AND known) AS updated, count(*) FILTER (action = 'skip') AS unchanged,
-  count(*) FILTER (fate = 'removed') AS removed, count(*) FILTER (action = 'failed' OR (action = 'todo' AND size > 104857600)) AS failed, count(*) FILTER (fate = 'kept') AS kept FROM acted a LEFT JOIN (SELECT key, fate FROM fate) USING (key) LEFT JOIN (SELECT key, size FROM new) USING (key) GROUP BY folder_id""")
+@query(f"""WITH {FILES}, {OLD_SQL}, {NEW_SQL}, {PLAN_SQL}, {FATE_SQL}, {APPLY_SQL} SELECT a.folder_id, count(*) FILTER (action = 'todo' AND NOT a.known AND write) AS added, count(*) FILTER (action = 'todo' AND a.known AND write) AS updated, count(*) FILTER (action = 'skip') AS unchanged,
+  count(*) FILTER (fate = 'removed') AS removed, count(*) FILTER (action = 'failed' OR failed) AS failed, count(*) FILTER (fate = 'kept') AS kept FROM acted a LEFT JOIN (SELECT key, fate FROM fate) USING (key) LEFT JOIN (SELECT key, write, failed FROM applied) USING (key) GROUP BY a.folder_id""")
 def sync_counts(spark, d):
     old, new = _both(spark, d)
     plan = Y.plan_sync(old, new, True, True).join(old.select("key", "folder_id").unionByName(new.select("key", "folder_id")).distinct(), "key")
-    return Y.sync_counts(plan.join(_fate(spark, d).select("key", "fate"), "key", "left").join(_applied(spark, d).select("key", "failed"), "key", "left"))
+    return Y.sync_counts(plan.join(_fate(spark, d).select("key", "fate"), "key", "left").join(_applied(spark, d).select("key", "write", "failed"), "key", "left"))
 
 
 _STATS = "SELECT folder_id, count(*) AS total, count(error) AS errors, count(*) FILTER (doc_id % 17 = 0) AS needs_ocr, count(*) FILTER (doc_id % 190 = 0) AS needs_tags FROM files GROUP BY folder_id"
@@ -329,9 +386,9 @@ def corpus_stats(spark, d):
     return Y.corpus_stats(f.withColumns({"needs_ocr": F.col("doc_id") % 17 == 0, "needs_tags": F.col("doc_id") % 190 == 0}))
 
 
-@query(f"WITH {FILES} SELECT folder_id FROM ({_STATS}) WHERE needs_tags > 0")
+@query(f"WITH {FILES} SELECT folder_id FROM ({_STATS}) WHERE needs_ocr > 0 OR needs_tags > 0")
 def rescan_folders(spark, d):
-    return corpus_stats(spark, d).where("needs_tags > 0").select("folder_id")
+    return Y.rescan_folders(corpus_stats(spark, d), ocr=True, tags=True)
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'ในภาพ (บูรพา)' ELSE 'turn ' || turn END AS loc FROM conversations")
@@ -365,29 +422,59 @@ def edit_allowance_of_words(spark, d):
     return w.select("term", edit_allowance(F.col("term")).alias("k"))
 
 
-@query()
+@query(f"WITH {FILES}, {Q_SQL}, {EXACT_SQL}, {LOOSE_SQL}, {NEAR_SQL} SELECT qid, key, errors, hit_count, marks, hits FROM near")
 def search_near(spark, d):
     f, q = files_of(spark, d), asked(spark)
     _, _, near = S.search_text(f, q)
     return flat_hits(near).select("qid", "key", "errors", "hit_count", F.array_join("marks", "|").alias("marks"), "hits")
 
 
-@query()
+@query(f"WITH {FILES}, {Q_SQL}, {EXACT_SQL}, {LOOSE_SQL}, {SHOWN_SQL} SELECT qid, key, kind, hit_count, errors, rank FROM shown")
 def search_all(spark, d):
     return S.search_all(files_of(spark, d), asked(spark)).drop("mtime")
 
 
-@query()
+@query(f"WITH {FILES}, {Q_SQL}, {EXACT_SQL}, {LOOSE_SQL}, {REPORT_SQL}")
 def search_report(spark, d):
     f, q = files_of(spark, d), asked(spark)
-    s = S.summarise(q, *S.search_text(f, q))
-    outcome = F.when(F.col("near"), "near").when(F.col("total") == 0, "none").when(F.col("loose") & (F.col("n_terms") == 1), "name").when(F.col("loose"), "loose").otherwise("exact")
-    return s.withColumn("outcome", outcome)
+    return S.search_report(f, S.summarise(q, *S.search_text(f, q)))
+
+
+# Vectors of the files: five for each document in turn, the first of its name, the others of pieces of its first chunk. Every 50th vector asks.
+def semantic_sql() -> str:
+    return f"""pas AS (SELECT f.key, f.folder_id, f.ext, f.name, e.vec_id % 5 AS p, CASE WHEN e.vec_id % 5 = 0 THEN -1 ELSE 0 END AS chunk, CASE WHEN e.vec_id % 5 = 0 THEN 0 ELSE (e.vec_id % 5 - 1) * 40 END AS pos, 40 AS len, f.doc_id % 7 <> 3 AS current, {QUANT_SQL % 'e.embedding'} AS vec FROM embeddings e JOIN files f ON f.doc_id = e.vec_id // 5),
+qv AS (SELECT vec_id // 50 AS qid, embedding AS qvec, CASE WHEN vec_id % 500 = 50 THEN 'src3' END AS folder, CASE WHEN vec_id % 500 = 100 THEN 'Word' END AS kinds, CASE WHEN vec_id % 500 = 150 THEN '1 x' ELSE 'words' END AS query FROM embeddings WHERE vec_id % 50 = 0),
+sem AS MATERIALIZED (SELECT * FROM (SELECT qid, key, p, chunk, {DOT_SQL.format(a='qvec', b='f.vec')} / 127 * CASE WHEN chunk < 0 THEN 0.75::DOUBLE ELSE 1 END AS score FROM pas f JOIN qv ON f.current AND query = 'words' AND (folder IS NULL OR folder = f.folder_id) AND (kinds IS NULL OR kinds = {TYPES_SQL % 'f.ext'})) WHERE score >= 0.35),
+semk AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY score DESC, p) AS r FROM sem WHERE (qid, key) NOT IN (SELECT qid, key FROM skip)),
+semf AS (SELECT qid, key, max(score) AS score, count(*) AS hit_count, string_agg(CAST(p AS VARCHAR), ',' ORDER BY r) FILTER (r <= 2) AS hits FROM semk GROUP BY qid, key),
+semr AS MATERIALIZED (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS INT) AS rank FROM semf) WHERE rank <= 5)"""
+
+
+def _by_meaning(spark, d, files: DataFrame, skip: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Results by meaning and the passages, whose vectors are those of `embeddings`."""
+    e, i = t(spark, d, "embeddings"), F.col("vec_id")
+    docs = files.select("doc_id", "key")
+    p = e.join(docs, F.floor(i / 5) == F.col("doc_id")).select("key", (i % 5).alias("p"), F.when(i % 5 == 0, -1).otherwise(0).alias("chunk"), F.when(i % 5 == 0, 0).otherwise((i % 5 - 1) * 40).cast("int").alias("pos"), F.lit(40).alias("len"), V.quantize_vectors(F.col("embedding")).alias("vec"))
+    q = e.where(i % 50 == 0).select(F.floor(i / 50).alias("qid"), F.col("embedding").alias("vec"), F.when(i % 500 == 50, "src3").alias("folder_id"), F.when(i % 500 == 100, F.array(F.lit("Word"))).alias("types"), F.when(i % 500 == 150, "1 x").otherwise("words").alias("query"))
+    versioned = files.withColumn("sem_version", F.when(F.col("doc_id") % 7 != 3, 1))
+    return V.semantic_search(p, q, skip, versioned), p
+
+
+SKIP_SQL = "skip AS (SELECT qid, key FROM shown)"
+
+
+def present_sql() -> str:
+    return f"""WITH {FILES}, {Q_SQL}, {EXACT_SQL}, {LOOSE_SQL}, {SHOWN_SQL}, {SKIP_SQL}, {semantic_sql()},
+allr AS (SELECT qid, key, kind, rank, CASE kind WHEN 'near' THEN 1 ELSE 0 END AS grp FROM shown UNION ALL SELECT qid, key, 'sem', rank, 2 FROM semr),
+nr AS (SELECT *, row_number() OVER w AS n, lag(grp) OVER w AS before_ FROM allr WINDOW w AS (PARTITION BY qid ORDER BY grp, rank, key))
+SELECT qid, key, kind, CAST(n AS INT) AS n, grp > 0 AND coalesce(before_ <> grp, grp = 2) AS divider, CAST((n - 1) // 20 AS BIGINT) AS page FROM nr"""
 
 
-@query()
 def present_results(spark, d):
-    return S.present_results(S.search_all(files_of(spark, d), asked(spark)))
+    f = files_of(spark, d)
+    shown = written(S.search_all(f, asked(spark)), "shown")
+    found, _ = _by_meaning(spark, d, f, shown)
+    return S.present_results(shown, found)
 
 
 # ---- duplicates ----------------------------------------------------------------------------------------------------------
@@ -397,12 +484,12 @@ DUP_SQL = f"dt AS MATERIALIZED (SELECT key, mtime, t FROM (SELECT f.key, any_val
 
 @query(f"WITH {FILES}, {DUP_SQL} SELECT key, t FROM dt")
 def dup_text(spark, d):
-    return D.dup_text(C.corpus_from_documents(t(spark, d, "documents"))).select("key", "t")
+    return D.dup_text(records(spark, d)).select("key", "t")
 
 
 @query(f"WITH {FILES}, {DUP_SQL} SELECT min(key) AS cls, count(*) AS n FROM dt GROUP BY t HAVING count(*) > 1")
 def exact_duplicates(spark, d):
-    return D.exact_duplicates(D.dup_text(C.corpus_from_documents(t(spark, d, "documents"))))
+    return D.exact_duplicates(D.dup_text(records(spark, d)))
 
 
 _H = "CAST(2166136261 AS HUGEINT)"
@@ -415,9 +502,14 @@ g5 AS (SELECT DISTINCT cls, grams, h FROM g4 WHERE grams <= 4096 OR h < 26843545
 prints AS MATERIALIZED (SELECT cls, list(h ORDER BY h) AS vals, any_value(grams <= 4096 AND n < 128) AS full_ FROM g6 WHERE r <= 128 GROUP BY cls)"""
 
 
+def _prints(spark, d) -> DataFrame:
+    made = D.prints(D.dup_text(C.corpus_from_documents(t(spark, d, "documents"))))
+    return D.fingerprint(made, D.classes(made)[1])
+
+
 @query(f"WITH {FILES}, {DUP_SQL}, {PRINT_SQL} SELECT cls, array_to_string(vals, ',') AS vals, full_ AS is_full FROM prints")
 def fingerprint(spark, d):
-    p = D.fingerprint(D.classes(D.dup_text(C.corpus_from_documents(t(spark, d, "documents")))))
+    p = _prints(spark, d)
     return p.select("cls", F.array_join(F.transform("vals", lambda v: v.cast("string")), ",").alias("vals"), F.col("full").alias("is_full"))
 
 
@@ -433,9 +525,14 @@ def _found(spark, d):
     return D.find_duplicates(C.corpus_from_documents(t(spark, d, "documents")))
 
 
+def _groups(spark, d) -> tuple[DataFrame, DataFrame]:
+    members, edges = _found(spark, d)
+    return written(D.grouped(members, edges), "groups"), edges
+
+
 @query(f"WITH {FILES}, {DUP_SQL}, {PAIR_SQL} SELECT a, b, shared FROM cand")
 def dup_candidates(spark, d):
-    return D.dup_candidates(written(D.fingerprint(D.classes(D.dup_text(C.corpus_from_documents(t(spark, d, "documents"))))), "prints"))
+    return D.dup_candidates(written(_prints(spark, d), "fingerprints"))
 
 
 @query(f"WITH {FILES}, {DUP_SQL}, {PAIR_SQL} SELECT a, b, round(sim, 6) AS sim FROM links")
@@ -455,29 +552,27 @@ def dup_neighbors(spark, d):
 GROUP_SQL = f"""{MEMBER_SQL}, e AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
 reach AS MATERIALIZED (SELECT a, min(b) AS g FROM (WITH RECURSIVE r(a, b) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT * FROM r) GROUP BY a),
 ing AS MATERIALIZED (SELECT m.key, m.mtime, m.cls, coalesce(g, cls) AS group_id FROM members m LEFT JOIN reach ON reach.a = m.cls WHERE g IS NOT NULL OR size > 1),
-grp AS MATERIALIZED (SELECT group_id, count(*) AS n, min(cls) = max(cls) AS exact, arg_max(key, (mtime, key)) AS newest, any_value(s.sim) AS sim FROM ing LEFT JOIN (SELECT r.g, min(sim) AS sim FROM links l JOIN reach r ON r.a = l.a GROUP BY r.g) s ON s.g = group_id GROUP BY group_id)"""
+grp AS MATERIALIZED (SELECT group_id, count(*) AS n, min(cls) = max(cls) AS exact, arg_min(key, (-mtime, key)) AS newest, max(mtime) > min(mtime) AS differ, any_value(s.sim) AS sim FROM ing LEFT JOIN (SELECT r.g, min(sim) AS sim FROM links l JOIN reach r ON r.a = l.a GROUP BY r.g) s ON s.g = group_id GROUP BY group_id)"""
 
 
 @query(f"WITH {FILES}, {DUP_SQL}, {PAIR_SQL}, {GROUP_SQL} SELECT group_id, n, exact, round(coalesce(sim, 1.0), 6) AS sim, newest, (SELECT count(*) FROM grp) AS total_groups, CAST((SELECT sum(n) FROM grp) AS BIGINT) AS total_files FROM grp ORDER BY n DESC, exact DESC, coalesce(sim, 1.0) DESC, group_id LIMIT 100")
 def dup_groups(spark, d):
-    return D.dup_groups(*_found(spark, d)).withColumn("sim", F.round("sim", 6))
+    return D.dup_groups(*_groups(spark, d)).withColumn("sim", F.round("sim", 6))
 
 
-@query(f"WITH {FILES}, {DUP_SQL}, {PAIR_SQL}, {GROUP_SQL} SELECT i.key, i.group_id, i.key = newest AS newest FROM ing i JOIN grp USING (group_id)")
+@query(f"WITH {FILES}, {DUP_SQL}, {PAIR_SQL}, {GROUP_SQL} SELECT i.key, i.group_id, i.mtime, differ AND i.key = newest AS newest FROM ing i JOIN grp USING (group_id)")
 def dup_report(spark, d):
-    members, edges = _found(spark, d)
-    g = written(D.grouped(members, edges), "groups")
-    newest = g.groupBy("group_id").agg(F.max_by("key", F.struct("mtime", "key")).alias("n"))
-    return g.join(newest, "group_id").select("key", "group_id", (F.col("key") == F.col("n")).alias("newest"))
+    return D.dup_report(_groups(spark, d)[0])
 
 
-@query(f"""WITH {FILES}, {DUP_SQL}, {PAIR_SQL}, {MEMBER_SQL}, {Q_SQL}, {EXACT_SQL}, e AS (SELECT a, b, false AS exact FROM links UNION ALL SELECT b, a, false FROM links UNION ALL SELECT DISTINCT cls, cls, true FROM members WHERE size > 1),
-n AS (SELECT m.key, count(*) FILTER (e.exact) AS n_exact, count(*) FILTER (NOT e.exact) AS n_similar FROM members m JOIN e ON e.a = m.cls JOIN members o ON o.cls = e.b AND o.key <> m.key GROUP BY m.key)
-SELECT x.qid, x.key, coalesce(n_exact, 0) AS n_exact, coalesce(n_similar, 0) AS n_similar FROM exact x LEFT JOIN n ON n.key = x.key""")
+@query(f"""WITH {FILES}, {DUP_SQL}, {PAIR_SQL}, {MEMBER_SQL}, {Q_SQL}, {EXACT_SQL}, e AS (SELECT a, b, sim, false AS exact FROM links UNION ALL SELECT b, a, sim, false FROM links UNION ALL SELECT DISTINCT cls, cls, 1.0, true FROM members WHERE size > 1),
+n AS (SELECT * FROM (SELECT m.key, o.key AS other, o.mtime, exact, sim, row_number() OVER (PARTITION BY m.key ORDER BY exact DESC, sim DESC, o.mtime DESC, o.key) AS rank FROM members m JOIN e ON e.a = m.cls JOIN members o ON o.cls = e.b AND o.key <> m.key) WHERE rank <= 20),
+j AS (SELECT x.qid, x.key, n.*, n.mtime = max(n.mtime) OVER (PARTITION BY x.qid, x.key) AND n.mtime > x.mtime AS newest FROM exact x LEFT JOIN n ON n.key = x.key)
+SELECT qid, key, count(*) FILTER (exact) AS n_exact, count(*) FILTER (NOT exact) AS n_similar, coalesce(string_agg(other || CASE WHEN newest THEN '*' ELSE '' END, ',' ORDER BY rank), '') AS others FROM (SELECT qid, key, other, exact, newest, rank FROM j) GROUP BY qid, key""")
 def annotate_dups(spark, d):
-    near = D.dup_neighbors(*_found(spark, d)).groupBy("key").agg(F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_similar"))
-    r = S.search_exact(files_of(spark, d), asked(spark)).select("qid", "key").join(near, "key", "left")
-    return r.select("qid", "key", F.coalesce("n_exact", F.lit(0)).cast("long").alias("n_exact"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"))
+    near = D.dup_neighbors(*_found(spark, d))
+    r = D.annotate_dups(S.search_exact(files_of(spark, d), asked(spark)), near)
+    return r.withColumn("others", F.array_join(F.transform("others", lambda x: F.concat(x["key"], F.when(x["newest"], "*").otherwise(""))), ","))
 
 
 # ---- vectors -------------------------------------------------------------------------------------------------------------
@@ -497,13 +592,13 @@ def mean_pool(spark, d):
     return V.mean_pool(t(spark, d, "embeddings"), "label", "embedding").select("label", F.posexplode("vec").alias("d", "x")).select("label", F.col("d").cast("long").alias("d"), F.round("x", 6).alias("x"))
 
 
-PASS_SQL = f"pas AS (SELECT 'k' || label AS key, vec_id AS p, CASE WHEN vec_id % 10 = 0 THEN -1 ELSE vec_id % 5 END AS chunk, {QUANT_SQL % 'embedding'} AS vec FROM embeddings), qv AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id IN (3, 17, 42)), sc AS (SELECT qid, key, p, chunk, {DOT_SQL.format(a='q', b='vec')} / 127 * CASE WHEN chunk < 0 THEN 0.75::DOUBLE ELSE 1 END AS score FROM pas, qv)"
+PASS_SQL = f"pas AS (SELECT 'k' || label AS key, vec_id AS p, CASE WHEN vec_id % 10 = 0 THEN -1 ELSE vec_id % 5 END AS chunk, {QUANT_SQL % 'embedding'} AS vec FROM embeddings), qv AS (SELECT vec_id AS qid, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), sc AS (SELECT qid, key, p, chunk, {DOT_SQL.format(a='q', b='vec')} / 127 * CASE WHEN chunk < 0 THEN 0.75::DOUBLE ELSE 1 END AS score FROM pas, qv)"
 
 
 def _passages(spark, d):
     e = t(spark, d, "embeddings")
     p = e.select(F.concat(F.lit("k"), "label").alias("key"), F.col("vec_id").alias("p"), F.when(F.col("vec_id") % 10 == 0, -1).otherwise(F.col("vec_id") % 5).alias("chunk"), V.quantize_vectors(F.col("embedding")).alias("vec"))
-    return p, e.where(F.col("vec_id").isin(3, 17, 42)).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    return p, e.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
 
 
 @query(f"WITH {PASS_SQL} SELECT qid, key, p, chunk, round(score, 6) AS score FROM sc WHERE score >= 0.35")
@@ -511,12 +606,25 @@ def vector_scores(spark, d):
     return V.vector_scores(*_passages(spark, d)).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {PASS_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY qid, key ORDER BY score DESC, p) AS r FROM sc WHERE score >= 0.35 AND NOT (qid = 3 AND key = 'k1')),
-f AS (SELECT qid, key, max(score) AS score, count(*) AS hit_count, string_agg(CAST(p AS VARCHAR), ',' ORDER BY r) FILTER (r <= 2) AS hits FROM k GROUP BY qid, key)
-SELECT qid, key, round(score, 6) AS score, hit_count, hits, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, key) AS rank FROM f) WHERE rank <= 5""")
+def meaning_sql() -> str:
+    """Results by meaning with their snippets; files of the first folder's documents are skipped for the first query."""
+    return f"""WITH {FILES}, skip AS (SELECT 0 AS qid, key FROM files WHERE folder_id = 'src1'), {semantic_sql()},
+u AS (SELECT qid, key, score, hit_count, hits, rank, unnest(string_split(hits, ',')) AS p, generate_subscripts(string_split(hits, ','), 1) AS n FROM semr),
+s AS (SELECT u.*, CASE WHEN pas.chunk < 0 THEN '{X.NAME_LOC}|' || pas.name ELSE c.loc || '|' || CASE WHEN pos > 0 THEN '…' ELSE '' END || regexp_replace(replace(c.text[pos + 1:pos + len], chr(10), ' '), '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g') || CASE WHEN pos + len < length(c.text) THEN '…' ELSE '' END END AS snippet
+  FROM u JOIN pas ON pas.key = u.key AND pas.p = CAST(u.p AS BIGINT) LEFT JOIN chunks c ON c.key = u.key AND c.chunk = 0)
+SELECT qid, key, round(any_value(score), 6) AS score, any_value(hit_count) AS hit_count, any_value(hits) AS hits, any_value(rank) AS rank, string_agg(snippet, chr(10) ORDER BY n) AS snippets FROM s GROUP BY qid, key"""
+
+
+@query(meaning_sql())
 def semantic_search(spark, d):
-    skip = spark.createDataFrame([(3, "k1")], "qid long, key string")
-    return V.semantic_search(*_passages(spark, d), skip).withColumn("score", F.round("score", 6))
+    f = files_of(spark, d)
+    found, p = _by_meaning(spark, d, f, f.where("folder_id = 'src1'").select(F.lit(0).cast("long").alias("qid"), "key"))
+    found = written(found, "meaning")
+    lines = V.semantic_snippets(found, p, f).groupBy("qid", "key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "loc", "snippet"))), lambda s: F.concat(s["loc"], F.lit("|"), s["snippet"])), "\n").alias("snippets"))
+    return found.join(lines, ["qid", "key"]).withColumns({"score": F.round("score", 6), "hits": F.array_join(F.transform("hits", lambda p: p.cast("string")), ",")})
+
+
+query(present_sql())(present_results)
 
 
 SHARE_SQL = f"""{POOL}, lab AS (SELECT label, {QUANT_SQL % 'vec'} AS lv FROM mean),
@@ -543,15 +651,29 @@ def assign_tags(spark, d):
     return V.assign_tags(*_shares(spark, d))
 
 
-@query(f"WITH {TAGS_SQL} SELECT item, 'old|' || '{X.TAG_LOC}' AS locs, tags AS last FROM tg")
+@query(f"WITH {FILES}, {TAGS_SQL} SELECT item, (SELECT count(*) + 1 FROM chunks c WHERE c.key = f.key) AS n_chunks, '{X.TAG_LOC}' AS last_loc, tags AS last FROM tg JOIN files f ON f.doc_id = item")
 def append_tag_chunk(spark, d):
     tags = V.assign_tags(*_shares(spark, d))
-    old = F.array(F.struct(F.lit("old").alias("loc"), F.lit("x").alias("text")), F.struct(F.lit(X.TAG_LOC).alias("loc"), F.lit("y").alias("text")))
-    c = tags.withColumn("c", V.append_tag_chunk(old, F.col("tags")))
-    return c.select("item", F.array_join(F.transform("c", lambda x: x["loc"]), "|").alias("locs"), F.element_at("c", -1)["text"].alias("last"))
-
-
-@query()
+    old = records(spark, d).select(F.col("doc_id").alias("item"), F.array_insert("chunks", 1, F.struct(F.lit(X.TAG_LOC).alias("loc"), F.lit("old tags").alias("text"))).alias("chunks"))
+    c = tags.join(old, "item").withColumn("c", V.append_tag_chunk(F.col("chunks"), F.col("tags")))
+    return c.select("item", F.size("c").cast("long").alias("n_chunks"), F.element_at("c", -1)["loc"].alias("last_loc"), F.element_at("c", -1)["text"].alias("last"))
+
+
+def passages_sql(rows: str = "ranked") -> str:
+    blank = "length(regexp_extract(text[stop + 1:stop + 201], '(?s)^(.{101,200})[ \\n]', 1))"  # up to the last blank in reach
+    letters = "length(regexp_replace(%s, '[^\\p{L}]+', '', 'g'))"
+    return f"""WITH RECURSIVE {FILES}, steps AS (
+  SELECT key, chunk, text, 0 AS start, 0 AS stop FROM chunks
+  UNION ALL SELECT key, chunk, text, stop, CASE WHEN length(text) - stop <= 200 THEN length(text) ELSE stop + CASE WHEN {blank} > 0 THEN {blank} ELSE 200 END END FROM steps WHERE stop < length(text)
+), spans AS (SELECT *, row_number() OVER (PARTITION BY key, chunk ORDER BY start) - 1 AS round FROM steps WHERE {letters % "text[start + 1:stop]"} >= 12),
+named AS (SELECT key, -1 AS round, -1 AS chunk, 0 AS pos, length(stem) AS len, stem AS text FROM files WHERE {letters % "stem"} >= 8
+  UNION ALL SELECT key, round, chunk, start, stop - start, text[start + 1:stop] FROM spans),
+todo AS ({"SELECT * FROM named" if rows == "ranked" else "SELECT named.* FROM named JOIN files USING (key) WHERE doc_id % 3 <> 0 AND error IS NULL"}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY round, chunk) - 1 AS p FROM todo)
+SELECT key, CAST(p AS INT) AS p, CAST(chunk AS INT) AS chunk, CAST(pos AS INT) AS pos, CAST(len AS INT) AS len, text FROM ranked WHERE p < 40"""
+
+
+@query(passages_sql())
 def select_passages(spark, d):
     return V.select_passages(files_of(spark, d))
 
@@ -560,8 +682,6 @@ def select_passages(spark, d):
 
 
 def _parts(spark, d, df: DataFrame, tag: str) -> str:
-    from tidemill.operators.components import folder
-
     path = folder(spark, tag)
     df.repartition(3, "key").write.parquet(path)
     return path
@@ -569,21 +689,18 @@ def _parts(spark, d, df: DataFrame, tag: str) -> str:
 
 @query(f"WITH {FILES} SELECT key, mtime + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS mtime FROM files")
 def stream_index(spark, d):
-    from tidemill.operators.components import folder
+    from tidemill.streaming.streams import read_index
     from tidemill.streaming.streams import stream_index as start
 
     f = _keyed(spark, d)
     src = _parts(spark, d, f.unionByName(f.where("doc_id % 7 = 0").withColumn("mtime", F.col("mtime") + 1)), "incoming")
     out = folder(spark, "stream")
-    q = start(spark, src, f.schema, out, folder(spark, "progress"))
-    q.awaitTermination()
-    last = q.lastProgress.batchId if q.lastProgress else 0
-    return spark.read.schema(f.schema).parquet(f"{out}/v={last}").select("key", "mtime")
+    start(spark, src, f.schema, out, folder(spark, "progress"), files_per_batch=2).awaitTermination()
+    return read_index(spark, out, f.schema).select("key", "mtime")
 
 
 @query(f"WITH {FILES}, {Q_SQL}, {EXACT_SQL} SELECT qid, key, hit_count FROM exact")
 def stream_search(spark, d):
-    from tidemill.operators.components import folder
     from tidemill.streaming.streams import stream_search as start
 
     f = files_of(spark, d)
@@ -593,9 +710,8 @@ def stream_search(spark, d):
     return spark.read.parquet(out).select("qid", "key", "hit_count")
 
 
-@query()
+@query(passages_sql("backlog"))
 def stream_embed_backlog(spark, d):
-    from tidemill.operators.components import folder
     from tidemill.streaming.streams import stream_embed_backlog as start
 
     f = files_of(spark, d).withColumn("sem_version", F.when(F.col("doc_id") % 3 == 0, 1))

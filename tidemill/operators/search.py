@@ -1,7 +1,8 @@
 """Many queries at once over a corpus: exact, loose and near matches, ranking, summary and presentation.
 
-`queries`: qid, query, types (null or empty: all), folder_id (null: all), near. The table is small and broadcast;
-chunks are scanned once, and only hits, with snippets already cut, are shuffled on (qid, key).
+`queries`: qid, query, types (null or empty: all), folder_id (null: all), near. Chunks are scanned once, and only hits,
+with snippets already cut, are shuffled on (qid, key). A table of up to BROADCAST_QUERIES queries is broadcast. Beyond
+SCAN_QUERIES queries, a chunk meets only those that share a trigram of their longest term with it.
 """
 
 from __future__ import annotations
@@ -9,13 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import NAME_LOC, file_type, make_snippet, query_terms
+from tidemill.functions.text import NAME_LOC, file_type, in_pool, make_snippet, query_terms
 from tidemill.operators.components import written
 from tidemill.operators.fuzzy import edit_allowance, nearest, piece_gate
 from tidemill.sources.corpus import chunk_rows
 
 MAX_FILES, MAX_HITS, PAGE = 200, 30, 20
 NAME_CHUNK = 2**31 - 1
+BROADCAST_QUERIES, SCAN_QUERIES = 100_000, 200
 
 
 def prepare_queries(queries: DataFrame) -> DataFrame:
@@ -23,8 +25,14 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     return q.withColumn("lows", F.transform("terms", lambda t: F.lower(t))).withColumn("can_near", F.exists("lows", lambda t: edit_allowance(t) > 0))
 
 
-def in_pool(folder: Column, ext: Column) -> Column:
-    return (F.col("q.folder_id").isNull() | (F.col("q.folder_id") == folder)) & (F.coalesce(F.size("q.types"), F.lit(0)).isin(0, -1) | F.array_contains(F.col("q.types"), file_type(ext)))
+def pool(side: str) -> Column:
+    """Whether the file of `side` is in the pool of the query `q`."""
+    return in_pool(F.col(f"{side}.folder_id"), F.col(f"{side}.ext"), F.col("q.types"), F.col("q.folder_id"))
+
+
+def asking(queries: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
+    """The queries, broadcast if their number is checked to be small."""
+    return F.broadcast(queries) if queries.count() <= most else queries
 
 
 def filter_pool(files: DataFrame, types: list[str] | None = None, folder_id: str | None = None) -> DataFrame:
@@ -34,20 +42,41 @@ def filter_pool(files: DataFrame, types: list[str] | None = None, folder_id: str
 
 
 def roll_up(hits: DataFrame) -> DataFrame:
-    """qid, key, mtime, hit_count and the first hits (chunk order, the name last)."""
-    listed = F.slice(F.array_sort(F.collect_list(F.struct("ord", "chunk", "loc", "snippet"))), 1, MAX_HITS)
-    return hits.groupBy("qid", "key").agg(F.first("mtime").alias("mtime"), F.count("*").alias("hit_count"), listed.alias("hits"))
-
-
-def search_exact(files: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, key, mtime, hit_count and the first hits (chunk order, the name last); no more than those are gathered."""
+    ranked = hits.withColumn("r", F.row_number().over(Window.partitionBy("qid", "key").orderBy("ord")))
+    first = F.array_sort(F.collect_list(F.when(F.col("r") <= MAX_HITS, F.struct("ord", "chunk", "loc", "snippet"))))
+    return ranked.groupBy("qid", "key").agg(F.first("mtime").alias("mtime"), F.count("*").alias("hit_count"), first.alias("hits"))
+
+
+def longest_term(lows: Column) -> Column:
+    return F.array_max(F.transform(lows, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+
+
+def met(c: DataFrame, queries: DataFrame, many: bool) -> DataFrame:
+    """Chunks (alias c) with the queries (alias q) that have all terms in them."""
+    all_terms = F.forall("q.lows", lambda t: F.contains(F.col("c.low"), t))
+    if not many:
+        return c.join(asking(queries).alias("q"), pool("c") & F.contains(F.col("c.low"), longest_term(F.col("q.lows"))) & all_terms)
+    # a term of three or more characters has its first trigram in every chunk that holds it
+    gram = F.substring(longest_term(F.col("lows")), 1, 3)
+    q = queries.withColumn("gram", gram)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring("low", i, 3)))
+    posts = c.select("*", F.explode(grams).alias("gram")).alias("c").join(F.broadcast(q.select("gram").distinct()), "gram", "left_semi") if q.count() <= BROADCAST_QUERIES else c.select("*", F.explode(grams).alias("gram"))
+    long = posts.alias("c").join(q.where(F.length("gram") == 3).alias("q"), (F.col("c.gram") == F.col("q.gram")) & pool("c") & all_terms)
+    cols = [F.col(f"c.{x}") for x in c.columns], [F.col(f"q.{x}") for x in ("qid", "lows")]
+    short = c.join(asking(q.where(F.length("gram") < 3)).alias("q"), pool("c") & all_terms)
+    pairs = [df.select(F.struct(*cols[0]).alias("c"), F.struct(*cols[1]).alias("q")) for df in (long, short)]
+    return pairs[0].unionByName(pairs[1])
+
+
+def search_exact(files: DataFrame, queries: DataFrame, scan: int = SCAN_QUERIES) -> DataFrame:
     """Files with all terms in one chunk, or in the stem of the name."""
-    q = F.broadcast(queries.where(F.size("lows") > 0)).alias("q")
+    q = queries.where(F.size("lows") > 0)
     c = chunk_rows(files, "folder_id", "ext", "mtime").alias("c")
-    longest = F.array_max(F.transform("q.lows", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    match = F.contains(F.col("c.low"), longest) & F.forall("q.lows", lambda t: F.contains(F.col("c.low"), t))
-    hits = c.join(q, in_pool(F.col("c.folder_id"), F.col("c.ext")) & match).select("qid", "key", "mtime", F.col("chunk").alias("ord"), "chunk", "loc", make_snippet(F.col("c.text"), F.col("c.low"), F.col("q.lows")).alias("snippet"))
+    hits = met(c, q, q.count() > scan)
+    hits = hits.select("q.qid", "c.key", "c.mtime", F.col("c.chunk").alias("ord"), "c.chunk", "c.loc", make_snippet(F.col("c.text"), F.col("c.low"), F.col("q.lows")).alias("snippet"))
     f = files.alias("f")
-    names = f.join(q, in_pool(F.col("f.folder_id"), F.col("f.ext")) & F.forall("q.lows", lambda t: F.contains(F.col("f.stem_low"), t)))
+    names = f.join(asking(q).alias("q"), pool("f") & F.forall("q.lows", lambda t: F.contains(F.col("f.stem_low"), t)))
     names = names.select("qid", "key", "mtime", F.lit(NAME_CHUNK).alias("ord"), F.lit(None).cast("int").alias("chunk"), F.lit(NAME_LOC).alias("loc"), F.col("stem").alias("snippet"))
     return roll_up(hits.unionByName(names))
 
@@ -55,12 +84,12 @@ def search_exact(files: DataFrame, queries: DataFrame) -> DataFrame:
 def search_loose(files: DataFrame, queries: DataFrame, exact: DataFrame) -> DataFrame:
     """For queries without exact results: files with every term somewhere, the full name included; hits distinct by location."""
     q = queries.where(F.size("lows") > 0).join(exact.select("qid").distinct(), "qid", "left_anti")
-    t = F.broadcast(q.select("qid", "types", "folder_id", F.size("lows").alias("n_terms"), F.posexplode("lows").alias("ix", "term"))).alias("q")
+    t = asking(q.select("qid", "types", "folder_id", F.size("lows").alias("n_terms"), F.posexplode("lows").alias("ix", "term"))).alias("q")
     c = chunk_rows(files, "folder_id", "ext", "mtime").alias("c")
-    hits = c.join(t, in_pool(F.col("c.folder_id"), F.col("c.ext")) & F.contains(F.col("c.low"), F.col("q.term")))
+    hits = c.join(t, pool("c") & F.contains(F.col("c.low"), F.col("q.term")))
     hits = hits.select("qid", "key", "mtime", "n_terms", "ix", F.col("chunk").alias("at"), "chunk", "loc", make_snippet(F.col("c.text"), F.col("c.low"), F.array("q.term")).alias("snippet"))
     f = files.alias("f")
-    names = f.join(t, in_pool(F.col("f.folder_id"), F.col("f.ext")) & F.contains(F.col("f.name_low"), F.col("q.term")))
+    names = f.join(t, pool("f") & F.contains(F.col("f.name_low"), F.col("q.term")))
     names = names.select("qid", "key", "mtime", "n_terms", "ix", F.lit(NAME_CHUNK).alias("at"), F.lit(None).cast("int").alias("chunk"), F.lit(NAME_LOC).alias("loc"), F.col("name").alias("snippet"))
     every = hits.unionByName(names)
     full = every.groupBy("qid", "key").agg(F.count_distinct("ix").alias("n"), F.first("n_terms").alias("n_terms")).where("n = n_terms").select("qid", "key")
@@ -72,10 +101,10 @@ def search_near(files: DataFrame, queries: DataFrame, found: DataFrame) -> DataF
     """Files in which every term is found exactly or nearly, not all exactly; only for queries without results or with `near`."""
     have = found.select("qid").distinct().withColumn("have", F.lit(True))
     q = queries.where("can_near").join(have, "qid", "left").where(F.col("have").isNull() | F.coalesce("near", F.lit(False)))
-    t = F.broadcast(q.select("qid", "types", "folder_id", F.size("lows").alias("n_terms"), F.posexplode("lows").alias("ix", "term"))).alias("q")
+    t = asking(q.select("qid", "types", "folder_id", F.size("lows").alias("n_terms"), F.posexplode("lows").alias("ix", "term"))).alias("q")
     c = chunk_rows(files, "folder_id", "ext", "mtime").select("key", "folder_id", "ext", "mtime", "chunk", "loc", "text", "low")
     names = files.select("key", "folder_id", "ext", "mtime", F.lit(-1).alias("chunk"), F.lit(NAME_LOC).alias("loc"), F.col("name").alias("text"), F.col("name_low").alias("low"))
-    spots = c.unionByName(names).alias("c").join(t, in_pool(F.col("c.folder_id"), F.col("c.ext")) & piece_gate(F.col("c.low"), F.col("q.term")))
+    spots = c.unionByName(names).alias("c").join(t, pool("c") & piece_gate(F.col("c.low"), F.col("q.term")))
     spots = spots.join(found.select("qid", "key"), ["qid", "key"], "left_anti").withColumn("hit", nearest(F.col("low"), F.col("term"), edit_allowance(F.col("term")))).where("hit.errors is not null")
     spots = spots.select("qid", "key", "mtime", "n_terms", "ix", "chunk", "loc", "text", "low", "hit.errors", F.substring("low", F.col("hit.start") + 1, F.col("hit.end") - F.col("hit.start")).alias("word"))
     spots = spots.withColumn("snippet", F.when(F.col("chunk") < 0, F.col("text")).otherwise(make_snippet(F.col("text"), F.col("low"), F.array("word")))).drop("text", "low")
@@ -111,19 +140,35 @@ def search_all(files: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def summarise(queries: DataFrame, exact: DataFrame, loose: DataFrame, near: DataFrame) -> DataFrame:
-    """One row per query: loose, near, total, near_total, can_near, n_terms."""
+    """One row per query: n_terms, can_near, loose, near, total, near_total, and hits: those of the shown exact or loose results."""
+    found = exact.select("qid", "key", "hit_count", "mtime").unionByName(loose.select("qid", "key", "hit_count", "mtime"))
+    shown = rank_results(found).groupBy("qid").agg(F.sum("hit_count").alias("hits"))
     n = lambda df, name: df.groupBy("qid").agg(F.count("*").alias(name))
-    j = queries.select("qid", F.size("terms").alias("n_terms"), F.coalesce("can_near", F.lit(False)).alias("can_near"))
+    j = queries.select("qid", F.size("terms").alias("n_terms"), F.coalesce("can_near", F.lit(False)).alias("can_near")).join(shown, "qid", "left")
     for df, name in ((exact, "n_exact"), (loose, "n_loose"), (near, "near_total")):
         j = j.join(n(df, name), "qid", "left")
     z = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     total = z("n_exact") + z("n_loose")
-    return j.select("qid", "n_terms", "can_near", (z("n_loose") > 0).alias("loose"), ((total == 0) & (z("near_total") > 0)).alias("near"), total.alias("total"), z("near_total").alias("near_total"))
+    return j.select("qid", "n_terms", "can_near", (z("n_loose") > 0).alias("loose"), ((total == 0) & (z("near_total") > 0)).alias("near"), total.alias("total"), z("near_total").alias("near_total"), z("hits").alias("hits"))
+
+
+def search_report(files: DataFrame, summary: DataFrame) -> DataFrame:
+    """`summary` with outcome: empty (no file is indexed), none, near, name (one term, in names only), loose or exact."""
+    empty = F.lit(files.isEmpty())
+    outcome = F.when(empty, "empty").when(F.col("near"), "near").when(F.col("total") == 0, "none").when(F.col("loose") & (F.col("n_terms") == 1), "name").when(F.col("loose"), "loose")
+    return summary.withColumn("outcome", outcome.otherwise("exact"))
+
 
+def present_results(shown: DataFrame, semantic: DataFrame | None = None) -> DataFrame:
+    """qid, key, kind, n, divider, page: text results first, then near ones, then those by meaning (qid, key, rank).
 
-def present_results(shown: DataFrame) -> DataFrame:
-    """Order number, divider and page of the shown rows of each query: text results first, then near ones."""
-    group = F.when(F.col("kind") == "near", 1).otherwise(0)
+    A divider stands before the first of a group that follows another one, and before results by meaning that come first.
+    """
+    rows = shown.select("qid", "key", "kind", "rank")
+    if semantic is not None:
+        rows = rows.unionByName(semantic.select("qid", "key", F.lit("sem").alias("kind"), "rank"))
+    group = F.when(F.col("kind") == "sem", 2).when(F.col("kind") == "near", 1).otherwise(0)
     w = Window.partitionBy("qid").orderBy(group, "rank", "key")
-    out = shown.withColumn("grp", group).withColumn("n", F.row_number().over(w)).withColumn("before", F.lag("grp").over(w))
-    return out.select("qid", "key", "kind", "n", (F.col("before").isNotNull() & (F.col("before") != F.col("grp"))).alias("divider"), F.floor((F.col("n") - 1) / PAGE).alias("page"))
+    out = rows.withColumn("grp", group).withColumn("n", F.row_number().over(w)).withColumn("before", F.lag("grp").over(w))
+    divider = (F.col("grp") > 0) & F.coalesce(F.col("before") != F.col("grp"), F.col("grp") == 2)
+    return out.select("qid", "key", "kind", "n", divider.alias("divider"), F.floor((F.col("n") - 1) / PAGE).alias("page"))

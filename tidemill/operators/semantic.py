@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from tidemill.functions.text import TAG_LOC, count_letters
+from tidemill.functions.text import NAME_LOC, TAG_LOC, count_letters, in_pool, trim_space
+from tidemill.operators.components import written
 
 PASSAGE_CHARS, MAX_PASSAGES, MIN_LETTERS, NAME_LETTERS = 200, 40, 12, 8
 MIN_SCORE, SEM_FILES, NAME_WEIGHT, SEM_HITS = 0.35, 5, 0.75, 2
 SURE, ALSO, MAX_TAGS, GAIN, TOP = 0.18, 0.08, 4, 100.0, 8
+#: Rows of a block of vectors, and bytes of query vectors up to which they are broadcast.
+BLOCK_ROWS, BROADCAST_BYTES = 1000, 32 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("len", T.IntegerType())]))
 
 
+#: The rest of a text if it is short; else up to PASSAGE_CHARS before the last blank beyond their middle; else just so many.
+PIECE = re.compile(rf".{{1,{PASSAGE_CHARS}}}\Z|.{{{PASSAGE_CHARS // 2 + 1},{PASSAGE_CHARS}}}(?=[ \n])|.{{1,{PASSAGE_CHARS}}}", re.S)
+
+
 def passage_spans(text: str) -> list[tuple[int, int]]:
-    """Pieces of up to PASSAGE_CHARS, cut at the last blank beyond their middle; those with few letters are left out."""
-    out, start = [], 0
-    while start < len(text):
-        end = min(len(text), start + PASSAGE_CHARS)
-        if end < len(text):
-            cut = max(text.rfind("\n", start, end + 1), text.rfind(" ", start, end + 1))
-            end = cut if cut > start + PASSAGE_CHARS // 2 else end
-        if sum(c.isalpha() for c in text[start:end]) >= MIN_LETTERS:
-            out.append((start, end - start))
-        start = end
-    return out
+    """Position and length of the pieces of a text with letters enough."""
+    return [(m.start(), len(m[0])) for m in PIECE.finditer(text) if sum(map(str.isalpha, m[0])) >= MIN_LETTERS]
 
 
 @pandas_udf(SPANS)
@@ -65,20 +69,90 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def packed(rows: DataFrame, ids: list[str], vec: str, size: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks of up to `size` rows: an array of each id column and the vectors as one matrix of 32-bit floats."""
+    kinds = dict(rows.dtypes)
+    arrow = to_arrow_schema(rows.select(*ids).schema)
+    schema = pa.schema([*[(f.name, pa.list_(f.type)) for f in arrow], ("m", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(0, b.num_rows, size):
+                part = b.slice(k, size)
+                cols = [c.to_pylist() for c in part.columns]
+                m = np.array(cols.pop(), np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip([*cols, m.tobytes()], schema.types, strict=True)], schema=schema)
+
+    return rows.select(*ids, vec).where(F.col(vec).isNotNull()).mapInArrow(run, ", ".join([*[f"{c} array<{kinds[c]}>" for c in ids], "m binary"]))
+
+
 def vector_scores(passages: DataFrame, query_vecs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
-    """qid, key, p, chunk, score at `least` or more; passages of names (chunk -1) weigh less. The queries are broadcast."""
-    j = passages.join(F.broadcast(query_vecs.select("qid", F.col("vec").alias("q"))))
-    score = dot(F.col("q"), F.col("vec")) / 127 * F.when(F.col("chunk") < 0, NAME_WEIGHT).otherwise(1.0)
-    return j.select("qid", "key", "p", "chunk", score.alias("score")).where(F.col("score") >= least)
-
-
-def semantic_search(passages: DataFrame, query_vecs: DataFrame, skip: DataFrame) -> DataFrame:
-    """qid, key, score, hit_count, first hits and rank of the best files per query, those in `skip` (qid, key) left out."""
-    s = vector_scores(passages, query_vecs).join(skip.select("qid", "key"), ["qid", "key"], "left_anti")
-    s = s.withColumn("r", F.row_number().over(Window.partitionBy("qid", "key").orderBy(F.col("score").desc(), "p")))
-    files = s.groupBy("qid", "key").agg(F.max("score").alias("score"), F.count("*").alias("hit_count"), F.array_sort(F.collect_list(F.when(F.col("r") <= SEM_HITS, F.struct("r", "p")))).alias("h"))
-    files = files.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "key"))).where(F.col("rank") <= SEM_FILES)
-    return files.select("qid", "key", "score", "hit_count", F.array_join(F.transform("h", lambda x: x["p"].cast("string")), ",").alias("hits"), "rank")
+    """qid, key, p, chunk, score at `least` or more; passages of names (chunk -1) weigh less.
+
+    Both sides are packed in blocks, and a pair of blocks is one matrix product. The blocks of queries go to all tasks by a
+    broadcast if they take BROADCAST_BYTES at most, else pairs of blocks are dealt out. Vectors must have one length.
+    """
+    blocks = written(packed(query_vecs, ["qid"], "vec"), "queries")
+    total = blocks.agg(F.coalesce(F.sum(F.length("m")), F.lit(0))).first()[0]
+    p = packed(passages, ["key", "p", "chunk"], "vec")
+    pairs = p.crossJoin((F.broadcast(blocks) if total <= BROADCAST_BYTES else blocks).select("qid", F.col("m").alias("q")))
+    kinds = {c: dict(df.dtypes)[c] for df in (query_vecs, passages) for c in df.columns}
+    arrow = [to_arrow_schema(df.select(c).schema).field(0) for df, c in ((query_vecs, "qid"), (passages, "key"), (passages, "p"), (passages, "chunk"))]
+    schema = pa.schema([*arrow, pa.field("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for keys, ps, chunks, m, qids, q in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                x = np.frombuffer(m, np.float32).reshape(len(keys), -1).astype(np.float64)
+                y = np.frombuffer(q, np.float32).reshape(len(qids), -1).astype(np.float64)
+                score = y @ x.T / 127 * np.where(np.array(chunks) < 0, NAME_WEIGHT, 1.0)
+                i, j = np.nonzero(score >= least)
+                cols = [[qids[k] for k in i], [keys[k] for k in j], [ps[k] for k in j], [chunks[k] for k in j], score[i, j]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+    return pairs.select("key", "p", "chunk", "m", "qid", "q").mapInArrow(run, f"qid {kinds['qid']}, key {kinds['key']}, p {kinds['p']}, chunk {kinds['chunk']}, score double")
+
+
+def askable(queries: DataFrame) -> DataFrame:
+    """Queries with two letters or more; others have no meaning to search for."""
+    return queries.where(count_letters(F.col("query")) >= 2)
+
+
+def current(files: DataFrame, version: int = 1) -> DataFrame:
+    """Records without error whose vectors are of this version."""
+    return files.where(F.col("error").isNull() & F.col("sem_version").eqNullSafe(F.lit(version)))
+
+
+def semantic_search(passages: DataFrame, queries: DataFrame, skip: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """qid, key, score, hit_count, best passages (p in order) and rank of the best files per query, those in `skip` (qid, key) left out.
+
+    `queries`: qid, vec and, if they are there, query (fewer than two letters find nothing), types and folder_id (with
+    `files`: key, folder_id, ext, error, sem_version; records with stale vectors find nothing).
+    """
+    if "query" in queries.columns:
+        queries = askable(queries)
+    if files is not None:
+        passages = passages.join(current(files).select("key"), "key", "left_semi")
+    s = vector_scores(passages, queries)
+    if files is not None:
+        pool = s.join(files.select("key", "folder_id", "ext"), "key").alias("s").join(queries.select("qid", "types", F.col("folder_id").alias("wanted")).alias("q"), "qid")
+        s = pool.where(in_pool(F.col("s.folder_id"), F.col("s.ext"), F.col("q.types"), F.col("q.wanted"))).select("qid", "key", "p", "chunk", "score")
+    s = s.join(skip.select("qid", "key"), ["qid", "key"], "left_anti")
+    best = s.withColumn("r", F.row_number().over(Window.partitionBy("qid", "key").orderBy(F.col("score").desc(), "p"))).where(F.col("r") <= SEM_HITS)
+    files_ = s.groupBy("qid", "key").agg(F.max("score").alias("score"), F.count("*").alias("hit_count"))
+    files_ = files_.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "key"))).where(F.col("rank") <= SEM_FILES)
+    hits = best.groupBy("qid", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "p"))), lambda x: x["p"]).alias("hits"))
+    return files_.join(hits, ["qid", "key"]).select("qid", "key", "score", "hit_count", "hits", "rank")
+
+
+def semantic_snippets(found: DataFrame, passages: DataFrame, files: DataFrame) -> DataFrame:
+    """qid, key, n, loc, chunk, pos, snippet of the shown passages. passages: key, p, chunk, pos, len; files with chunks and name."""
+    shown = found.select("qid", "key", F.posexplode("hits").alias("n", "p")).join(passages.select("key", "p", "chunk", "pos", "len"), ["key", "p"])
+    j = shown.join(files.select("key", "name", "chunks"), "key").withColumn("c", F.get("chunks", F.greatest("chunk", F.lit(0))))
+    body = trim_space(F.replace(F.substring("c.text", F.col("pos") + 1, F.col("len")), F.lit("\n"), F.lit(" ")))
+    cut = F.concat(F.when(F.col("pos") > 0, "…").otherwise(""), body, F.when(F.col("pos") + F.col("len") < F.length("c.text"), "…").otherwise(""))
+    of_name = F.col("chunk") < 0
+    return j.select("qid", "key", "n", F.when(of_name, NAME_LOC).otherwise(F.col("c.loc")).alias("loc"), F.when(~of_name, F.col("chunk")).alias("chunk"), F.when(~of_name, F.col("pos")).alias("pos"), F.when(of_name, F.col("name")).otherwise(cut).alias("snippet"))
 
 
 def zero_shot_share(items: DataFrame, labels: DataFrame, top: int = TOP) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import TAG_LOC, TAGGABLE
+from tidemill.functions.text import TAG_LOC, TAGGABLE, trim_space
+from tidemill.sources.corpus import MAX_SIZE
 
-MAX_SIZE = 100 * 1024 * 1024
+#: Folders up to which those that could not be read are broadcast.
+BROADCAST_DIRS = 100_000
+MAX_ERROR = 300
 TOO_LARGE, UNREADABLE = "ไฟล์ใหญ่เกินกำหนด", "เปิดไฟล์ไม่ได้"
 TEXT_IMAGE_CHARS = 80
 
@@ -21,7 +24,7 @@ def awaits_tags(needs: Column, ext: Column, error: Column, chunks: Column) -> Co
 
 
 def plan_sync(index: DataFrame, listing: DataFrame, ocr: bool = False, tags: bool = False) -> DataFrame:
-    """key, action (skip, failed, todo, gone), known, text_good.
+    """key, action (skip, failed, todo, gone), known, same, text_good.
 
     index: key, mtime, size, v, error, needs_ocr, awaits_tags; listing: key, mtime, size, v, readable.
     """
@@ -36,39 +39,60 @@ def plan_sync(index: DataFrame, listing: DataFrame, ocr: bool = False, tags: boo
         .when(same & F.col("o.error").isNotNull() & (F.col("n.size") > MAX_SIZE), "failed")
         .otherwise("todo")
     )
-    return j.select(F.coalesce("n.key", "o.key").alias("key"), action.alias("action"), F.col("o.key").isNotNull().alias("known"), good.alias("text_good"))
+    return j.select(F.coalesce("n.key", "o.key").alias("key"), action.alias("action"), F.col("o.key").isNotNull().alias("known"), same.alias("same"), good.alias("text_good"))
 
 
 def detect_removed(gone: DataFrame, failed_dirs: DataFrame) -> DataFrame:
     """key, folder_id, fate: 'kept' below a folder that could not be read, else 'removed'."""
-    g, d = gone.alias("g"), F.broadcast(failed_dirs).alias("d")
+    few = failed_dirs.count() <= BROADCAST_DIRS
+    g, d = gone.alias("g"), (F.broadcast(failed_dirs) if few else failed_dirs).alias("d")
     below = (F.col("g.folder_id") == F.col("d.folder_id")) & F.expr("startswith(g.rel, d.prefix)")
     kept = g.join(d, below, "left_semi").select("key").withColumn("kept", F.lit(True))
     return gone.join(kept, "key", "left").select("key", "folder_id", F.when(F.col("kept"), "kept").otherwise("removed").alias("fate"))
 
 
-def apply_sync(todo: DataFrame) -> DataFrame:
-    """key, error, n_chunks, write, failed of the records of todo rows.
+def apply_sync(todo: DataFrame, tags: bool = False) -> DataFrame:
+    """key, known, error, chunks, needs_ocr, needs_tags, write, failed of todo rows.
 
-    todo: key, size, readable, known, text_good, old_error, old_chunks, new_chunks.
+    todo: key, ext, size, readable (its bytes could be read), known, same, text_good; the old record's old_error,
+    old_chunks, old_needs_ocr; what reading gave: new_chunks, new_needs_ocr, new_error (null if it went well); and
+    tag_text: the tags of an image, '' if it has none, null if there was no tagger.
+
+    Too large files and those that cannot be read any more get an error and no chunks; a known one that cannot be read
+    keeps its old record. The same error of an unchanged file is not written again.
     """
     large, lost = F.col("size") > MAX_SIZE, ~F.col("readable")
-    error = F.when(large, TOO_LARGE).when(lost & ~F.col("known"), UNREADABLE).when(lost, F.col("old_error"))
-    untagged = F.filter("old_chunks", lambda c: c["loc"] != TAG_LOC)
+    stale = lost & F.col("known") & ~large
+    error = F.when(large, TOO_LARGE).when(lost & ~F.col("known"), UNREADABLE).when(~lost & ~F.col("text_good"), F.substring("new_error", 1, MAX_ERROR))
     none = F.array().cast("array<struct<loc:string,text:string>>")
-    chunks = F.when(large | (lost & ~F.col("known")), none).when(lost, F.col("old_chunks")).when(F.col("text_good"), untagged).otherwise(F.col("new_chunks"))
-    made = todo.withColumn("error", error).withColumn("chunks", chunks)
-    write = ~(lost & F.col("known")) & ~(F.col("known") & F.col("error").isNotNull() & F.col("error").eqNullSafe(F.col("old_error")))
-    return made.select("key", "known", "error", F.size("chunks").alias("n_chunks"), "chunks", write.alias("write"), (F.col("error").isNotNull() | lost).alias("failed"))
+    untagged = F.filter("old_chunks", lambda c: c["loc"] != TAG_LOC)
+    made = todo.withColumn("error", error)
+    text = F.when(F.col("error").isNotNull(), none).when(F.col("text_good"), F.coalesce(untagged, none)).otherwise(F.coalesce("new_chunks", none))
+    ocr = F.when(F.col("error").isNotNull(), F.lit(False)).when(F.col("text_good"), F.col("old_needs_ocr")).otherwise(F.col("new_needs_ocr"))
+    made = made.withColumn("text", text).withColumn("needs_ocr", F.coalesce(ocr, F.lit(False)))
+    open_ = F.col("error").isNull() & F.col("ext").isin(*TAGGABLE) & (text_length(F.col("text")) < TEXT_IMAGE_CHARS)
+    tagged = open_ & F.lit(tags) & (F.col("tag_text") != "")
+    chunks = F.when(F.coalesce(tagged, F.lit(False)), F.array_append("text", F.struct(F.lit(TAG_LOC).alias("loc"), F.col("tag_text").alias("text")))).otherwise(F.col("text"))
+    again = F.col("same") & F.col("error").isNotNull() & F.col("error").eqNullSafe(F.col("old_error"))
+    return made.select(
+        "key",
+        "known",
+        F.when(stale, F.col("old_error")).otherwise(F.col("error")).alias("error"),
+        F.when(stale, F.col("old_chunks")).otherwise(chunks).alias("chunks"),
+        F.when(stale, F.coalesce("old_needs_ocr", F.lit(False))).otherwise(F.col("needs_ocr")).alias("needs_ocr"),
+        (~stale & open_ & (F.lit(not tags) | F.col("tag_text").isNull())).alias("needs_tags"),
+        (~stale & ~again).alias("write"),
+        (stale | F.col("error").isNotNull()).alias("failed"),
+    )
 
 
 def sync_counts(plan: DataFrame) -> DataFrame:
-    """added, updated, unchanged, removed, failed, kept per folder; plan has folder_id, action, known, failed, fate."""
+    """added, updated, unchanged, removed, failed, kept per folder; plan has folder_id, action, known, write, failed, fate."""
     c = lambda cond, name: F.count_if(F.coalesce(cond, F.lit(False))).alias(name)
     a = F.col("action")
     return plan.groupBy("folder_id").agg(
-        c((a == "todo") & ~F.col("known"), "added"),
-        c((a == "todo") & F.col("known"), "updated"),
+        c((a == "todo") & ~F.col("known") & F.col("write"), "added"),
+        c((a == "todo") & F.col("known") & F.col("write"), "updated"),
         c(a == "skip", "unchanged"),
         c(F.col("fate") == "removed", "removed"),
         c((a == "failed") | F.col("failed"), "failed"),
@@ -80,9 +104,12 @@ def corpus_stats(files: DataFrame) -> DataFrame:
     return files.groupBy("folder_id").agg(F.count("*").alias("total"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if("needs_ocr").alias("needs_ocr"), F.count_if("needs_tags").alias("needs_tags"))
 
 
-def ocr_backlog(pages: DataFrame, least: int = 10, cap: int = 200) -> DataFrame:
-    """doc, page of the first `cap` pages of each file that hold fewer than `least` characters."""
-    from pyspark.sql import Window
+def rescan_folders(stats: DataFrame, ocr: bool = False, tags: bool = False) -> DataFrame:
+    """Folders to visit again after text recognition or tagging was switched on: those with files that wait for it."""
+    return stats.where((F.lit(ocr) & (F.col("needs_ocr") > 0)) | (F.lit(tags) & (F.col("needs_tags") > 0))).select("folder_id")
+
 
-    low = pages.where(F.length(F.trim("text")) < least)
+def ocr_backlog(pages: DataFrame, least: int = 10, cap: int = 200) -> DataFrame:
+    """doc, page, r of the first `cap` pages of each file that hold fewer than `least` characters, blanks around them left out."""
+    low = pages.where(F.length(trim_space(F.col("text"))) < least)
     return low.withColumn("r", F.row_number().over(Window.partitionBy("doc").orderBy("page"))).where(F.col("r") <= cap).select("doc", "page", "r")

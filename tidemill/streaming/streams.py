@@ -3,27 +3,46 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tidemill.operators.search import search_exact
 from tidemill.operators.semantic import needs_embedding, select_passages
-from tidemill.sources.corpus import latest, upsert_index
+from tidemill.sources.corpus import latest
 
+#: Parts of a streamed index; a batch writes only those that its keys fall into.
+BUCKETS = 16
 
-def stream_index(spark: SparkSession, source: str, schema, table: str, checkpoint: str, key: str = "key") -> StreamingQuery:
-    """Upserts new record files under `source` into versions `table`/v=<batch>; the greatest mtime of a key wins.
 
-    A batch writes the next version from the one before, so that a repeated batch gives the same version.
+def stream_index(spark: SparkSession, source: str, schema: StructType, table: str, checkpoint: str, key: str = "key", files_per_batch: int = 1000) -> StreamingQuery:
+    """Upserts new record files under `source` into `table`; the greatest mtime of a key wins.
+
+    The table is cut into buckets by key. Batch n writes the buckets that it touches as v=n, from their last versions
+    before n, so that a repeated batch gives the same; `read_index` takes the last version of every bucket.
     """
 
     def step(batch: DataFrame, n: int) -> None:
-        new = latest(batch, key)
+        new = latest(batch, key).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
         if n:
-            old = batch.sparkSession.read.schema(batch.schema).parquet(f"{table}/v={n - 1}")
-            new = upsert_index(old, latest(old.unionByName(new), key).join(new.select(key), key, "left_semi"), key)
-        new.write.mode("overwrite").parquet(f"{table}/v={n}")
-
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+            old = read_index(batch.sparkSession, table, schema, n, touched)
+            new = latest(old.unionByName(new), key)
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v={n}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_index(spark: SparkSession, table: str, schema: StructType, before: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """The records of a streamed index as of the batches before number `before`, with their bucket."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("v", IntegerType()), StructField("bucket", IntegerType())])).parquet(table)
+    if before is not None:
+        rows = rows.where(F.col("v") < before)
+    if buckets is not None:
+        rows = rows.where(F.col("bucket").isin(*buckets))
+    last = rows.groupBy("bucket").agg(F.max("v").alias("v"))  # a row per bucket
+    return rows.join(F.broadcast(last), ["bucket", "v"], "left_semi").drop("v")
 
 
 def stream_search(files: DataFrame, queries: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
