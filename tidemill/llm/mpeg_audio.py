@@ -4,8 +4,10 @@ The writer makes a stream that players accept: an ID3v2 tag, a Xing frame with f
 table, and MPEG-1 layer III frames (mono, 32 kHz) whose granules are empty, so they sound silent, and whose
 ancillary bytes hold the payload. Every frame carries its checksum.
 
-The probe skips junk until a frame header that the next one confirms, reads tags and the variable-bitrate table,
-verifies checksums, and gives exact durations (samples over rate) and the byte offset of each frame.
+The probe skips junk until a frame header that the next one confirms, reads tags (ID3v2.2 to 2.4, with unsynchronisation
+and all text encodings; ID3v1 only behind the last frame, so that no payload is taken for one) and the variable-bitrate
+table, verifies the checksums of all layers, and gives exact durations (samples over rate) and the byte offset of each
+frame.
 
 Null text counts as empty; an empty payload is 64 zero bytes. Repeated texts give equal media. Extra columns are
 not read. A null or unparsable stream gives zero frames and an empty payload.
@@ -56,15 +58,44 @@ def header(word: bytes) -> tuple | None:
 
 
 @lru_cache(4096)
-def crc16(data: bytes) -> int:
+def crc16(data: bytes, bits: int | None = None) -> int:
+    """Checksum of the first `bits` bits (default: all)."""
     crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1 & 0xFFFF
+    for k in range(8 * len(data) if bits is None else bits):
+        top = crc >> 15 ^ data[k >> 3] >> 7 - (k & 7) & 1
+        crc = (crc << 1 ^ (0x8005 if top else 0)) & 0xFFFF
     return crc
 
 
+# Fixed values of layer II: (subbands, bits of their allocation) in order.
+ALLOCATION_2 = ((4, 4), (7, 3), (19, 2))
+ALLOCATION_1 = ((11, 4), (12, 3), (7, 2))
+ALLOCATION_1_LOW = ((2, 4), (10, 3))
+
+
+def guarded_bits(version: int, layer: int, bps: int, hz: int, mode: int, bound: int, body: bytes) -> int:
+    """How many bits of a frame's body (behind the checksum) its checksum covers in layers I and II."""
+    channels, widths = 1 if mode == 3 else 2, [4] * 32
+    if layer == 2:
+        kbps = bps // 1000 // channels
+        if version != 1:
+            table, bands = ALLOCATION_2, 30
+        elif kbps < 56:
+            table, bands = ALLOCATION_1_LOW, 12 if hz == 32000 else 8
+        else:
+            table, bands = ALLOCATION_1, 30 if kbps >= 96 and hz != 48000 else 27
+        widths = [w for n, w in table for _ in range(n)][:bands]
+    word, total = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 64 * 8
+    at = chosen = 0
+    for band, width in enumerate(widths):
+        shared = mode == 1 and band >= bound
+        for _ in range(1 if shared else channels):
+            value = word >> total - at - width & (1 << width) - 1
+            chosen += bool(value) * (channels if shared else 1)
+            at += width
+    return at + 2 * chosen * (layer == 2)
+
+
 def side_bytes(version: int, channels: int) -> int:
     """Bytes of layer III side information."""
     return (32 if channels == 2 else 17) if version == 1 else (17 if channels == 2 else 9)
@@ -100,30 +131,60 @@ def write_mpeg(payload: bytes) -> bytes:
     return b"".join([tag, _STARTS[k], xing, bytes(_ROOM[k] - len(xing)), *frames])
 
 
-def _tags(data: bytes) -> tuple[int, int, dict[str, str]]:
-    """Where audio starts and ends, and the text frames of an ID3v2 tag."""
-    start, end, notes = 0, len(data), {}
-    if data[:3] == b"ID3" and len(data) >= 10:
-        size = sum((b & 0x7F) << s for b, s in zip(data[6:10], (21, 14, 7, 0), strict=True))
-        start, at = min(end, 10 + size), 10
-        while at + 10 <= start and data[at : at + 1].isalnum():
-            name, n = data[at : at + 4].decode("latin-1"), struct.unpack(">I", data[at + 4 : at + 8])[0]
-            if name == "TXXX":
-                key, _, value = data[at + 11 : at + 10 + n].decode("latin-1").partition("\0")
-                notes[key] = value
-            at += 10 + n
-    if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-    return start, end, notes
+ENCODINGS = ("latin-1", "utf-16", "utf-16-be", "utf-8")
+
+
+def text_of(body: bytes, two: bool) -> tuple[str, str]:
+    """The text of an ID3v2 text frame, with its description if it has `two`."""
+    if not body or body[0] >= len(ENCODINGS):
+        return "", ""
+    wide, text = body[0] in (1, 2), body[1:]
+    cut = -1
+    if two:
+        cut = next((k for k in range(0, len(text) - wide, 1 + wide) if not any(text[k : k + 1 + wide])), -1)
+    parts = (text[:cut], text[cut + 1 + wide :]) if cut >= 0 else (b"", text)
+    return tuple(p.decode(ENCODINGS[body[0]], "replace").rstrip("\0") for p in parts)
+
+
+def read_id3(data: bytes) -> tuple[int, dict[str, str]]:
+    """Size of an ID3v2 tag in front (0 without one) and its text frames: by name, own ones by description."""
+    unsafe = lambda b: sum((x & 0x7F) << s for x, s in zip(b, (21, 14, 7, 0), strict=True))
+    if data[:3] != b"ID3" or len(data) < 10:
+        return 0, {}
+    version, flags, size = data[3], data[5], min(len(data), 10 + unsafe(data[6:10]))
+    body, notes = data[10:size], {}
+    if flags & 0x80 and version < 4:
+        body = body.replace(b"\xff\0", b"\xff")
+    at, head = 0, 6 if version == 2 else 10
+    if flags & 0x40 and version > 2 and len(body) >= 4:  # an extended header
+        at = unsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    while at + head <= len(body) and body[at : at + 1].isalnum():
+        name = body[at : at + (3 if version == 2 else 4)].decode("latin-1")
+        n = int.from_bytes(body[at + 3 : at + 6], "big") if version == 2 else unsafe(body[at + 4 : at + 8]) if version == 4 else int.from_bytes(body[at + 4 : at + 8], "big")
+        own = body[at + head : at + head + n]
+        if version == 4 and body[at + 9] & 2:
+            own = own.replace(b"\xff\0", b"\xff")
+        if version == 4 and body[at + 9] & 1:  # a length stands before the frame
+            own = own[4:]
+        if name in ("TXXX", "TXX"):
+            key, value = text_of(own, True)
+            notes[key] = value
+        elif name[0] == "T":
+            notes[name] = text_of(own, False)[1]
+        at += head + n
+    return size, notes
 
 
 def probe_mpeg(data: bytes | None) -> dict:
     """Frames, exact length, checksums, seek offsets and carried payload of an MPEG audio stream."""
     data = data or b""
-    start, at_end, notes = _tags(data)
+    start, notes = read_id3(data)
+    at_end = len(data)
     out = {"frames": 0, "samples": 0, "rate": 0, "offsets": [], "good": 0, "bad": 0, "junk": 0, "vbr": None, "bps": set()}
     at, kind, first, parts = start, None, True, []
     while at + 4 <= at_end:
+        if at == at_end - 128 and not first and data[at : at + 3] == b"TAG":  # ID3v1, right behind a frame
+            break
         h = header(data[at : at + 4])
         ok = h and at + h[6] <= at_end and kind in (None, (h[0], h[1], h[4]))
         if ok and kind is None and at + h[6] + 4 <= at_end:  # the first frame counts once another follows it
@@ -138,8 +199,9 @@ def probe_mpeg(data: bytes | None) -> dict:
         version, layer, check, bps, hz, channels, size, samples = h
         kind, body = (version, layer, hz), at + 4 + 2 * check
         side = side_bytes(version, channels) if layer == 3 else 0
-        if check and layer == 3:
-            right = data[at + 4 : at + 6] == struct.pack(">H", crc16(data[at + 2 : at + 4] + data[body : body + side]))
+        if check:
+            guarded = 8 * side if layer == 3 else guarded_bits(version, layer, bps, hz, data[at + 3] >> 6, 4 * (data[at + 3] >> 4 & 3) + 4, data[body : at + size])
+            right = data[at + 4 : at + 6] == struct.pack(">H", crc16(data[at + 2 : at + 4] + data[body : body + -(-guarded // 8)], 16 + guarded))
             out["good" if right else "bad"] += 1
         mark = data[body + side : body + side + 4]
         if first and mark in (b"Xing", b"Info"):
@@ -158,6 +220,7 @@ def probe_mpeg(data: bytes | None) -> dict:
             parts.append(data[body + side : at + size])
         out["rate"], first, at = hz, False, at + size
     payload = b"".join(parts)
+    out["tags"] = notes
     return out | {"payload": payload[: int(notes["payload"])] if notes.get("payload", "").isdigit() else payload}
 
 
