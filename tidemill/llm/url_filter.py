@@ -2,12 +2,14 @@
 
 A rule `host/path/` fits its host and all subdomains where the url's path starts with the rule's path; the longest
 rule wins, equal lengths go to the first in text order. Without a rule the model decides: block at 0.5 or more.
-A null url, or one without `://`, has an empty host and path, and the model sees those. Repeated rows are judged
-alike; extra columns are kept out; an empty table gives an empty result.
+A null url, or one without `://`, has an empty host and path, and so no n-gram: the model falls back to its bias, the share
+of unwanted urls in its table, and allows it. Very long urls are read whole. Repeated rows are judged alike; extra columns
+are kept out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import random
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -20,26 +22,47 @@ from tidemill.llm.common import ascii_lower, batch, columns, table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
-#: The small labelled table: 1 is unwanted. Replace it by your own through `labelled`.
-PATHS = ("", "en/10", "de/77.html", "fr/2391/", "es/604?x=1")
-LABELLED = tuple(
-    [(f"http://{h}/{p}", 1) for h in (
-        "cheap-meds.example.com", "www.pills-shop.example.org", "buy-viagra-pills.test", "discount-pills.example.com", "cheap-watches.test",
-        "spam-links.example.org", "link-farm.example.com", "content-farm.test", "www.seo-farm.example.org", "mail-spam.test",
-        "online-casino.example.com", "casino-bonus.test", "win-casino.example.org", "big-win-slots.test", "lucky-win.example.com",
-        "free-spins.example.com", "sport-bets.test", "free-betting.example.org", "best-bets.example.com", "free-money.test",
-        "adult-video.example.com", "adult-cams.test", "xxx-adult.example.org", "x-rated.test", "hot-adult-x.example.com",
-        "ads-server.example.com", "banner-ads.test", "click-track.example.org", "ad-tracker.test", "track-pixel.example.com",
-    ) for p in PATHS]
-    + [(f"https://{h}/{p}", 0) for h in (
-        "example.com", "www.example.org", "blog.example.com", "m.example.org", "news.example.com", "garden.example.org", "blog.weather.example.com",
-        "m.library.example.org", "thnder.example.com", "ertion.example.org", "www.thanea.example.com", "blog.ingsta.example.org", "m.orthe.example.com",
-        "reanth.example.net", "history.example.net", "blog.science.example.net", "www.museum.example.org", "docs.example.com", "maps.example.org",
-        "university.test", "www.hospital.test", "school.test", "blog.travel.test", "recipes.test", "www.theatre.test", "m.heron.test", "wiki.test",
-    ) for p in PATHS]
+# The small labelled table: words of unwanted and of harmless hosts and paths, combined by `labelled_urls`. An url is
+# unwanted (1) if its host or its path is. Top-level parts say nothing, as both kinds get the same. Pass your own table as `labelled`.
+UNWANTED_HOSTS = (
+    "casino", "online-poker", "lucky-slots", "jackpot-wins", "sports-betting", "best-bets", "free-spins", "roulette-bonus", "cheap-viagra", "cialis-online",
+    "discount-pills", "pharmacy-deals", "weight-loss-pills", "replica-watches", "fake-handbags", "payday-loans", "quick-cash", "debt-cash", "free-porn", "xxx-videos",
+    "sexcams", "adult-dating", "hot-escorts", "nude-pics", "click-tracker", "adserver", "popunder-ads", "banner-ads", "pixel-track", "spam-mailer",
+    "buy-backlinks", "seo-link-farm", "crypto-doubler", "bitcoin-giveaway", "free-iphone-prize", "win-prizes", "warez", "keygen-crack", "torrent-movies", "cracked-games",
 )
+HARMLESS_HOSTS = (
+    "university", "city-library", "museum", "weather", "garden", "recipes", "history", "science-news", "daily-journal", "hospital",
+    "school", "travel-guide", "maps", "docs", "wiki", "archive", "parliament", "theatre", "orchestra", "football-club",
+    "chess", "photography", "astronomy", "biology-lab", "cooking", "knitting", "railway", "grammar", "language-courses", "village-council",
+    "mountain-hiking", "river-fishing", "bookshop", "furniture", "open-source", "statistics", "observatory", "bakery", "choir", "cycling",
+    "newspaper", "computer-center", "teacher", "drinking-water", "theater", "winter-sports", "letters", "butterflies", "carpenter", "farmer", "baker-street", "summer-camp",
+)
+UNWANTED_PATHS = (
+    "casino/play", "win/jackpot-bonus", "free-spins?ref=9", "buy-cheap-viagra", "pills/order-now", "xxx/videos/7", "porn/hot-girls", "adult-cams/live", "click?aff=33", "track/pixel.gif",
+    "ads/banner/12", "download/keygen-crack.exe", "payday-loans/apply", "free-iphone/claim-prize", "betting/odds", "spam/unsubscribe?id=4", "backlinks/buy", "replica-watches/sale",
+)
+HARMLESS_PATHS = (
+    "", "about", "en/10", "de/77.html", "fr/2391/", "es/604?x=1", "wiki/Physics", "docs/index.html", "2021/05/12/story", "articles/water-cycle", "blog/post-7", "search?q=trees", "details/old-maps",
+    "products/oak-table", "photos/4", "events/summer-concert", "en/history/chapter-2", "contact.html", "static/style.css", "people/staff", "lessons/verbs/3", "news/local/894", "page?id=15&ref=home", "opening-hours",
+)
+TOPS = (".com", ".org", ".net", ".test", ".example.com", ".example.org", ".example.net", ".info")
+FRONTS = ("", "www.", "m.", "blog.")
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """Each unwanted host with a few harmless and unwanted paths, each harmless host with several harmless paths and an unwanted one."""
+    r, out = random.Random(4), []
+    for hosts, bad, amounts in ((UNWANTED_HOSTS, 1, (3, 1)), (HARMLESS_HOSTS, 0, (10, 1))):
+        for host in hosts:
+            for n, paths, label in ((amounts[0], HARMLESS_PATHS, bad), (amounts[1], UNWANTED_PATHS, 1)):
+                out += [(f"{r.choice(('http', 'https'))}://{r.choice(FRONTS)}{host}{r.choice(TOPS)}/{p}", label) for p in r.sample(paths, n)]
+    return out
 
-DIMS = 1 << 14
+
+LABELLED = tuple(labelled_urls())
+
+DIMS = 1 << 16
+LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def grams(host: str, path: str) -> np.ndarray:
@@ -48,26 +71,34 @@ def grams(host: str, path: str) -> np.ndarray:
     return np.unique(np.fromiter((zlib.crc32(g.encode("utf-8", "surrogatepass")) % DIMS for g in found), np.int64, len(found)))
 
 
+def score(w: np.ndarray, b: float, host: str, path: str) -> float:
+    """How likely the url is unwanted."""
+    g = grams(host, path)
+    return 1 / (1 + float(np.exp(-(w[g].sum() / max(len(g), 1) ** 0.5 + b))))
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     rest = url.partition("://")[2] if url and "://" in url else ""
     cut = min((i for c in "?#" if (i := rest.find(c)) >= 0), default=len(rest))
     host, slash, path = rest[:cut].partition("/")
-    return host.lower(), slash + path
+    return host.translate(LOWER), slash + path
 
 
 def train(labelled: Iterable[tuple[str, int]] = LABELLED, rounds: int = 400, rate: float = 0.5, l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch gradient steps on the labelled urls, classes weighing the same."""
+    """Weights by full-batch gradient steps on the labelled urls, and a bias that stays at their log odds, so that unknown n-grams speak for neither side."""
     rows = [(grams(*split_url(u)), y) for u, y in labelled]
-    w, b = np.zeros(DIMS), 0.0
+    unwanted = sum(y for _, y in rows)
+    w, b = np.zeros(DIMS), float(np.log((unwanted + 0.5) / (len(rows) - unwanted + 0.5)))
+    if not rows:
+        return w, b
     at, of = np.concatenate([g for g, _ in rows]), np.repeat(np.arange(len(rows)), [len(g) for g, _ in rows])
     norm = 1 / np.sqrt(np.bincount(of, minlength=len(rows)))
     y = np.array([y for _, y in rows], float)
-    share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    share = 1 / max(len(y), 1)
     for _ in range(rounds):
         z = np.bincount(of, w[at], len(rows)) * norm + b
         g = (1 / (1 + np.exp(-z)) - y) * share
         w -= rate * 40 * (np.bincount(at, (g * norm)[of], DIMS) + l2 * w / 40)
-        b -= rate * g.sum()
     return w, b
 
 
@@ -95,10 +126,7 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, hs, ps, rules_, verdicts in columns(batches):
-            scores = []
-            for h, p in zip(hs, ps, strict=True):
-                g = grams(h, p)
-                scores.append(1 / (1 + float(np.exp(-(w[g].sum() / max(len(g), 1) ** 0.5 + b)))))
+            scores = [score(w, b, h, p) for h, p in zip(hs, ps, strict=True)]
             verdicts = [v or ("block" if s >= 0.5 else "allow") for v, s in zip(verdicts, scores, strict=True)]
             yield batch(schema, ids, hs, ps, rules_, verdicts, scores)
 
