@@ -5,8 +5,10 @@ frequencies times inverse document frequency. Weights come from follow-the-regul
 penalties (the absolute-value part leaves most of them zero), and a held-back part of the sample sets the
 temperature that turns scores into probabilities.
 
-Only a bounded sample of labelled rows (`sample_rows`, by a hash of the id) is learned from. A text is read whole; as
-frequencies add up over words, each worker works a word out once. Null texts and texts without letters get `und`
+The weights are learned from a bounded sample of distinct labelled texts, `sample_rows` of each language by a hash of the
+id, so that rare languages are learned too; the document frequencies count all training documents. A text is read whole;
+as frequencies add up over words, each worker works a word out once. Letters are those of Unicode; numerals such as
+fractions are none. Null texts and texts without letters get `und`
 with score 0; so does every text when nothing could be learned. Equal scores go to the first language in text
 order. Repeated rows are predicted alike; extra columns are kept out.
 """
@@ -14,19 +16,22 @@ order. Repeated rows are predicted alike; extra columns are kept out.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.common import CACHE_WORDS, batch, columns, crc_mod, known_words, table
 
 DIMS = 1 << 15
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Word characters that are numerals but neither letters nor decimal digits.
+NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
 LONGEST = 40
 
 
@@ -120,6 +125,35 @@ def frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("id", "lang", "text").mapInArrow(run, "id long, lang string, at array<int>, n array<int>")
 
 
+def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """How many texts have each n-gram, and how many have any; tasks add up DIMS counts, and no more reach the driver."""
+    schema = pa.schema([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, counts, own = Grams(), np.zeros(DIMS + 1, np.int64), {}
+        for (some,) in columns(batches):
+            for text in some:
+                words = set(LETTERS.findall(text.lower()))
+                if not words:
+                    continue
+                if len(own) > CACHE_WORDS // 4:
+                    own.clear()
+                for w in words - own.keys():
+                    own[w] = np.array(grams.of(w), np.int32)
+                seen = np.zeros(DIMS + 1, bool)
+                seen[np.concatenate([own[w] for w in words])] = True
+                seen[DIMS] = True
+                counts += seen
+        at = np.flatnonzero(counts).astype(np.int32)
+        yield batch(schema, [at], [counts[at]])
+
+    parts = texts.mapInArrow(run, "at array<int>, n array<bigint>").select(F.explode(F.arrays_zip("at", "n")).alias("e"))
+    out = np.zeros(DIMS + 1, np.int64)
+    for r in parts.groupBy("e.at").agg(F.sum("e.n").alias("n")).collect():
+        out[r["at"]] = r["n"]
+    return out[:DIMS], int(out[DIMS])
+
+
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and biases of follow-the-regularised-leader, one example at a time in seeded order."""
     z, n = np.zeros((DIMS + 1, k)), np.zeros((DIMS + 1, k))
@@ -148,17 +182,21 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], k: int, epochs: int = 4
     return w[:-1], w[-1]
 
 
-def train_language(docs: DataFrame, sample_rows: int = 800, scale: float = 100.0) -> Model | None:
+def train_language(docs: DataFrame, sample_rows: int = 300, scale: float = 100.0) -> Model | None:
     """A model from (doc_id, lang, text) rows; null texts and languages are left out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "lang", "text")
-    chosen = usable.select("id").orderBy(F.xxhash64("id"), "id").limit(sample_rows).distinct()
-    rows = frequencies(usable.join(F.broadcast(chosen), "id")).collect()
+    # the first document stands for all copies of a text
+    single = usable.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("id").alias("id"))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "h")
+    chosen = single.withColumn("r", F.row_number().over(first)).where(F.col("r") <= sample_rows).select("lang", "id", "h")
+    own = usable.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "id", "h"]).dropDuplicates(["lang", "id", "h"])
+    rows = frequencies(own).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r["id"]).encode()), len(r["at"]), r["lang"], r["at"]))
     langs = sorted({r["lang"] for r in rows})
     if not langs:
         return None
-    df = np.bincount(np.concatenate([r["at"] for r in rows]), minlength=DIMS)
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    df, n_docs = document_frequencies(usable.select("text"))
+    idf = np.log((1 + n_docs) / (1 + df)) + 1
     made = [(at := np.array(r["at"]), scale * np.array(r["n"]) / sum(r["n"]) * idf[at] / 10, langs.index(r["lang"])) for r in rows]
     held = max(1, len(made) // 5)
     w, b = ftrl(made[held:] or made, len(langs))
