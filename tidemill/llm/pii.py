@@ -168,13 +168,18 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     return docs.select("doc_id", "text", "base", F.concat(base, more).alias("spans"), "kept")
 
 
+def shape(term: Column) -> Column:
+    """What stays of a generalised term: its runs of capitals and of small letters as X and x."""
+    return F.concat(F.lit("["), F.regexp_replace(F.regexp_replace(F.regexp_replace(term, r"\p{Lu}+", "\u0001"), r"\p{L}+", "x"), "\u0001", "X"), F.lit("]"))
+
+
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with pattern spans replaced by their kind, removed terms gone, and generalised terms as [term]."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["action"].alias("action"))))
+    """The text with pattern spans replaced by their kind (<EMAIL>), removed terms gone, and generalised terms as their shape ([Xx])."""
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["action"].alias("action"), s["value"].alias("value"))))
 
     def cut(s: Column) -> Column:
         def step(acc: Column, x: Column) -> Column:
-            put = F.when(x["action"] == "remove", F.lit("")).when(x["kind"] == "term", F.lit("[term]")).otherwise(F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+            put = F.when(x["action"] == "remove", F.lit("")).when(x["kind"] == "term", shape(x["value"])).otherwise(F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
             return F.when(
                 x["start"] >= acc["at"],
                 F.struct(x["end"].alias("at"), F.array_append(acc["out"], F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), put)).alias("out")),
