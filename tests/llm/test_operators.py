@@ -37,8 +37,12 @@ def test_media_round_trip(spark):
 
 def test_media_resynchronises():
     media = mpeg_audio.write_mpeg(b"payload " * 800)
-    whole, noisy = mpeg_audio.probe_mpeg(media), mpeg_audio.probe_mpeg(media[:60] + media[60:])
-    assert whole["payload"] == b"payload " * 800 and noisy["junk"] == 0
+    whole = mpeg_audio.probe_mpeg(media)
+    tag = media.index(b"\xff\xfa")
+    noisy = mpeg_audio.probe_mpeg(media[:tag] + b"noise\xff\xfb" + media[tag:])
+    assert whole["payload"] == noisy["payload"] == b"payload " * 800 and (whole["junk"], noisy["junk"]) == (0, 7)
+    tagged = mpeg_audio.probe_mpeg(media + b"TAG" + bytes(125))
+    assert tagged["payload"] == whole["payload"] and tagged["frames"] == whole["frames"] and tagged["junk"] == 0
     start = whole["offsets"][2]
     broken = mpeg_audio.probe_mpeg(media[:start] + b"\xff\xe0junk" + media[start:])
     assert broken["junk"] == 6 and broken["frames"] == whole["frames"] and broken["payload"] == whole["payload"]
@@ -47,6 +51,54 @@ def test_media_resynchronises():
     assert mpeg_audio.probe_mpeg(bytes(flipped))["bad"] == 1 and mpeg_audio.probe_mpeg(None)["frames"] == 0
 
 
+def test_media_keeps_every_payload():
+    r = random.Random(3)
+    marks = [b"TAG", b"ID3\x03\0\0\0\0\0\x7f", b"Xing", b"VBRI", b"\xff\xfa\xe8\xc0", b"\xff\xff\xff"]
+    for size in (64, 128, 192, 1024, 1408, 1472, 2816, 4096):
+        for mark in marks:
+            for at in [*range(0, 60), *range(max(0, size - 200), size - len(mark) + 1)]:
+                payload = bytearray(r.randbytes(size))
+                payload[at : at + len(mark)] = mark
+                payload = bytes(payload[:size])
+                p = mpeg_audio.probe_mpeg(mpeg_audio.write_mpeg(payload))
+                assert p["payload"] == payload and p["bad"] == p["junk"] == 0, (size, mark, at)
+
+
+def test_media_checksums_of_all_layers():
+    def frame(head, covered, body):
+        """A frame whose checksum covers the first `covered` bits behind it."""
+        h = mpeg_audio.header(head)
+        body = body.ljust(h[6] - 6, b"\0")
+        bits = "".join(f"{b:08b}" for b in head[2:] + body)[: 16 + covered]
+        crc = 0xFFFF
+        for b in bits:
+            crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ int(b) else 0)) & 0xFFFF
+        return head + crc.to_bytes(2, "big") + body
+
+    one = frame(bytes([0xFF, 0xFE, 0x54, 0xC0]), 32 * 4, b"\x12" * 16)  # layer I, mono
+    joint = frame(bytes([0xFF, 0xFE, 0x54, 0x40]), (4 * 2 + 28) * 4, b"\x12" * 30)  # layer I, joint stereo from band 4
+    two = frame(bytes([0xFF, 0xFC, 0x94, 0xC0]), 11 * 4 + 12 * 3 + 4 * 2 + 2 * 3, bytes([0x10, 0x20, 0x30]))  # layer II, 48 kHz, three bands in use
+    low = frame(bytes([0xFF, 0xF4, 0x54, 0x00]), 2 * (4 * 4 + 7 * 3 + 19 * 2), b"")  # version 2, layer II, stereo
+    for f in (one, joint, two, low):
+        p = mpeg_audio.probe_mpeg(f * 3)
+        assert (p["frames"], p["good"], p["bad"]) == (3, 3, 0)
+        broken = bytearray(f)
+        broken[6] ^= 0x80
+        assert mpeg_audio.probe_mpeg(bytes(broken) * 3)["bad"] == 3
+
+
+def test_media_tags():
+    size = lambda n: bytes(n >> s & 0x7F for s in (21, 14, 7, 0))
+    tag = lambda v, flags, body: b"ID3" + bytes([v, 0, flags]) + size(len(body)) + body
+    old = tag(2, 0, b"TT2" + (4).to_bytes(3, "big") + b"\0abc")
+    wide = "\u0e01".encode("utf-16")
+    new = tag(4, 0, b"TIT2" + size(len(wide) + 1) + b"\0\0\x01" + wide + b"TXXX" + size(6) + b"\0\0\x03k\0\xc3\xa9x")
+    unsafe = tag(3, 0x80, b"TIT2" + (3).to_bytes(4, "big") + b"\0\0\0\xff\0z")
+    assert mpeg_audio.read_id3(old) == (len(old), {"TT2": "abc"})
+    assert mpeg_audio.read_id3(new + b"rest") == (len(new), {"TIT2": "\u0e01", "k": "\u00e9x"})
+    assert mpeg_audio.read_id3(unsafe)[1] == {"TIT2": "\u00ffz"} and mpeg_audio.read_id3(b"ID3") == (0, {})
+
+
 def test_url_rules(spark):
     urls = [None, "no scheme", "http://A.Example.net/en/1", "http://example.net", "https://x.org/fr/?q", "http://cheap-casino-pills.test/en/10", "http://borg/fr/"]
     got = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
@@ -55,6 +107,38 @@ def test_url_rules(spark):
     assert (got[4]["rule"], got[4]["path"]) == ("org/fr/", "/fr/") and got[5]["verdict"] == "block" and got[6]["rule"] is None
 
 
+def test_url_rules_against_brute_force(spark):
+    r = random.Random(5)
+    bits = ["http://", "HTTPS://", "://", "", "example", "Example", ".", "net", "com", "org", "a.", "/en/", "/EN/", "/de/", "/fr/", "/", "?", "#", "x", "é"]
+    urls = [None, "", "://", "http://" + "a" * 20000 + ".net/" + "b" * 20000, *["".join(r.choice(bits) for _ in range(r.randint(1, 9))) for _ in range(500)]]
+    urls += [f"http://{h}{p}" for h in ("example.net", "a.example.net", "aexample.net", "example.com", "NET", "x.org", "org") for p in ("", "/", "/en/", "/en", "/de/1", "/fr/?q", "#/fr/")]
+    rows = [(i // 2, u, "clash") for i, u in enumerate([x for u in urls for x in (u, u)])]
+    got = {x["page_id"]: x for x in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, rule string")).collect()}
+    rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+    w, b = url_filter.train()
+    for i, u in enumerate(urls):
+        rest = re.split("[?#]", u.split("://", 1)[1])[0] if u and "://" in u else ""
+        host, path = (rest.split("/", 1) + [None])[:2]
+        host, path = re.sub("[A-Z]", lambda m: m[0].lower(), host), "" if path is None else "/" + path
+        fit = [x for x in rules if (host == x.split("/")[0] or host.endswith("." + x.split("/")[0])) and path.startswith("/" + x.split("/", 1)[1])]
+        rule = max(fit, key=len, default=None)
+        verdict = rules[rule] if rule else "block" if url_filter.score(w, b, host, path) >= 0.5 else "allow"
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict), u
+    assert got[0]["verdict"] == got[1]["verdict"] == "allow"
+    assert not url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).collect()
+
+
+def test_url_model_on_unseen_hosts():
+    """Hosts of the held-out part, one in four, are not in the training part; their words are new to the model."""
+    hosts = sorted(url_filter.UNWANTED_HOSTS + url_filter.HARMLESS_HOSTS, key=len)
+    host = lambda u: [h for h in hosts if h in u][-1]
+    held = [x for x in url_filter.LABELLED if zlib.crc32(host(x[0]).encode()) % 4 == 0]
+    w, b = url_filter.train([x for x in url_filter.LABELLED if x not in held])
+    called = [(url_filter.score(w, b, *url_filter.split_url(u)) >= 0.5, y) for u, y in held]
+    assert sum(a for a, y in called if not y) <= 0.02 * sum(1 - y for _, y in called)
+    assert sum(a == y for a, y in called) >= 0.8 * len(called)
+
+
 def test_quality_base(spark):
     r = random.Random(1)
     texts = [*ODD, words(r, 60), "a b c d e f g h " * 5, words(r, 20, 2), "Same line\nSame line\n\n" + words(r, 30)]
