@@ -83,9 +83,13 @@ class WordHash(dict):
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
+    @staticmethod
+    def split(text: str | None) -> list[bytes]:
+        return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
     def of(self, text: str | None) -> np.ndarray:
         """Hashes of the words of a whole text; A-Z count as a-z. bytes.lower and bytes.split know ASCII only, as wanted."""
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
+        words = self.split(text)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
