@@ -5,11 +5,13 @@ dropped or spaced-out characters lower the similarity a little instead of to not
 word coordinates in which a linear machine with hinge loss is trained; a text's margin is that of its worst
 word plus half of the next one's, and a logistic curve maps margins to 0..1.
 
-Training: labels mark documents, so their sentences are weakly labelled bags. Over the sentences of a bounded
-sample of labelled documents (`max_toxic` and `max_clean` distinct texts, taken by a hash of the id; null labels left
-out), Spark counts between how many pairs of neighbours each word occurs in toxic and in clean documents (set phrases and near copies add little that way); words that occur in toxic ones far
-beyond chance are the witnesses of their bags, and get copies with inserted characters; words of clean documents are
-the negatives. At most `max_words` of either kind reach the driver.
+Training: labels mark documents, so the sentences of a toxic one are a bag of which some word is a witness, and every
+word of a clean one is a negative. The sample is bounded (`max_toxic` and `max_clean` distinct texts, taken by a hash of
+the id; null labels left out). First witnesses come from counts: between how many pairs of neighbours each word occurs
+in toxic and in clean documents (set phrases and near copies add little that way), far beyond chance. Then witnesses and
+machine alternate, `rounds` times: each toxic bag names the word of its worst sentence that the machine finds worst, if
+it is on the toxic side and clean documents hardly have it, and the machine is fitted anew to those, with copies that
+have characters inserted, against the clean words that come nearest. At most `max_words` of either kind reach the driver.
 
 Words are ASCII-blank separated, lower-cased, without outer punctuation; a run of three or more single characters with single
 spaces between also counts as the word they spell, a word with inner marks also as the word without them; a word above 24 characters is read in overlapping windows. Null, empty and
@@ -44,37 +46,43 @@ INNER = re.compile(r"[\W_]+")
 
 
 class Alphabet:
-    """Characters of the landmarks as numbers from 1; any other is 0 and matches nothing."""
+    """Characters of the landmarks as numbers from 1; any other is 0 and matches nothing. A key holds four of them."""
 
     def __init__(self, marks: Iterable[str]):
-        chars = sorted({c for m in marks for c in START + m})[:254]
-        self.table = np.zeros(max(map(ord, chars)) + 2, np.uint32)
+        chars = sorted({c for m in marks for c in START + m})
+        self.bits, self.kind = (8, np.uint32) if len(chars) < 255 else (16, np.uint64)
+        self.table = np.zeros(max(map(ord, chars)) + 2, self.kind)
         for i, c in enumerate(chars):
             self.table[ord(c)] = i + 1
 
     def codes(self, words: list[str]) -> np.ndarray:
         """One column per word, START first."""
         sizes = np.array([len(w) for w in words], np.int64)
-        out = np.zeros((int(sizes.max(initial=0)) + 1, len(words)), np.uint32)
+        out = np.zeros((int(sizes.max(initial=0)) + 1, len(words)), self.kind)
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         out[np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1, np.repeat(np.arange(len(words)), sizes)] = self.table[np.minimum(flat, len(self.table) - 1)]
         out[0] = self.table[ord(START)]
         return out
 
+    def known(self, key: int) -> bool:
+        """Whether all four characters of a key are the landmarks'."""
+        return all(key >> self.bits * k & (1 << self.bits) - 1 for k in range(4))
 
-def subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+def subsequences(codes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(keys, weights): a row for each place and way to step, a column for each word. Keys with an unknown character match no landmark."""
     keys, weights, n = [], [], len(codes)
+    shift = [codes.dtype.type(bits * k) for k in range(4)]
     for d1, d2, d3 in STEPS:
         m = n - d1 - d2 - d3
         if m <= 0:
             continue
-        last = codes[d1 + d2 + d3 :] if d3 else np.uint32(255)
-        keys.append(codes[:m] | codes[d1 : d1 + m] << np.uint32(8) | codes[d1 + d2 : d1 + d2 + m] << np.uint32(16) | last << np.uint32(24))
+        last = codes[d1 + d2 + d3 :] if d3 else codes.dtype.type((1 << bits) - 1)
+        keys.append(codes[:m] | codes[d1 : d1 + m] << shift[1] | codes[d1 + d2 : d1 + d2 + m] << shift[2] | last << shift[3])
         w = np.full(m, DECAY ** (d1 + d2 + d3 - (3 if d3 else 2)))
         w[0] *= ANCHOR
         weights.append(w)
-    return (np.concatenate(keys), np.concatenate(weights)) if keys else (np.zeros((0, codes.shape[1]), np.uint32), np.zeros(0))
+    return (np.concatenate(keys), np.concatenate(weights)) if keys else (np.zeros((0, codes.shape[1]), codes.dtype), np.zeros(0))
 
 
 def lengths_norm(words: list[str]) -> np.ndarray:
@@ -92,12 +100,12 @@ class Landmarks:
         self.words = tuple(marks)
         self.alphabet = Alphabet(self.words)
         found = [{} for _ in self.words]
-        keys, weights = subsequences(self.alphabet.codes(list(self.words)))
+        keys, weights = subsequences(self.alphabet.codes(list(self.words)), self.alphabet.bits)
         for own, column in zip(found, keys.T.tolist(), strict=True):
             for k, w in zip(column, weights.tolist(), strict=True):
-                if min(k & 255, k >> 8 & 255, k >> 16 & 255, k >> 24):
+                if self.alphabet.known(k):
                     own[k] = own.get(k, 0.0) + w
-        self.keys = np.array(sorted({k for own in found for k in own}), np.uint32)
+        self.keys = np.array(sorted({k for own in found for k in own}), self.alphabet.kind)
         at = {k: i for i, k in enumerate(self.keys.tolist())}
         self.weights = np.zeros((len(self.keys), len(self.words)))
         for j, own in enumerate(found):
@@ -109,11 +117,14 @@ class Landmarks:
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
-        return keys * np.uint32(2654435761) >> np.uint32(12)
+        with np.errstate(over="ignore"):
+            if keys.dtype == np.uint32:
+                return keys * np.uint32(2654435761) >> np.uint32(12)
+            return keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)
 
     def hits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word number, key number, weight) of all subsequences that some landmark has."""
-        keys, weights = subsequences(self.alphabet.codes(words))
+        keys, weights = subsequences(self.alphabet.codes(words), self.alphabet.bits)
         place, word = np.nonzero(self.seen[self._slot(keys)]) if len(self.keys) else (np.zeros(0, int),) * 2
         live = keys[place, word]
         at = np.minimum(np.searchsorted(self.keys, live), max(len(self.keys) - 1, 0))
@@ -123,8 +134,8 @@ class Landmarks:
     def similarity(self, words: list[str]) -> np.ndarray:
         """Normalised kernel of words (rows) with landmarks (columns)."""
         out, n = np.zeros((len(words), len(self.words))), len(self.keys)
-        for i in range(0, len(words), 1000):
-            some = words[i : i + 1000]
+        for i in range(0, len(words), 200):
+            some = words[i : i + 200]
             word, at, weight = self.hits(some)
             out[i : i + len(some)] = np.bincount(word * n + at, weight, len(some) * n).reshape(len(some), n) @ self.weights
         return out / lengths_norm(words)[:, None]
@@ -152,6 +163,7 @@ def _machine(words: tuple[str, ...], *rest) -> Machine:
     return Machine(Landmarks(words), *rest)
 
 
+SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)")
 SPELLED = re.compile(r" \w \w \w\s")
 
 
@@ -281,7 +293,7 @@ def fit_curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(p[0]), float(p[1])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 6000, max_words: int = 3000, min_docs: int = 4) -> Machine | None:
+def train_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, max_clean: int = 6000, max_words: int = 3000, min_docs: int = 4, rounds: int = 2) -> Machine | None:
     """A machine from the labelled documents; all but the counts per word stays in Spark."""
     texts = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     marked = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -304,14 +316,18 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_toxic: int = 1500, ma
         rate = sizes[1] / sizes[0]
         witness = counts.where((F.col("t") >= min_docs) & (F.col("t") > 8 * rate * (F.col("c") + 0.25)))
         worth = F.col("t") * F.log((F.col("t") + 0.5) / (rate * F.col("c") + 0.5))
-        toxic = [(r["w"], r["t"]) for r in witness.where(worth >= 9).orderBy(worth.desc(), "w").limit(max_words).collect()]
+        first = [(r["w"], r["t"]) for r in witness.where(worth >= 9).orderBy(worth.desc(), "w").limit(max_words).collect()]
         plain = counts.where((F.col("c") >= 1) & (F.col("t") <= 3 * rate * (F.col("c") + 0.5)))
         # the frequent clean words first, then twice those that come nearest to the margin, of all
         clean = {r["w"]: r["c"] for r in plain.orderBy(F.col("c").desc(), "w").limit(max_words).collect()}
-        machine = fit_machine(toxic, list(clean.items()))
+        machine = fit_machine(first, list(clean.items()))
         if machine is None:
             return None
-        for _ in range(2):
+        for _ in range(rounds):
+            named = witnesses(sample.where("toxic = 1"), machine).groupBy("w").agg(F.count("*").cast("double").alias("n"))
+            named = named.join(counts.select("w", "c"), "w", "left").where(F.col("n") > 8 * rate * (F.coalesce("c", F.lit(0.0)) + 0.25))
+            new = {r["w"]: r["n"] for r in named.orderBy(F.col("n").desc(), "w").limit(max_words).collect()}
+            toxic = [*first, *[(w, n) for w, n in new.items() if w not in dict(first)]]
             nearest = word_margins(plain, machine).orderBy(F.col("margin").desc(), "w").limit(max_words).collect()
             clean |= {r["w"]: r["c"] for r in nearest}
             machine = fit_machine(toxic, list(clean.items()))
@@ -334,6 +350,20 @@ def word_margins(words: DataFrame, machine: Machine) -> DataFrame:
     return words.select("w", "c").mapInArrow(run, "w string, c double, margin double")
 
 
+def witnesses(docs: DataFrame, machine: Machine) -> DataFrame:
+    """w: of each text, the word of its worst sentence that the machine finds worst, if that is on the toxic side."""
+    schema = pa.schema([("w", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (texts,) in columns(batches):
+            bags = [list({r for s in SENTENCE.split(t) for w in tokens(s) for r in readings(w)}) for t in texts]
+            margins = np.concatenate([machine.margins(b[i : i + 2048]) for b in bags for i in range(0, len(b), 2048)] or [np.zeros(0)])
+            parts = np.split(margins, np.cumsum([len(b) for b in bags])[:-1])
+            yield batch(schema, [b[int(np.argmax(m))] for b, m in zip(bags, parts, strict=True) if len(m) and m.max() > 0])
+
+    return docs.select("text").mapInArrow(run, "w string")
+
+
 def margins_of(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
     """id, `keep` columns (int), margin and score of each whole text."""
     keep, name = list(keep), uuid.uuid4().hex
