@@ -10,8 +10,8 @@ Contexts that a sample of rows shows to be very common (at most `MAX_HOT`) are s
 followers; this spreads the work and changes no count.
 
 Scoring: workers map the arrays into memory, so that pages are shared and read on demand, and look up the sorted
-pairs of many texts at once. A shared folder that is no plain file path is copied to the worker's temporary folder
-first.
+pairs of many texts at once. From a shared folder that is no plain file path, the arrays that are looked up are copied
+once for all workers that share a temporary folder; the next training there removes them.
 
 A text is its words, A-Z lower-cased, then an end token; a start marker stands before it but is no token itself.
 Null and empty texts are the end token alone. Unknown words share the mass kept for one unknown word. Repeated
@@ -21,7 +21,9 @@ model of one unknown word (score 0 for every token) and base scores of zero.
 
 from __future__ import annotations
 
+import glob
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -121,6 +123,7 @@ def count_pairs(texts: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapped.cache_clear()  # a worker that counts lets go of the models that it scored with before
+        drop_copies()
         hashes, kept = WordHash(), []
         for (own,) in columns(batches):
             for a, b in in_blocks(own, BLOCK):
@@ -155,15 +158,35 @@ def save_arrays(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
         fs.move(temp, f"{path}/{name}.{k}.npy")
 
 
+COPIES = "tidemill-arrays"
+
+
+def host_copy(fs: pafs.FileSystem, path: str, folder: str) -> str:
+    """The file of a remote store in a local folder, put there by the first worker that asks."""
+    local = os.path.join(folder, os.path.basename(path))
+    if not os.path.exists(local):
+        if fs.get_file_info(path).type == pafs.FileType.NotFound:
+            raise FileNotFoundError(path)
+        os.makedirs(folder, exist_ok=True)
+        part = f"{local}.{uuid.uuid4().hex}"
+        pafs.copy_files(path, part, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
+        os.replace(part, local)
+    return local
+
+
+def drop_copies() -> None:
+    """Removes copies of former models from this host; what is mapped stays readable."""
+    for old in glob.glob(os.path.join(tempfile.gettempdir(), f"{COPIES}-*")):
+        shutil.rmtree(old, ignore_errors=True)
+
+
 @lru_cache(4096)
 def mapped(folder: str, name: str) -> np.ndarray:
     """A stored array, mapped into memory."""
     fs, path = file_system(folder)
     path = f"{path}/{name}.npy"
     if not isinstance(fs, pafs.LocalFileSystem):
-        local = os.path.join(tempfile.mkdtemp(prefix="arrays-"), f"{name}.npy")
-        pafs.copy_files(path, local, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
-        path = local
+        path = host_copy(fs, path, os.path.join(tempfile.gettempdir(), f"{COPIES}-{folder.rstrip('/').rpartition('/')[2]}"))
     return np.load(path, mmap_mode="r" if os.path.getsize(path) > 128 else None)
 
 
@@ -333,7 +356,7 @@ def score_lm(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     training = docs.where(crc_mod(F.col("doc_id"), 7) != 2).select("text")
-    parts = max(8, 4 * docs.rdd.getNumPartitions())
+    parts = max(8, 4 * docs.rdd.getNumPartitions())  # known from the plan
     model = train_lm(training, parts)
     scored = score_lm(docs, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     return scored.select("doc_id", (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
