@@ -260,8 +260,10 @@ def test_jaccard_components_against_brute_force(spark):
             if both and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
                 x, y = sorted((find(i), find(j)))
                 best[y] = x
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in signature_tree.jaccard_components(docs(spark, texts), common=16).collect()}
-    assert got == {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+    wanted = {i: (len(sets[i]), find(i)) for i in range(len(texts))}
+    for options in ({}, {"block": 12}):  # trees of one block, and hot trees in several
+        got = signature_tree.jaccard_components(docs(spark, texts), common=16, **options).collect()
+        assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == wanted
 
 
 def test_packing_is_tightest_and_keeps_conflicts_apart():
