@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemill.operators.components import folder as shared_dir
 from tidemill.operators.components import written as stored
 
-__all__ = ["GAP", "WORD", "ascii_lower", "batch", "columns", "crc_mod", "known_words", "let", "mix", "shared_dir", "small_batches", "stored", "table", "words_of", "WordHash"]
+__all__ = ["GAP", "WORD", "ascii_lower", "batch", "columns", "crc_mod", "hashed_words", "known_words", "let", "mix", "shared_dir", "small_batches", "stored", "table", "words_of", "WordHash"]
 
 #: ASCII blanks; a word is a run of anything else.
 GAP = r"[\x20\x09-\x0D]+"
@@ -106,6 +106,38 @@ def mix(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
         return x ^ (x >> _S1)
 
 
+_R = np.random.default_rng(20)
+#: A random number for each byte value, and an odd one for each place in a word.
+_BYTES = _R.integers(0, 1 << 64, 256, np.uint64)
+_PLACES = _R.integers(0, 1 << 64, 1 << 12, np.uint64) | np.uint64(1)
+_GAPS = np.zeros(256, bool)
+_GAPS[[9, 10, 11, 12, 13, 32]] = True
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of many texts, text by text (A-Z count as a-z), and how many words each text has.
+
+    A word's hash is the sum, over its bytes, of the byte's number times its place's, mixed with its length.
+    """
+    parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    data = np.frombuffer(b" ".join(parts).lower() + b" ", np.uint8)
+    gap = _GAPS[data]
+    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    sizes = np.flatnonzero(gap & ~np.r_[True, gap[:-1]]) - starts
+    at = np.flatnonzero(~gap)
+    firsts = np.cumsum(sizes) - sizes
+    place = np.arange(len(at)) - np.repeat(firsts, sizes)
+    with np.errstate(over="ignore"):
+        each = _BYTES[data[at]] * _PLACES[place & 4095]
+        if sizes.max() > 4096:
+            each *= (place >> 12 << 1 | 1).astype(np.uint64)
+        h = mix(np.add.reduceat(each, firsts), sizes.astype(np.uint64))
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    return h, np.diff(np.r_[0, np.searchsorted(starts, ends)])
+
+
 def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
     """Arrow batches as lists of Python values by column, a thousand rows at a time."""
     for b in batches:
