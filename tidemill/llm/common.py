@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -10,11 +11,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.operators.components import folder as shared_dir
 from tidemill.operators.components import written as stored
 
-__all__ = ["GAP", "WORD", "ascii_lower", "batch", "columns", "crc_mod", "hashed_words", "known_words", "let", "mix", "shared_dir", "small_batches", "stored", "table", "words_of", "WordHash"]
+__all__ = ["GAP", "WORD", "ascii_lower", "batch", "columns", "crc_mod", "hashed_words", "joined_sha256", "known_words", "let", "mix", "shared_dir", "small_batches", "stored", "table", "words_of", "WordHash"]
 
 #: ASCII blanks; a word is a run of anything else.
 GAP = r"[\x20\x09-\x0D]+"
@@ -147,3 +149,55 @@ def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
 
 def batch(schema: pa.Schema, *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+
+#: Ids that are joined to one block of text.
+ID_BLOCK = 4096
+
+
+def joined_sha256(rows: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """keys, sha256: lowercase hex of each key's items (numbers or strings) in their order, comma-joined.
+
+    A key may hold most rows: ranges of sorted items become blocks of text in parallel, and only these are streamed,
+    in order, through the hash of their key.
+    """
+    rows = stored(rows.select(*keys, item), "items")
+    names, kinds = rows.columns, dict(rows.dtypes)
+    plain = to_arrow_schema(rows.schema)
+    blocks, hashes = plain.append(pa.field("block", pa.string())), pa.schema([*[plain.field(k) for k in keys], ("sha256", pa.string())])
+    ddl = ", ".join(f"`{c}` {kinds[c]}" for c in names)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, held = None, None, []
+        for b in batches:
+            out = []
+            for *k, x in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if k != key or len(held) == ID_BLOCK:
+                    if held:
+                        out.append((*key, first, ",".join(held)))
+                    key, first, held = k, x, []
+                held.append(str(x))
+            if out:
+                yield batch(blocks, *zip(*out, strict=True))
+        if held:
+            yield batch(blocks, *zip(*[(*key, first, ",".join(held))], strict=True))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, h = None, None
+        for b in batches:
+            out = []
+            for *k, _, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if k == key:
+                    h.update(b"," + text.encode())
+                else:
+                    if key is not None:
+                        out.append((*key, h.hexdigest()))
+                    key, h = k, hashlib.sha256(text.encode())
+            if out:
+                yield batch(hashes, *zip(*out, strict=True))
+        if key is not None:
+            yield batch(hashes, *zip(*[(*key, h.hexdigest())], strict=True))
+
+    ranged = rows.repartitionByRange(*keys, item).sortWithinPartitions(*keys, item)
+    made = ranged.mapInArrow(join, f"{ddl}, block string").repartition(*keys).sortWithinPartitions(*keys, item)
+    return made.mapInArrow(digest, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "sha256 string"]))

@@ -6,6 +6,7 @@ from tidemill.llm.mixing import OP3_SQL, op3_mixing
 from tidemill.llm.mpeg_audio import op6_mpeg_audio
 from tidemill.llm.packing import op2_best_fit_packing
 from tidemill.llm.pii import op9_pii
+from tidemill.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from tidemill.llm.quality_cascade import OP5_SQL, op5_quality_cascade
 from tidemill.llm.signature_tree import OP10_SQL, op10_signature_tree
 from tidemill.llm.toxicity import op1_toxicity
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_kneser_ney": op8_kneser_ney,
     "op9_pii": op9_pii,
     "op10_signature_tree": op10_signature_tree,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
-ORACLES = {"op3_mixing": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op10_signature_tree": OP10_SQL}
+ORACLES = {"op3_mixing": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op10_signature_tree": OP10_SQL, "op11_prefix_trie": OP11_SQL}
