@@ -6,7 +6,9 @@ import random
 import re
 import zlib
 
-from tidemill.llm import prefix_trie
+import pytest
+
+from tidemill.llm import decontamination, prefix_trie
 
 CONV = "conv_id long, turn long, role string, text string, digest string, words long"
 
@@ -69,3 +71,67 @@ def test_ids_are_hashed_across_blocks(spark, monkeypatch):
     rows = [(k % 3, k) for k in range(100)] + [(5, 5)]
     got = {x["k"]: x["sha256"] for x in common.joined_sha256(spark.createDataFrame(rows, "k int, id long"), ["k"], "id").collect()}
     assert got == {k: sha(sorted(i for j, i in rows if j == k)) for k in (0, 1, 2, 5)}
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_contaminated(texts, items, window=10):
+    wins = collections.defaultdict(set)
+    for i, t in items:
+        w = plain_words(t)
+        size = min(window, len(w))
+        for k in range(len(w) - size + 1 if size else 0):
+            wins[tuple(w[k : k + size])].add("" if i is None else str(i))
+    sizes = {len(w) for w in wins}
+    out = []
+    for t in texts:
+        w, hit, ids = plain_words(t), set(), set()
+        for size in sizes:
+            for k in range(len(w) - size + 1):
+                if found := wins.get(tuple(w[k : k + size])):
+                    hit |= set(range(k, k + size))
+                    ids |= found
+        out.append((len(w), len(hit), len(ids), sha(sorted(ids)), bool(hit)))
+    return out
+
+
+def contaminated_of(spark, texts, items):
+    docs = spark.createDataFrame([(i, t, "clash", 3) for i, t in enumerate(texts)], "doc_id long, text string, shingle string, w int").repartition(3)
+    bench = spark.createDataFrame([(i, t, 5) for i, t in items], "item_id long, text string, key int")
+    got = {x["doc_id"]: tuple(x)[1:] for x in decontamination.contaminated(docs, bench).collect()}
+    assert len(got) == len(texts)
+    return [got[i] for i in range(len(texts))]
+
+
+def passages(seed):
+    r = random.Random(seed)
+    word = lambda: r.choice(["the", "of", "A", "\u00e9t\u00e9", "x1", *[f"w{r.randint(0, 40)}" for _ in range(4)]])
+    items = [(i, " ".join(word() for _ in range(r.choice([1, 3, 4, 9, 10, 11, 14, 30])))) for i in range(12)]
+    items += [(100, None), (101, ""), (102, "?!"), (None, "no id at all but words"), (3, "the same id with another text of more than ten words in it"), (104, items[5][1]), (105, "a a a a a a a a a a a a")]
+    texts = [None, "", "...", "the", "a " * 40, "a " * 10 + "b", items[5][1], items[5][1].upper(), items[6][1].replace(" ", "--"), "x" * 5000]
+    for _ in range(40):
+        t = [word() for _ in range(r.randint(0, 30))]
+        for _ in range(r.randint(0, 3)):
+            w = (r.choice(items)[1] or "").split()
+            k = r.randint(0, max(0, len(w) - 3))
+            t += w[k : k + r.randint(1, 25)]
+        texts.append(" ".join(t))
+    return texts + texts[-2:], items
+
+
+@pytest.mark.parametrize("how", ["broadcast", "shuffled"])
+def test_decontamination(spark, monkeypatch, how):
+    if how == "shuffled":
+        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+        monkeypatch.setattr(decontamination, "HELD", 20)
+        monkeypatch.setattr(decontamination, "BITS", 1 << 16)
+    texts, items = passages(2)
+    assert contaminated_of(spark, texts, items) == plain_contaminated(texts, items)
+
+
+def test_decontamination_of_empty_tables(spark):
+    assert contaminated_of(spark, [], [(1, "a b c")]) == []
+    assert contaminated_of(spark, ["a b c", None], []) == plain_contaminated(["a b c", None], [])
+    assert contaminated_of(spark, ["a b c"], [(1, None)]) == plain_contaminated(["a b c"], [])

@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from tidemill.operators.components import folder as shared_dir
 from tidemill.operators.components import written as stored
 
-__all__ = ["GAP", "WORD", "ascii_lower", "batch", "columns", "crc_mod", "hashed_words", "joined_sha256", "known_words", "let", "mix", "shared_dir", "small_batches", "stored", "table", "words_of", "WordHash"]
+__all__ = ["GAP", "WORD", "ascii_lower", "batch", "columns", "crc_mod", "hashed_words", "joined_sha256", "known_words", "let", "mix", "shared_dir", "small_batches", "span_hashes", "stored", "table", "word_spans", "words_of", "WordHash"]
 
 #: ASCII blanks; a word is a run of anything else.
 GAP = r"[\x20\x09-\x0D]+"
@@ -116,28 +116,38 @@ _GAPS = np.zeros(256, bool)
 _GAPS[[9, 10, 11, 12, 13, 32]] = True
 
 
-def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of many texts, text by text (A-Z count as a-z), and how many words each text has.
+def word_spans(texts: list[str | None], gaps: np.ndarray = _GAPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of many texts (A-Z as a-z), start and size of every word, and how many words each text has.
 
-    A word's hash is the sum, over its bytes, of the byte's number times its place's, mixed with its length.
+    `gaps` tells the bytes that stand between words; a blank must be one.
     """
     parts = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     data = np.frombuffer(b" ".join(parts).lower() + b" ", np.uint8)
-    gap = _GAPS[data]
-    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+    gap = gaps[data]
+    after = np.r_[True, gap[:-1]]
+    starts = np.flatnonzero(~gap & after)
+    sizes = np.flatnonzero(gap & ~after) - starts
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    return data, starts, sizes, np.diff(np.r_[0, np.searchsorted(starts, ends)])
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span: the sum, over its bytes, of the byte's number times its place's, mixed with its length."""
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
-    sizes = np.flatnonzero(gap & ~np.r_[True, gap[:-1]]) - starts
-    at = np.flatnonzero(~gap)
+        return np.zeros(0, np.uint64)
     firsts = np.cumsum(sizes) - sizes
-    place = np.arange(len(at)) - np.repeat(firsts, sizes)
+    place = np.arange(firsts[-1] + sizes[-1]) - np.repeat(firsts, sizes)
     with np.errstate(over="ignore"):
-        each = _BYTES[data[at]] * _PLACES[place & 4095]
+        each = _BYTES[data[place + np.repeat(starts, sizes)]] * _PLACES[place & 4095]
         if sizes.max() > 4096:
             each *= (place >> 12 << 1 | 1).astype(np.uint64)
-        h = mix(np.add.reduceat(each, firsts), sizes.astype(np.uint64))
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    return h, np.diff(np.r_[0, np.searchsorted(starts, ends)])
+        return mix(np.add.reduceat(each, firsts), sizes.astype(np.uint64))
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of many texts, text by text (A-Z count as a-z), and how many words each text has."""
+    data, starts, sizes, n = word_spans(texts)
+    return span_hashes(data, starts, sizes), n
 
 
 def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:

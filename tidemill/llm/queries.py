@@ -1,5 +1,6 @@
 """The operators' queries and the SQL of those that SQL can express."""
 
+from tidemill.llm.decontamination import OP12_SQL, op12_decontamination
 from tidemill.llm.kneser_ney import op8_kneser_ney
 from tidemill.llm.language_id import op7_language_id
 from tidemill.llm.mixing import OP3_SQL, op3_mixing
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_signature_tree": op10_signature_tree,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_decontamination": op12_decontamination,
 }
 
-ORACLES = {"op3_mixing": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op10_signature_tree": OP10_SQL, "op11_prefix_trie": OP11_SQL}
+ORACLES = {"op3_mixing": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op10_signature_tree": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_decontamination": OP12_SQL}
