@@ -6,9 +6,10 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
-from tidemill.llm import decontamination, prefix_trie
+from tidemill.llm import decontamination, prefix_trie, spelling
 
 CONV = "conv_id long, turn long, role string, text string, digest string, words long"
 
@@ -135,3 +136,73 @@ def test_decontamination_of_empty_tables(spark):
     assert contaminated_of(spark, [], [(1, "a b c")]) == []
     assert contaminated_of(spark, ["a b c", None], []) == plain_contaminated(["a b c", None], [])
     assert contaminated_of(spark, ["a b c"], [(1, None)]) == plain_contaminated(["a b c"], [])
+
+
+def test_wavelet_tree():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 3, 17, 64, 200):
+        ys = rng.permutation(n)
+        box = [np.sort(rng.integers(0, n + 1, (2, 60)), axis=0) for _ in range(2)]
+        which, y = spelling.WaveletTree(ys).report(box[0][0], box[0][1], box[1][0], box[1][1])
+        got = sorted(zip(which.tolist(), y.tolist(), strict=True))
+        assert got == sorted((k, int(v)) for k in range(60) for x, v in enumerate(ys) if box[0][0][k] <= x < box[0][1][k] and box[1][0][k] <= v < box[1][1][k])
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def plain_variants(rows):
+    n = collections.Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            w = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{w}".encode())
+            if h % 97 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            n[w] += 1
+    n = {w: c for w, c in n.items() if len(w) >= 5 and c >= 3}
+    near = {w: sorted((x for x in n if x != w and one_edit(w, x)), key=lambda x: (-n[x], x)) for w in n}
+    form = {w: near[w][0] if near[w] and n[near[w][0]] >= 2 * n[w] else None for w in n}
+    out = set()
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.add((w, form[w], root, n[w], len(near[w]), n[form[w]] if form[w] else None))
+    return out
+
+
+def variants(spark, rows, split=spelling.SPLIT):
+    df = spark.createDataFrame([(*x, "clash", 1) for x in rows], "doc_id long, text string, word string, n long").repartition(3)
+    return [tuple(x) for x in spelling.spelling_variants(df, split).collect()]
+
+
+@pytest.mark.parametrize("split", [1, 1000])
+def test_spelling(spark, monkeypatch, split):
+    monkeypatch.setattr(spelling, "CHUNK", 300)
+    monkeypatch.setattr(spelling, "HELD", 50)
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("ab\u00e9\u00ff\u00d7") for _ in range(r.choice([3, 4, 5, 5, 6, 6, 7])))
+    stock = [word() for _ in range(150)] + ["aaaaa", "aaaaaa", "aaaaaaa", "A" * 5, "b" * 300, "b" * 301, "b" * 150 + "a" + "b" * 150]
+    rows = [(i, r.choice([" ", ", ", "7"]).join(r.choices(stock, weights=[1 + 9 / (k + 1) for k in range(len(stock))], k=60))) for i in range(60)]
+    rows += [(None, " ".join(stock)), (5, rows[5][1]), (5, rows[5][1]), (61, None), (62, ""), (63, "\u0100abcde\u4e00abcde \U0001f600abcde")]
+    got = variants(spark, rows, split)
+    assert len(got) == len(set(got)) and set(got) == plain_variants(rows)
+
+
+def test_spelling_of_nothing(spark):
+    assert variants(spark, []) == variants(spark, [(1, None), (2, "a b c d")]) == []
+
+
+def test_crcs_of_long_runs():
+    runs = ["a", "\u00e9" * 70_000, "b\u00ff" * 40_000, "abc"]
+    raw = b" ".join(x.encode("latin-1") for x in runs)
+    starts = np.array([raw.index(x.encode("latin-1")) for x in runs])
+    begun = np.array([zlib.crc32(b"12:")] * 4, np.uint32)
+    got = spelling.run_crcs(np.frombuffer(raw, np.uint8), starts, np.array([len(x) for x in runs]), begun)
+    assert got.tolist() == [zlib.crc32(f"12:{x}".encode()) for x in runs]

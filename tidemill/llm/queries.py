@@ -10,6 +10,7 @@ from tidemill.llm.pii import op9_pii
 from tidemill.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from tidemill.llm.quality_cascade import OP5_SQL, op5_quality_cascade
 from tidemill.llm.signature_tree import OP10_SQL, op10_signature_tree
+from tidemill.llm.spelling import OP13_SQL, op13_spelling
 from tidemill.llm.toxicity import op1_toxicity
 from tidemill.llm.url_filter import op4_url_filter
 
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_signature_tree": op10_signature_tree,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_decontamination": op12_decontamination,
+    "op13_spelling": op13_spelling,
 }
 
-ORACLES = {"op3_mixing": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op10_signature_tree": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_decontamination": OP12_SQL}
+ORACLES = {"op3_mixing": OP3_SQL, "op5_quality_cascade": OP5_SQL, "op10_signature_tree": OP10_SQL, "op11_prefix_trie": OP11_SQL, "op12_decontamination": OP12_SQL, "op13_spelling": OP13_SQL}
