@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: The temporary folder of each application in one JVM.
+_OWN: dict[str, str] = {}
+
 #: Edges that one task takes together; fewer are finished by one task, more by rounds of joins.
 TASK_EDGES = 500_000
 
@@ -25,8 +28,10 @@ def folder(spark: SparkSession, tag: str) -> str:
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="spark-")
+        base = _OWN[app]
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -37,6 +42,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of numbers or short keys up to which a stored table is broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A stored table, marked for a broadcast if it is counted to have `most` rows (of numbers or short keys) or fewer."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
 def contracted(edges: DataFrame, most: int = TASK_EDGES) -> DataFrame:
     """node, component: each task's edges (two columns) as stars around the smallest node, a root pointing to itself.
 
