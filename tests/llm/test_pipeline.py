@@ -129,7 +129,7 @@ def test_language_rules(spark):
     assert not language_id.identify_language(frame([]), model).collect() and language_id.train_language(frame([])) is None
     df, n = language_id.document_frequencies(frame(rows).select("text"))
     some = language_id.Grams().of("thi")[3]
-    assert n == len(rows) and df[some] == sum(some in {g for w in language_id.LETTERS.findall(t) for g in language_id.Grams().of(w)} for _, t, _ in rows)
+    assert n == len(rows) and df[some] == sum(some in {g for w in language_id.letter_runs(t) for g in language_id.Grams().of(w)} for _, t, _ in rows)
 
 
 def test_sanitised_text(spark):

@@ -16,7 +16,6 @@ order. Repeated rows are predicted alike; extra columns are kept out.
 from __future__ import annotations
 
 import re
-import sys
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,12 +28,19 @@ from pyspark.sql import functions as F
 from tidemill.llm.common import CACHE_WORDS, batch, columns, crc_mod, known_words, table
 
 DIMS = 1 << 15
-#: Word characters that are numerals but neither letters nor decimal digits.
-NUMERALS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{NUMERALS}]+")
+#: Letters and the few numerals that are word characters but neither letters nor decimal digits.
+RUNS = re.compile(r"[^\W\d_]+")
 LONGEST = 40
 
 
+def letter_runs(text: str) -> list[str]:
+    """Lower-cased runs of letters."""
+    runs = RUNS.findall(text.lower())
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 class Grams(dict):
     """n-gram -> hashed number."""
 
@@ -89,7 +95,7 @@ class Words(dict):
 
 def predict_texts(model: Model, name: str, texts: list[str | None]) -> tuple[list[str], list[float]]:
     known = known_words(name, lambda: Words(model))
-    bags = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in (LETTERS.findall(t.lower()) if t else [] for t in texts)]
+    bags = [np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in (letter_runs(t) if t else [] for t in texts)]
     if known.new:
         known.learn()
     langs, scores = [], []
@@ -115,7 +121,7 @@ def frequencies(docs: DataFrame) -> DataFrame:
         for ids, langs, texts in columns(batches):
             rows = []
             for i, lang, text in zip(ids, langs, texts, strict=True):
-                words = LETTERS.findall(text.lower())
+                words = letter_runs(text)
                 for part in (words, words[len(words) // 2 :][:8]):
                     at, n = np.unique([g for w in part for g in grams.of(w)], return_counts=True)
                     if len(at):
@@ -133,7 +139,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         grams, counts, own = Grams(), np.zeros(DIMS + 1, np.int64), {}
         for (some,) in columns(batches):
             for text in some:
-                words = set(LETTERS.findall(text.lower()))
+                words = set(letter_runs(text))
                 if not words:
                     continue
                 if len(own) > CACHE_WORDS // 4:
