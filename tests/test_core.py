@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import text as X
 from tidemill.operators.components import connected_components
 from tidemill.operators.dupes import gram_hashes, hash_units, sketch_similarity
-from tidemill.operators import dupes, search, sync
+from tidemill.operators import dupes, grams, search, sync
 from tidemill.operators.fuzzy import find_nearest, nearest_of
 from tidemill.operators.semantic import passage_spans, quantize_vectors, semantic_search, vector_scores
 from tidemill.sources import corpus
@@ -187,15 +187,33 @@ def asked(spark, *texts):
     return search.prepare_queries(spark.createDataFrame(rows, "qid int, query string, types array<string>, folder_id string, near boolean"))
 
 
-def test_search_by_trigrams_is_search_by_scan(spark):
+def test_search_by_index_is_search_by_scan(spark):
     r = random.Random(4)
-    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "de", "x1"]) for _ in range(6)) for _ in range(40)] + [None, ""]
+    vocabulary = ["alpha", "beta", "gamma", "de", "x1", "nowhere", "documents", "\u0e01\u0e25\u0e22\u0e38\u0e17\u0e18\u0e4c"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(6)) for _ in range(40)] + [None, "", "\n" * 60 + "last alpha"]
     files = corpus.prepare_search(files_of(spark, texts)).persist()
-    q = asked(spark, "alpha beta", "de", "x", "mma be", "doc_1", "none", "")
-    flat = lambda df: sorted(map(str, df.collect()))
-    assert flat(search.search_exact(files, q)) == flat(search.search_exact(files, q, scan=0))
+    q = asked(spark, "alpha beta", "de", "x", "mma be", "doc_1", "none", "", ".txt doc_1", "alpha doc_2", "alpla", "dacuments", "documnts gamma", "\u0e01\u0e25\u0e22\u0e38\u0e17\u0e18", "z", "\n", *[f"doc_{k} alpha" for k in range(40)])
+    flat = lambda dfs: [sorted(map(str, df.collect())) for df in dfs]
+    index = grams.indexed(files)
+    by_scan, by_index = flat(search.search_text(files, q)), flat(search.search_text(index, q))
+    assert by_scan == by_index == flat(search.search_text(files, q, scan=0)) and all(by_scan)
     one = asked(spark, "alpha beta")
-    assert flat(search.search_exact(files, q).where("qid = 0")) == flat(search.search_exact(files, one))
+    assert flat([search.search_exact(index, q).where("qid = 0")]) == flat([search.search_exact(files, one)])
+    empty = grams.indexed(files.where("key = ''"))
+    assert not any(flat(search.search_text(empty, q)))
+
+
+def test_near_search_meets_places_by_grams_and_compares_once(spark):
+    files = corpus.prepare_search(files_of(spark, ["some documents here", "other text"]))
+    q = asked(spark, "dacuments", "gammma")
+    plans: list[str] = []
+    once = search.nearest_rows
+    search.nearest_rows = lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or once(rows)
+    try:
+        search.search_near(grams.indexed(files), q, q.select("qid", F.lit("k").alias("key")).where("qid < 0")).collect()
+    finally:
+        search.nearest_rows = once
+    assert len(plans) == 1 and "NestedLoop" not in plans[0] and "Cartesian" not in plans[0]
 
 
 def test_hits_are_bounded_but_counted(spark):
@@ -248,6 +266,43 @@ def test_sync_twice_finds_nothing_to_do(spark):
     assert {r["action"] for r in plan.collect()} == {"skip"}
 
 
+def test_metadata_reads_no_text(spark):
+    docs = spark.read.schema(DOC).parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = corpus.metadata_from_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan.split("ReadSchema")[1]
+
+
+def test_stored_sync_state_does_not_move(spark, tmp_path):
+    f = files_of(spark, ["a", "b", None, "c"]).withColumn("v", F.lit(1))
+    index = f.select("key", "mtime", "size", "v", F.lit(None).cast("string").alias("error"), F.lit(False).alias("needs_ocr"), F.lit(False).alias("awaits_tags"))
+    new = f.where("doc_id > 0").select("key", "mtime", "size", "v", F.lit(True).alias("readable"))
+    state = sync.save_sync_state(index, "state_a", str(tmp_path / "state"), 4)
+    again = sync.open_sync_state(spark, "state_b", str(tmp_path / "state"), "key string, mtime long, size long, v int, error string, needs_ocr boolean, awaits_tags boolean", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for known in (state, again):
+            plan = sync.plan_sync(known, new)
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert text.count("Exchange hashpartitioning") == 1 and "SelectedBucketsCount: 4 out of 4" in text
+            assert sorted(map(str, plan.collect())) == sorted(map(str, sync.plan_sync(index, new).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_removed_below_failed_folders(spark):
+    r = random.Random(2)
+    rels = ["/".join([*r.choices(["a", "b", "a.b"], k=r.randint(0, 4)), "f.txt"]) for _ in range(60)]
+    gone = spark.createDataFrame([(f"{d}/{k}", d, rel) for k, rel in enumerate(rels) for d in ("x", "y")], "key string, folder_id string, rel string")
+    failed = [("x", "a/"), ("x", "a/b/"), ("y", "b/a.b/"), ("y", "f.txt/"), ("z", "")]
+    wanted = {x["key"]: "kept" if any(x["folder_id"] == d and x["rel"].startswith(p) for d, p in failed) else "removed" for x in gone.collect()}
+    df = spark.createDataFrame(failed, "folder_id string, prefix string")
+    out = sync.detect_removed(gone, df)
+    assert {x["key"]: x["fate"] for x in out.collect()} == wanted and "kept" in wanted.values()
+    assert "startswith" not in out._jdf.queryExecution().toString().lower()
+    everything = sync.detect_removed(gone, df.unionByName(spark.createDataFrame([("x", "")], "folder_id string, prefix string")))
+    assert {x["fate"] for x in everything.where("folder_id = 'x'").collect()} == {"kept"}
+
+
 def test_duplicates(spark):
     r = random.Random(8)
     body = " ".join(f"w{r.randint(0, 9999)}" for _ in range(120))

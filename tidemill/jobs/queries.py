@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tidemill.operators import semantic as V
 from tidemill.operators import sync as Y
 from tidemill.operators.components import folder, written
 from tidemill.operators.fuzzy import edit_allowance
+from tidemill.operators.grams import indexed
 from tidemill.sources import corpus as C
 
 QUERIES: dict = {}
@@ -123,6 +126,11 @@ def records(spark: SparkSession, d: str) -> DataFrame:
     return written(C.corpus_from_documents(t(spark, d, "documents")), "index")
 
 
+def metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as file records without their texts, which are not read."""
+    return C.metadata_from_documents(t(spark, d, "documents"))
+
+
 def files_of(spark: SparkSession, d: str) -> DataFrame:
     return C.prepare_search(records(spark, d))
 
@@ -201,7 +209,7 @@ def save_load_index(spark, d):
 
 
 def _keyed(spark, d) -> DataFrame:
-    return C.corpus_from_documents(t(spark, d, "documents")).select("doc_id", "key", "folder_id", "mtime", "size")
+    return metadata(spark, d).select("doc_id", "key", "folder_id", "mtime", "size")
 
 
 @query(f"WITH {FILES} SELECT key, folder_id, mtime + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS mtime FROM files WHERE doc_id % 13 <> 0 OR doc_id % 7 = 0")
@@ -241,7 +249,7 @@ _EXT_SQL = "lower(regexp_extract(name, '^.+(\\.[^.]*)$', 1))"
 
 @query(f"WITH {FILES}, n AS (SELECT doc_id, upper(name) AS name FROM files) SELECT doc_id, {_EXT_SQL} AS ext, {TYPES_SQL % _EXT_SQL} AS type, CASE WHEN {_EXT_SQL} = '.pdf' THEN 2 ELSE 1 END AS version FROM n")
 def ext_type_version(spark, d):
-    n = C.corpus_from_documents(t(spark, d, "documents")).select("doc_id", X.ext_of(F.upper("name")).alias("ext"))
+    n = metadata(spark, d).select("doc_id", X.ext_of(F.upper("name")).alias("ext"))
     return n.select("doc_id", "ext", X.file_type(F.col("ext")).alias("type"), X.reader_version(F.col("ext")).alias("version"))
 
 
@@ -274,7 +282,7 @@ def highlight_marks(spark, d):
 
 @query(f"WITH {FILES} SELECT key, CASE WHEN size * 997 >= 1048576 THEN printf('%.1f MB', size * 997 / 1048576.0) ELSE greatest(1, CAST(floor(size * 997 / 1024.0::DOUBLE + 0.5::DOUBLE) AS BIGINT)) || ' KB' END AS size, strftime(make_timestamp(mtime * 1000), '%d/%m/%Y %H:%M') AS at FROM files")
 def format_size_mtime(spark, d):
-    f = C.corpus_from_documents(t(spark, d, "documents"))
+    f = metadata(spark, d)
     return f.select("key", X.format_size(F.col("size") * 997).alias("size"), X.format_mtime(F.col("mtime")).alias("at"))
 
 
@@ -283,12 +291,12 @@ def format_size_mtime(spark, d):
 
 @query(f"WITH {FILES} SELECT key, ext FROM files WHERE ext IN ('.docx', '.pdf') AND folder_id = 'src3'")
 def filter_pool(spark, d):
-    return S.filter_pool(C.corpus_from_documents(t(spark, d, "documents")), ["Word", "PDF"], "src3").select("key", "ext")
+    return S.filter_pool(metadata(spark, d), ["Word", "PDF"], "src3").select("key", "ext")
 
 
 @query(f"WITH {FILES} SELECT key FROM files WHERE error IS NULL AND (doc_id % 3 <> 0)")
 def needs_embedding(spark, d):
-    f = C.corpus_from_documents(t(spark, d, "documents"))
+    f = metadata(spark, d)
     return f.where(V.needs_embedding(F.col("error"), F.when(F.col("doc_id") % 3 == 0, 1).when(F.col("doc_id") % 3 == 1, 0))).select("key")
 
 
@@ -315,7 +323,7 @@ acted AS (SELECT key, folder_id, rel, CASE WHEN nkey IS NULL THEN 'gone' WHEN NO
 
 
 def _both(spark, d) -> tuple[DataFrame, DataFrame]:
-    f = C.corpus_from_documents(t(spark, d, "documents")).withColumn("v", X.reader_version(F.col("ext")))
+    f = metadata(spark, d).withColumn("v", X.reader_version(F.col("ext")))
     i = F.col("doc_id")
     large = F.when(i % 202 == 0, Y.TOO_LARGE).when(i % 43 == 0, "broken").otherwise(F.col("error"))
     old = f.where(i % 13 != 0).select("key", "folder_id", "rel", "mtime", F.when(i % 202 == 0, 200000000).otherwise(F.col("size")).alias("size"), "v", large.alias("error"), (i % 17 == 0).alias("needs_ocr"), (i % 19 == 0).alias("awaits_tags"))
@@ -329,6 +337,14 @@ def plan_sync(spark, d):
     return Y.plan_sync(old, new, ocr=True, tags=True)
 
 
+@query(f"WITH {FILES}, {OLD_SQL}, {NEW_SQL}, {PLAN_SQL} SELECT key, action, known, same, text_good FROM acted")
+def plan_sync_stored(spark, d):
+    """The same against a stored state in buckets, which does not move."""
+    old, new = _both(spark, d)
+    name = "sync_state_" + uuid.uuid4().hex
+    return Y.plan_sync(Y.save_sync_state(old, name, folder(spark, "sync"), 2 * spark.sparkContext.defaultParallelism), new, ocr=True, tags=True)
+
+
 def _fate(spark, d) -> DataFrame:
     old, new = _both(spark, d)
     gone = Y.plan_sync(old, new, True, True).where("action = 'gone'").select("key").join(old, "key").select("key", "folder_id", "rel")
@@ -382,7 +398,7 @@ _STATS = "SELECT folder_id, count(*) AS total, count(error) AS errors, count(*)
 
 @query(f"WITH {FILES} {_STATS}")
 def corpus_stats(spark, d):
-    f = C.corpus_from_documents(t(spark, d, "documents"))
+    f = metadata(spark, d)
     return Y.corpus_stats(f.withColumns({"needs_ocr": F.col("doc_id") % 17 == 0, "needs_tags": F.col("doc_id") % 190 == 0}))
 
 
@@ -440,6 +456,32 @@ def search_report(spark, d):
     return S.search_report(f, S.summarise(q, *S.search_text(f, q)))
 
 
+# Many queries: of every 50th document, its first long word, and that word with another third letter.
+def _many_sql(word: str) -> str:
+    return f"q AS (SELECT doc_id AS qid, [{word}] AS lows, CAST(NULL AS VARCHAR) AS types, CAST(NULL AS VARCHAR) AS folder, false AS near FROM documents WHERE doc_id % 50 = 0 AND {word} <> '')"
+
+
+LONG_WORD = "regexp_extract(coalesce(text, ''), '[a-z]{9,}')"
+
+
+def _many(spark, d, word: str) -> DataFrame:
+    q = t(spark, d, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("qid"), F.expr(word).alias("query")).where("query <> ''")
+    return S.prepare_queries(q.withColumns({"types": F.lit(None).cast("array<string>"), "folder_id": F.lit(None).cast("string"), "near": F.lit(False)}))
+
+
+@query(f"WITH {FILES}, {_many_sql(LONG_WORD)}, {EXACT_SQL} SELECT qid, key, hit_count, hits FROM exact")
+def search_exact_many(spark, d):
+    q = _many(spark, d, "regexp_extract(coalesce(text, ''), '[a-z]{9,}', 0)")
+    return flat_hits(S.search_exact(indexed(files_of(spark, d)), q)).select("qid", "key", "hit_count", "hits")
+
+
+@query()  # NEAR_SQL over these queries gives the same rows, but takes minutes
+def search_near_many(spark, d):
+    q = _many(spark, d, "regexp_replace(regexp_extract(coalesce(text, ''), '[a-z]{9,}', 0), '^(..).', '$1x')")
+    _, _, near = S.search_text(indexed(files_of(spark, d)), q)
+    return flat_hits(near).select("qid", "key", "errors", "hit_count", F.array_join("marks", "|").alias("marks"), "hits")
+
+
 # Vectors of the files: five for each document in turn, the first of its name, the others of pieces of its first chunk. Every 50th vector asks.
 def semantic_sql() -> str:
     return f"""pas AS (SELECT f.key, f.folder_id, f.ext, f.name, e.vec_id % 5 AS p, CASE WHEN e.vec_id % 5 = 0 THEN -1 ELSE 0 END AS chunk, CASE WHEN e.vec_id % 5 = 0 THEN 0 ELSE (e.vec_id % 5 - 1) * 40 END AS pos, 40 AS len, f.doc_id % 7 <> 3 AS current, {QUANT_SQL % 'e.embedding'} AS vec FROM embeddings e JOIN files f ON f.doc_id = e.vec_id // 5),

@@ -1,8 +1,9 @@
 """Many queries at once over a corpus: exact, loose and near matches, ranking, summary and presentation.
 
-`queries`: qid, query, types (null or empty: all), folder_id (null: all), near. Chunks are scanned once, and only hits,
-with snippets already cut, are shuffled on (qid, key). A table of up to BROADCAST_QUERIES queries is broadcast. Beyond
-SCAN_QUERIES queries, a chunk meets only those that share a trigram of their longest term with it.
+`queries`: qid, query, types (null or empty: all), folder_id (null: all), near. Each search takes prepared files or a
+stored index of them (`grams`). Up to SCAN_QUERIES queries scan files once; more, or an index given, look up the places
+that hold the rarest grams of their terms, or of the pieces that edits must leave, and read only those texts. Hits carry
+cut snippets, and nothing else is shuffled on (qid, key). Up to BROADCAST_QUERIES queries are broadcast.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import NAME_LOC, file_type, in_pool, make_snippet, query_terms
 from tidemill.operators.components import written
-from tidemill.operators.fuzzy import edit_allowance, nearest, piece_gate
-from tidemill.sources.corpus import chunk_rows
+from tidemill.operators.fuzzy import edit_allowance, nearest_rows, piece_gate, pieces
+from tidemill.operators.grams import NAME, STEM, Grams, fetched, indexed, places
 
 MAX_FILES, MAX_HITS, PAGE = 200, 30, 20
 NAME_CHUNK = 2**31 - 1
@@ -25,11 +26,6 @@ def prepare_queries(queries: DataFrame) -> DataFrame:
     return q.withColumn("lows", F.transform("terms", lambda t: F.lower(t))).withColumn("can_near", F.exists("lows", lambda t: edit_allowance(t) > 0))
 
 
-def pool(side: str) -> Column:
-    """Whether the file of `side` is in the pool of the query `q`."""
-    return in_pool(F.col(f"{side}.folder_id"), F.col(f"{side}.ext"), F.col("q.types"), F.col("q.folder_id"))
-
-
 def asking(queries: DataFrame, most: int = BROADCAST_QUERIES) -> DataFrame:
     """The queries, broadcast if their number is checked to be small."""
     return F.broadcast(queries) if queries.count() <= most else queries
@@ -48,70 +44,82 @@ def roll_up(hits: DataFrame) -> DataFrame:
     return ranked.groupBy("qid", "key").agg(F.first("mtime").alias("mtime"), F.count("*").alias("hit_count"), first.alias("hits"))
 
 
-def longest_term(lows: Column) -> Column:
-    return F.array_max(F.transform(lows, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+def source_for(files: DataFrame | Grams, queries: DataFrame, scan: int = SCAN_QUERIES) -> DataFrame | Grams:
+    """What the queries are put to: the files, which are scanned, or, for many queries, an index of them."""
+    return files if isinstance(files, Grams) or queries.count() <= scan else indexed(files)
 
 
-def met(c: DataFrame, queries: DataFrame, many: bool) -> DataFrame:
-    """Chunks (alias c) with the queries (alias q) that have all terms in them."""
-    all_terms = F.forall("q.lows", lambda t: F.contains(F.col("c.low"), t))
-    if not many:
-        return c.join(asking(queries).alias("q"), pool("c") & F.contains(F.col("c.low"), longest_term(F.col("q.lows"))) & all_terms)
-    # a term of three or more characters has its first trigram in every chunk that holds it
-    gram = F.substring(longest_term(F.col("lows")), 1, 3)
-    q = queries.withColumn("gram", gram)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - 2, F.lit(1))), lambda i: F.substring("low", i, 3)))
-    posts = c.select("*", F.explode(grams).alias("gram")).alias("c").join(F.broadcast(q.select("gram").distinct()), "gram", "left_semi") if q.count() <= BROADCAST_QUERIES else c.select("*", F.explode(grams).alias("gram"))
-    long = posts.alias("c").join(q.where(F.length("gram") == 3).alias("q"), (F.col("c.gram") == F.col("q.gram")) & pool("c") & all_terms)
-    cols = [F.col(f"c.{x}") for x in c.columns], [F.col(f"q.{x}") for x in ("qid", "lows")]
-    short = c.join(asking(q.where(F.length("gram") < 3)).alias("q"), pool("c") & all_terms)
-    pairs = [df.select(F.struct(*cols[0]).alias("c"), F.struct(*cols[1]).alias("q")) for df in (long, short)]
-    return pairs[0].unionByName(pairs[1])
+def met(source: DataFrame | Grams, things: DataFrame, kinds: list[int], gate: Column) -> DataFrame:
+    """Rows of `things` with the places (alias c; chunks and `kinds` of names) in their pool that pass the gate.
 
+    things (alias q): tid, types, folder_id, alts (alternatives: arrays of strings of which one stands in the place) and
+    more. Files are scanned once for all of them; an index gives the places to be judged.
+    """
+    things = things.withColumnRenamed("folder_id", "wanted_folder")
+    kind = (F.col("chunk") >= 0) | F.col("chunk").isin(kinds)
+    if isinstance(source, Grams):
+        things = written(things, "things")
+        rows = fetched(source, things.select("tid", F.posexplode("alts").alias("alt", "strings")), things.drop("alts"))
+        return rows.where(kind & in_pool(F.col("folder_id"), F.col("ext"), F.col("types"), F.col("wanted_folder")) & gate)
+    own = places(source).where(kind)
+    return own.join(asking(things), in_pool(F.col("folder_id"), F.col("ext"), F.col("types"), F.col("wanted_folder")) & gate)
 
-def search_exact(files: DataFrame, queries: DataFrame, scan: int = SCAN_QUERIES) -> DataFrame:
-    """Files with all terms in one chunk, or in the stem of the name."""
-    q = queries.where(F.size("lows") > 0)
-    c = chunk_rows(files, "folder_id", "ext", "mtime").alias("c")
-    hits = met(c, q, q.count() > scan)
-    hits = hits.select("q.qid", "c.key", "c.mtime", F.col("c.chunk").alias("ord"), "c.chunk", "c.loc", make_snippet(F.col("c.text"), F.col("c.low"), F.col("q.lows")).alias("snippet"))
-    f = files.alias("f")
-    names = f.join(asking(q).alias("q"), pool("f") & F.forall("q.lows", lambda t: F.contains(F.col("f.stem_low"), t)))
-    names = names.select("qid", "key", "mtime", F.lit(NAME_CHUNK).alias("ord"), F.lit(None).cast("int").alias("chunk"), F.lit(NAME_LOC).alias("loc"), F.col("stem").alias("snippet"))
-    return roll_up(hits.unionByName(names))
 
+def per_term(queries: DataFrame) -> DataFrame:
+    """A thing for each term of each query."""
+    return queries.select("qid", "types", "folder_id", F.size("lows").alias("n_terms"), F.posexplode("lows").alias("ix", "term")).withColumn("tid", F.xxhash64("qid", "ix"))
 
-def search_loose(files: DataFrame, queries: DataFrame, exact: DataFrame) -> DataFrame:
+
+def search_exact(files: DataFrame | Grams, queries: DataFrame, scan: int = SCAN_QUERIES) -> DataFrame:
+    """Files with all terms in one chunk, or in the stem of the name."""
+    q = queries.where(F.size("lows") > 0).select("qid", "types", "folder_id", "lows", F.array("lows").alias("alts"), F.xxhash64("qid").alias("tid"))
+    hits = met(source_for(files, q, scan), q, [STEM], F.forall("lows", lambda t: F.contains(F.col("low"), t)))
+    name = F.col("chunk") == STEM
+    return roll_up(
+        hits.select(
+            "qid",
+            "key",
+            "mtime",
+            F.when(name, NAME_CHUNK).otherwise(F.col("chunk")).alias("ord"),
+            F.when(~name, F.col("chunk")).alias("chunk"),
+            "loc",
+            F.when(name, F.col("text")).otherwise(make_snippet(F.col("text"), F.col("low"), F.col("lows"))).alias("snippet"),
+        )
+    )
+
+
+def search_loose(files: DataFrame | Grams, queries: DataFrame, exact: DataFrame, scan: int = SCAN_QUERIES) -> DataFrame:
     """For queries without exact results: files with every term somewhere, the full name included; hits distinct by location."""
     q = queries.where(F.size("lows") > 0).join(exact.select("qid").distinct(), "qid", "left_anti")
-    t = asking(q.select("qid", "types", "folder_id", F.size("lows").alias("n_terms"), F.posexplode("lows").alias("ix", "term"))).alias("q")
-    c = chunk_rows(files, "folder_id", "ext", "mtime").alias("c")
-    hits = c.join(t, pool("c") & F.contains(F.col("c.low"), F.col("q.term")))
-    hits = hits.select("qid", "key", "mtime", "n_terms", "ix", F.col("chunk").alias("at"), "chunk", "loc", make_snippet(F.col("c.text"), F.col("c.low"), F.array("q.term")).alias("snippet"))
-    f = files.alias("f")
-    names = f.join(t, pool("f") & F.contains(F.col("f.name_low"), F.col("q.term")))
-    names = names.select("qid", "key", "mtime", "n_terms", "ix", F.lit(NAME_CHUNK).alias("at"), F.lit(None).cast("int").alias("chunk"), F.lit(NAME_LOC).alias("loc"), F.col("name").alias("snippet"))
-    every = hits.unionByName(names)
+    t = per_term(q).withColumn("alts", F.array(F.array("term")))
+    hits = met(source_for(files, t, scan), t, [NAME], F.contains("low", "term"))
+    name = F.col("chunk") == NAME
+    snippet = F.when(name, F.col("text")).otherwise(make_snippet(F.col("text"), F.col("low"), F.array("term")))
+    every = hits.select("qid", "key", "mtime", "n_terms", "ix", F.when(name, NAME_CHUNK).otherwise(F.col("chunk")).alias("at"), F.when(~name, F.col("chunk")).alias("chunk"), "loc", snippet.alias("snippet"))
+    every = written(every, "loose_hits")
     full = every.groupBy("qid", "key").agg(F.count_distinct("ix").alias("n"), F.first("n_terms").alias("n_terms")).where("n = n_terms").select("qid", "key")
     first = every.join(full, ["qid", "key"], "left_semi").groupBy("qid", "key", "mtime", "loc").agg(F.min(F.struct("ix", "at", "chunk", "snippet")).alias("h"))
     return roll_up(first.select("qid", "key", "mtime", (F.col("h.ix").cast("long") * 2**32 + F.col("h.at")).alias("ord"), "h.chunk", "loc", "h.snippet"))
 
 
-def search_near(files: DataFrame, queries: DataFrame, found: DataFrame) -> DataFrame:
-    """Files in which every term is found exactly or nearly, not all exactly; only for queries without results or with `near`."""
+def search_near(files: DataFrame | Grams, queries: DataFrame, found: DataFrame, scan: int = SCAN_QUERIES) -> DataFrame:
+    """Files in which every term is found exactly or nearly, not all exactly; only for queries without results or with `near`.
+
+    A place with a piece of a term is compared with the term once; what is found there, with its snippet, is stored.
+    """
     have = found.select("qid").distinct().withColumn("have", F.lit(True))
     q = queries.where("can_near").join(have, "qid", "left").where(F.col("have").isNull() | F.coalesce("near", F.lit(False)))
-    t = asking(q.select("qid", "types", "folder_id", F.size("lows").alias("n_terms"), F.posexplode("lows").alias("ix", "term"))).alias("q")
-    c = chunk_rows(files, "folder_id", "ext", "mtime").select("key", "folder_id", "ext", "mtime", "chunk", "loc", "text", "low")
-    names = files.select("key", "folder_id", "ext", "mtime", F.lit(-1).alias("chunk"), F.lit(NAME_LOC).alias("loc"), F.col("name").alias("text"), F.col("name_low").alias("low"))
-    spots = c.unionByName(names).alias("c").join(t, pool("c") & piece_gate(F.col("c.low"), F.col("q.term")))
-    spots = spots.join(found.select("qid", "key"), ["qid", "key"], "left_anti").withColumn("hit", nearest(F.col("low"), F.col("term"), edit_allowance(F.col("term")))).where("hit.errors is not null")
-    spots = spots.select("qid", "key", "mtime", "n_terms", "ix", "chunk", "loc", "text", "low", "hit.errors", F.substring("low", F.col("hit.start") + 1, F.col("hit.end") - F.col("hit.start")).alias("word"))
-    spots = spots.withColumn("snippet", F.when(F.col("chunk") < 0, F.col("text")).otherwise(make_snippet(F.col("text"), F.col("low"), F.array("word")))).drop("text", "low")
-    best = spots.groupBy("qid", "key", "ix").agg(F.min("errors").alias("errors"))
-    total = best.join(spots.groupBy("qid", "key").agg(F.first("n_terms").alias("n_terms")), ["qid", "key"]).groupBy("qid", "key", "n_terms").agg(F.count("*").alias("n"), F.sum("errors").alias("total_errors"))
+    t = per_term(q).withColumn("k", edit_allowance(F.col("term"))).withColumn("pieces", pieces(F.col("term"))).withColumn("alts", F.transform("pieces", lambda p: F.array(p)))
+    close = met(source_for(files, t, scan), t, [NAME], piece_gate(F.col("low"), F.col("pieces")))
+    close = close.join(found.select("qid", "key"), ["qid", "key"], "left_anti")
+    spots = nearest_rows(close.select("qid", "key", "mtime", "n_terms", "ix", "term", "k", "chunk", "loc", "text", "low"))
+    spots = spots.withColumn("word", F.substring("low", F.col("start") + 1, F.col("end") - F.col("start")))
+    snippet = F.when(F.col("chunk") < 0, F.col("text")).otherwise(make_snippet(F.col("text"), F.col("low"), F.array("word")))
+    spots = written(spots.select("qid", "key", "mtime", "n_terms", "ix", "chunk", "loc", "errors", "word", snippet.alias("snippet")), "spots")
+    best = written(spots.groupBy("qid", "key", "ix").agg(F.min("errors").alias("errors"), F.first("n_terms").alias("n_terms")), "best")
+    total = best.groupBy("qid", "key").agg(F.first("n_terms").alias("n_terms"), F.count("*").alias("n"), F.sum("errors").alias("total_errors"))
     total = total.where("n = n_terms and total_errors > 0").select("qid", "key", "total_errors")
-    kept = spots.join(best, ["qid", "key", "ix", "errors"], "left_semi").join(total, ["qid", "key"])
+    kept = written(spots.join(best.drop("n_terms"), ["qid", "key", "ix", "errors"], "left_semi").join(total, ["qid", "key"]), "kept")
     marks = kept.groupBy("qid", "key").agg(F.array_sort(F.collect_set("word")).alias("marks"), F.first("total_errors").alias("errors"))
     first = kept.groupBy("qid", "key", "mtime", "chunk", "loc").agg(F.min(F.struct("ix", "snippet")).alias("h"))
     hits = first.select("qid", "key", "mtime", F.when(F.col("chunk") < 0, NAME_CHUNK).otherwise(F.col("chunk")).alias("ord"), F.when(F.col("chunk") >= 0, F.col("chunk")).alias("chunk"), "loc", F.col("h.snippet").alias("snippet"))
@@ -123,8 +131,9 @@ def rank_results(results: DataFrame, near: bool = False, most: int = MAX_FILES)
     return results.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*by))).where(F.col("rank") <= most)
 
 
-def search_text(files: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def search_text(files: DataFrame | Grams, queries: DataFrame, scan: int = SCAN_QUERIES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Exact, loose and near results, unranked; each is stored, as the next ones depend on it."""
+    files = source_for(files, queries, scan)
     exact = written(search_exact(files, queries), "exact")
     loose = written(search_loose(files, queries, exact), "loose")
     return exact, loose, written(search_near(files, queries, exact.select("qid", "key").unionByName(loose.select("qid", "key"))), "near")

@@ -1,11 +1,15 @@
-"""Keeping an index in step with a listing: full outer join on the key over metadata only."""
+"""Keeping an index in step with a listing: full outer join on the key over metadata only.
+
+`save_sync_state` stores the index's metadata in buckets by key, so that a later join moves the listing only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import TAG_LOC, TAGGABLE, trim_space
+from tidemill.operators.components import small, written
 from tidemill.sources.corpus import MAX_SIZE
 
 #: Folders up to which those that could not be read are broadcast.
@@ -42,12 +46,34 @@ def plan_sync(index: DataFrame, listing: DataFrame, ocr: bool = False, tags: boo
     return j.select(F.coalesce("n.key", "o.key").alias("key"), action.alias("action"), F.col("o.key").isNotNull().alias("known"), same.alias("same"), good.alias("text_good"))
 
 
+def folders_above(rel: Column) -> Column:
+    """The folders that a path lies in, as prefixes: '' (the root), 'a/', 'a/b/' for 'a/b/c.txt'."""
+    parts = F.split(rel, "/")
+    inner = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")))
+    return F.concat(F.array(F.lit("")), F.when(F.size(parts) > 1, inner).otherwise(F.array().cast("array<string>")))
+
+
+def save_sync_state(index: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """The metadata of an index (see `plan_sync`) as the table `name` below `path`, in buckets by key."""
+    index.repartition(buckets, "key").write.mode("overwrite").bucketBy(buckets, "key").sortBy("key").option("path", path).saveAsTable(name)
+    return index.sparkSession.table(name)
+
+
+def open_sync_state(spark: SparkSession, name: str, path: str, schema: str, buckets: int) -> DataFrame:
+    """A stored state in a session that does not know its table yet."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({schema}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def detect_removed(gone: DataFrame, failed_dirs: DataFrame) -> DataFrame:
-    """key, folder_id, fate: 'kept' below a folder that could not be read, else 'removed'."""
-    few = failed_dirs.count() <= BROADCAST_DIRS
-    g, d = gone.alias("g"), (F.broadcast(failed_dirs) if few else failed_dirs).alias("d")
-    below = (F.col("g.folder_id") == F.col("d.folder_id")) & F.expr("startswith(g.rel, d.prefix)")
-    kept = g.join(d, below, "left_semi").select("key").withColumn("kept", F.lit(True))
+    """key, folder_id, fate: 'kept' below a folder that could not be read, else 'removed'.
+
+    failed_dirs: folder_id and prefix, which ends in '/' or is '' for the root. A file meets its own folders by equality,
+    however many folders failed.
+    """
+    failed = written(failed_dirs.select("folder_id", "prefix").distinct(), "failed")
+    above = gone.select("key", "folder_id", F.explode(folders_above(F.col("rel"))).alias("prefix"))
+    kept = above.join(small(failed, BROADCAST_DIRS), ["folder_id", "prefix"]).groupBy("key").agg(F.lit(True).alias("kept"))
     return gone.join(kept, "key", "left").select("key", "folder_id", F.when(F.col("kept"), "kept").otherwise("removed").alias("fate"))
 
 

@@ -107,23 +107,25 @@ def chunk_rows(files: DataFrame, *keep: str) -> DataFrame:
     return files.select("key", *keep, F.posexplode("chunks").alias("chunk", "c")).select("key", *keep, "chunk", "c.loc", "c.text", "c.low")
 
 
-def corpus_from_documents(docs: DataFrame) -> DataFrame:
-    """File records made from `documents` rows, in order of no kind; a document without a text counts as unreadable."""
+def file_records(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, key, folder_id, rel, name, ext, size, mtime and kept columns of a file record for each document."""
     ext = F.create_map(*[F.lit(x) for x in ("en", ".txt", "fr", ".docx", "de", ".pdf", "es", ".xlsx")])
-    files = spread(docs).select("doc_id", F.coalesce("source", F.lit("unknown")).alias("folder_id"), F.col("n_chars").alias("size"), F.coalesce("lang", F.lit("und")).alias("lang"), "text", F.coalesce(F.try_element_at(ext, F.col("lang")), F.lit("")).alias("ext"))
+    lang = F.coalesce("lang", F.lit("und"))
+    files = docs.select("doc_id", F.coalesce("source", F.lit("unknown")).alias("folder_id"), F.col("n_chars").alias("size"), lang.alias("lang"), F.coalesce(F.try_element_at(ext, F.col("lang")), F.lit("")).alias("ext"), *keep)
     files = files.withColumn("name", F.concat(F.lit("doc_"), F.col("doc_id"), "ext")).withColumn("rel", F.concat_ws("/", "lang", "name"))
-    return with_chunks(files, "text").select(
-        "doc_id",
-        F.concat_ws("/", "folder_id", "rel").alias("key"),
-        "folder_id",
-        "rel",
-        "name",
-        "ext",
-        "size",
-        (F.lit(1700000000000) + (F.col("doc_id") * 7919 % 1000) * 1000).alias("mtime"),
-        F.when(F.col("text").isNull(), "bad").alias("error"),
-        "chunks",
-    )
+    mtime = F.lit(1700000000000) + (F.col("doc_id") * 7919 % 1000) * 1000
+    return files.select("doc_id", F.concat_ws("/", "folder_id", "rel").alias("key"), "folder_id", "rel", "name", "ext", "size", mtime.alias("mtime"), *keep)
+
+
+def metadata_from_documents(docs: DataFrame) -> DataFrame:
+    """File records with their error, without chunks: no text is read. A document without n_chars counts as unreadable."""
+    return file_records(docs).withColumn("error", F.when(F.col("size").isNull(), "bad"))
+
+
+def corpus_from_documents(docs: DataFrame) -> DataFrame:
+    """File records with chunks, in order of no kind; a document without a text counts as unreadable."""
+    files = with_chunks(file_records(spread(docs), "text"), "text")
+    return files.select("doc_id", "key", "folder_id", "rel", "name", "ext", "size", "mtime", F.when(F.col("text").isNull(), "bad").alias("error"), "chunks")
 
 
 def cell_text(cell: Column, kind: str) -> Column:
