@@ -337,18 +337,6 @@ def test_vectors_in_blocks(spark):
     assert found and all(x["qid"] > 0 and int(x["key"][1:]) % 2 for x in found)
 
 
-def test_stream_index_keeps_the_last_version(spark, tmp_path):
-    schema = "key string, mtime long, folder_id string"
-    write = lambda n, rows: spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part{n}"))
-    frame = spark.createDataFrame([], schema)
-    out, state = str(tmp_path / "table"), str(tmp_path / "state")
-    for n, rows in enumerate([[(f"k{i}", 1, "a") for i in range(20)], [("k3", 5, "b"), ("new", 1, "a")], [("k3", 4, "c"), ("k4", 2, "d")]]):
-        write(n, rows)
-        streams.stream_index(spark, str(tmp_path / "in" / "*"), frame.schema, out, state).awaitTermination()
-    got = {r["key"]: (r["mtime"], r["folder_id"]) for r in streams.read_index(spark, out, frame.schema).collect()}
-    assert got == {f"k{i}": (1, "a") for i in range(20)} | {"k3": (5, "b"), "k4": (2, "d"), "new": (1, "a")}
-
-
 def test_entry_point_imports():
     import __spark_entry__ as e
 

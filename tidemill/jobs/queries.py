@@ -16,6 +16,7 @@ from tidemill.operators.components import folder, written
 from tidemill.operators.fuzzy import edit_allowance
 from tidemill.operators.grams import indexed
 from tidemill.sources import corpus as C
+from tidemill.sources.store import Store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -225,6 +226,30 @@ def remove_keys(spark, d):
     return C.remove_folder(C.remove_keys(f, f.where("doc_id % 11 = 0")), "src3").select("key", "folder_id")
 
 
+def _stored(spark, d, rows: DataFrame) -> Store:
+    store = Store.create(spark, folder(spark, "store"), rows.schema, target_rows=1000)
+    store.upsert(rows)
+    return store
+
+
+@query(f"WITH {FILES} SELECT key, folder_id, mtime + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS mtime FROM files WHERE doc_id % 13 <> 0 OR doc_id % 7 = 0")
+def upsert_stored(spark, d):
+    """The same on disk: only buckets with changed keys are written anew."""
+    f = _keyed(spark, d)
+    store = _stored(spark, d, f.where("doc_id % 13 <> 0"))
+    store.upsert(f.where("doc_id % 7 = 0").withColumn("mtime", F.col("mtime") + 1))
+    return store.read().select("key", "folder_id", "mtime")
+
+
+@query(f"WITH {FILES} SELECT key, folder_id FROM files WHERE doc_id % 11 <> 0 AND folder_id <> 'src3'")
+def remove_stored(spark, d):
+    f = _keyed(spark, d)
+    store = _stored(spark, d, f)
+    store.remove(f.where("doc_id % 11 = 0"))
+    store.remove_folder("src3")
+    return store.read().select("key", "folder_id")
+
+
 # ---- text --------------------------------------------------------------------------------------------------------------
 
 LATIN, THAI = "abcdefghijklmnopqrstuvwxyz", "กขคงจฉชซญฐาํำ่้๊๋ิ็่​﻿e̓ ป"
@@ -738,25 +763,34 @@ def stream_index(spark, d):
     src = _parts(spark, d, f.unionByName(f.where("doc_id % 7 = 0").withColumn("mtime", F.col("mtime") + 1)), "incoming")
     out = folder(spark, "stream")
     start(spark, src, f.schema, out, folder(spark, "progress"), files_per_batch=2).awaitTermination()
-    return read_index(spark, out, f.schema).select("key", "mtime")
+    return read_index(spark, out).select("key", "mtime")
 
 
 @query(f"WITH {FILES}, {Q_SQL}, {EXACT_SQL} SELECT qid, key, hit_count FROM exact")
 def stream_search(spark, d):
+    from tidemill.streaming.streams import read_hits
     from tidemill.streaming.streams import stream_search as start
 
     f = files_of(spark, d)
-    out = folder(spark, "stream")
-    files = spark.readStream.schema(f.schema).parquet(_parts(spark, d, f, "incoming"))
-    start(files, asked(spark), out, folder(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out).select("qid", "key", "hit_count")
+    out, src = folder(spark, "stream"), _parts(spark, d, f, "incoming")
+    files = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    start(files, lambda: asked(spark), lambda: spark.read.schema(f.schema).parquet(src), out, folder(spark, "progress")).awaitTermination()
+    return read_hits(spark, out, asked(spark))
 
 
-@query(passages_sql("backlog"))
+@query(f"WITH p AS ({passages_sql('backlog')}) SELECT key, CAST(p AS INT) AS p, CAST(chunk AS INT) AS chunk, CAST(pos AS INT) AS pos, CAST(len AS INT) AS len, CAST(least(127, floor(len / 200.0::DOUBLE * 127 + 0.5::DOUBLE)) AS TINYINT) AS x FROM p")
 def stream_embed_backlog(spark, d):
-    from tidemill.streaming.streams import stream_embed_backlog as start
-
-    f = files_of(spark, d).withColumn("sem_version", F.when(F.col("doc_id") % 3 == 0, 1))
-    out = folder(spark, "stream")
-    start(spark.readStream.schema(f.schema).parquet(_parts(spark, d, f, "incoming")), out, folder(spark, "progress")).awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    """Vectors of one number, the share of a passage's length; every third document has them from before."""
+    from tidemill.streaming import streams
+
+    f, out = files_of(spark, d), folder(spark, "vectors")
+    embed = lambda p: p.withColumn("vec", F.array((F.col("len") / 200).cast("float")))
+    streams.embed_missing(f.where("doc_id % 3 = 0"), out, "before", embed)
+    before = spark.read.parquet(out).select("key")
+    start = lambda run: streams.stream_embed_backlog(spark.readStream.schema(f.schema).parquet(src), out, folder(spark, "progress"), embed, run)
+    src = _parts(spark, d, f, "incoming")
+    start("first").awaitTermination()
+    start("second").awaitTermination()  # finds everything done
+    new = streams.read_vectors(spark, out, 1).join(before, "key", "left_anti")
+    rows = new.select("key", F.posexplode(F.arrays_zip("at", "vecs")).alias("p", "r"))
+    return rows.select("key", "p", "r.at.chunk", "r.at.pos", "r.at.len", F.get("r.vecs", F.lit(0)).alias("x"))
