@@ -131,25 +131,75 @@ def frequencies(docs: DataFrame) -> DataFrame:
     return docs.select("id", "lang", "text").mapInArrow(run, "id long, lang string, at array<int>, n array<int>")
 
 
+class Slots:
+    """Numbers of all n-grams of a text at once: characters are numbered as they come, up to ALPHABET, and n-grams by theirs.
+
+    Words with characters beyond those are worked out one by one.
+    """
+
+    ALPHABET = 128
+
+    def __init__(self):
+        self.grams, self.chars = Grams(), ["_"]
+        self.ids = np.full(0x110000, -1, np.int16)  # -1: not seen yet, -2: beyond, -3: between words
+        self.ids[0], self.ids[ord("_")] = -3, 0
+        self.tables = [np.full(self.ALPHABET**n, -1, np.int32) for n in (1, 2, 3)]
+
+    def number(self, codes: np.ndarray) -> np.ndarray:
+        ids = self.ids[codes]
+        if (ids == -1).any():
+            for c in np.unique(codes[ids == -1]).tolist():
+                if len(self.chars) < self.ALPHABET:
+                    self.ids[c] = len(self.chars)
+                    self.chars.append(chr(c))
+                else:
+                    self.ids[c] = -2
+            ids = self.ids[codes]
+        return ids.astype(np.int64)
+
+    def spell(self, gram: int, n: int) -> str:
+        return "".join(self.chars[gram // self.ALPHABET**k % self.ALPHABET] for k in range(n - 1, -1, -1))
+
+    def mark(self, runs: list[str], seen: np.ndarray) -> None:
+        """Sets `seen` at the numbers of the n-grams of some words."""
+        if max(map(len, runs)) > LONGEST:
+            runs = [w[k : k + LONGEST] for w in runs for k in range(0, len(w), LONGEST)]
+        text = "_" + "_\0_".join(runs) + "_"
+        ids = self.number(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
+        if (ids == -2).any():
+            odd = {w for w in runs if any(self.ids[ord(c)] == -2 for c in w)}
+            for w in odd:
+                seen[self.grams.of(w)] = True
+            runs = [w for w in runs if w not in odd]
+            if not runs:
+                return
+            return self.mark(runs, seen)
+        gram, ok = np.zeros(len(ids), np.int64), np.ones(len(ids), bool)
+        for n, table in enumerate(self.tables, 1):
+            last = len(ids) - n + 1
+            gram, ok = gram[:last] * self.ALPHABET + ids[n - 1 :], ok[:last] & (ids[n - 1 :] >= 0)
+            own = gram[ok]
+            slots = table[own]
+            if (slots < 0).any():
+                new = np.unique(own[slots < 0])
+                table[new] = [self.grams[self.spell(g, n)] for g in new.tolist()]
+                slots = table[own]
+            seen[slots] = True
+
+
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """How many texts have each n-gram, and how many have any; tasks add up DIMS counts, and no more reach the driver."""
     schema = pa.schema([("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts, own = Grams(), np.zeros(DIMS + 1, np.int64), {}
+        slots, counts = Slots(), np.zeros(DIMS + 1, np.int64)
         for (some,) in columns(batches):
             for text in some:
-                words = set(letter_runs(text))
-                if not words:
-                    continue
-                if len(own) > CACHE_WORDS // 4:
-                    own.clear()
-                for w in words - own.keys():
-                    own[w] = np.array(grams.of(w), np.int32)
-                seen = np.zeros(DIMS + 1, bool)
-                seen[np.concatenate([own[w] for w in words])] = True
-                seen[DIMS] = True
-                counts += seen
+                if runs := letter_runs(text):
+                    seen = np.zeros(DIMS + 1, bool)
+                    slots.mark(runs, seen)
+                    seen[DIMS] = True
+                    counts += seen
         at = np.flatnonzero(counts).astype(np.int32)
         yield batch(schema, [at], [counts[at]])
 
