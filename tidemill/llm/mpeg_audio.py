@@ -175,6 +175,22 @@ def read_id3(data: bytes) -> tuple[int, dict[str, str]]:
     return size, notes
 
 
+def rate_table(frame: bytes, at: int) -> tuple | None:
+    """Kind, frames, bytes and length of the seek table of a frame's variable-bitrate header; None if there is none, or a part of it is cut off."""
+    mark = frame[at : at + 4]
+    if mark in (b"Xing", b"Info") and len(frame) >= at + 8:
+        flags, p, found = struct.unpack(">I", frame[at + 4 : at + 8])[0], at + 8, []
+        if len(frame) < p + 4 * (flags & 3).bit_count() + 100 * (flags >> 2 & 1):
+            return None
+        for bit in (1, 2):
+            found.append(struct.unpack(">I", frame[p : p + 4])[0] if flags & bit else None)
+            p += 4 * bool(flags & bit)
+        return (mark.decode(), *found, 100 if flags & 4 else 0)
+    if frame[36:40] == b"VBRI" and len(frame) >= 54:
+        return ("VBRI", *reversed(struct.unpack(">II", frame[46:54])), 0)
+    return None
+
+
 def probe_mpeg(data: bytes | None) -> dict:
     """Frames, exact length, checksums, seek offsets and carried payload of an MPEG audio stream."""
     data = data or b""
@@ -203,15 +219,9 @@ def probe_mpeg(data: bytes | None) -> dict:
             guarded = 8 * side if layer == 3 else guarded_bits(version, layer, bps, hz, data[at + 3] >> 6, 4 * (data[at + 3] >> 4 & 3) + 4, data[body : at + size])
             right = data[at + 4 : at + 6] == struct.pack(">H", crc16(data[at + 2 : at + 4] + data[body : body + -(-guarded // 8)], 16 + guarded))
             out["good" if right else "bad"] += 1
-        mark = data[body + side : body + side + 4]
-        if first and mark in (b"Xing", b"Info"):
-            flags, p, found = struct.unpack(">I", data[body + side + 4 : body + side + 8])[0], body + side + 8, []
-            for bit in (1, 2):
-                found.append(struct.unpack(">I", data[p : p + 4])[0] if flags & bit else None)
-                p += 4 * bool(flags & bit)
-            out["vbr"] = (mark.decode(), *found, len(data[p : p + 100]) if flags & 4 else 0)
-        elif first and data[at + 36 : at + 40] == b"VBRI":
-            out["vbr"] = ("VBRI", *reversed(struct.unpack(">II", data[at + 46 : at + 54])), 0)
+        table = rate_table(data[at : at + size], 4 + 2 * check + side) if first else None
+        if table:
+            out["vbr"] = table
         else:
             out["frames"] += 1
             out["samples"] += samples
