@@ -144,12 +144,12 @@ def revealing_terms(docs: DataFrame, support: int = 2, generalised: float = 0.8,
     return stored(worst.withColumn("action", F.when(F.col("disclosure") >= removed, "remove").otherwise("generalise")), "revealing")
 
 
-def term_documents(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """doc_id, term and further columns of `terms`, for each document that holds a term of the (small) table."""
+def term_texts(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """h (hash of the text), term and further columns of `terms`, for each text that holds a term of the (small) table."""
     n = terms.count()
     if not n:
-        return docs.select("doc_id").join(terms, F.lit(False))
-    words = docs.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
+        return docs.select("h").join(terms, F.lit(False))
+    words = docs.select("h", F.explode(terms_of(F.col("text"))).alias("term"))
     return words.join(F.broadcast(terms) if n <= BROADCAST_TERMS else terms, "term")
 
 
@@ -157,9 +157,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
     """doc_id, text, base, all spans (kind, start, end, value, action), and kept (a struct of the columns `keep`) of every document."""
     docs = with_base(docs, id_col, text_col, keep)
     terms = revealing_terms(docs, **thresholds)
-    by_doc = term_documents(docs, terms).groupBy("doc_id").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions"))
-    by_doc = stored(by_doc, "termdocs")
-    docs = docs.join(F.broadcast(by_doc) if by_doc.count() <= BROADCAST_DOCS else by_doc, "doc_id", "left")
+    # terms belong to a text, whatever its id: rows of one id or without any find their own
+    docs = docs.withColumn("h", F.xxhash64("text"))
+    by_text = term_texts(docs, terms).groupBy("h").agg(F.sort_array(F.collect_set("term")).alias("terms"), F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("actions"))
+    by_text = stored(by_text, "termtexts")
+    docs = docs.join(F.broadcast(by_text) if by_text.count() <= BROADCAST_DOCS else by_text, "h", "left")
     quoted = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("terms", "|"), F.lit(r")(?!\p{L})"))
     in_text = spans_of(F.coalesce("text", F.lit("")), F.coalesce(quoted, F.lit("(?!)x")), F.col("terms").isNotNull())
     free = F.filter(in_text, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
