@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemill.llm import decontamination, prefix_trie, spelling
+from tidemill.llm import decontamination, kneser_ney, mpeg_audio, pii, prefix_trie, spelling
 
 CONV = "conv_id long, turn long, role string, text string, digest string, words long"
 
@@ -206,3 +206,48 @@ def test_crcs_of_long_runs():
     begun = np.array([zlib.crc32(b"12:")] * 4, np.uint32)
     got = spelling.run_crcs(np.frombuffer(raw, np.uint8), starts, np.array([len(x) for x in runs]), begun)
     assert got.tolist() == [zlib.crc32(f"12:{x}".encode()) for x in runs]
+
+
+def test_media_headers_may_be_cut_anywhere(spark):
+    r = random.Random(9)
+    media = mpeg_audio.write_mpeg(b"payload " * 400)
+    for _ in range(400):
+        a, z = sorted(r.sample(range(len(media)), 2))
+        cut = bytearray(media[:a] + media[z:])
+        for _ in range(r.randint(0, 6)):
+            if cut:
+                cut[r.randrange(len(cut))] = r.randrange(256)
+        mpeg_audio.probe_mpeg(bytes(cut))
+    # the smallest frames of every version, layer and checksum, with marks of tables that do not fit
+    for second in range(0xE0, 0x100):
+        for third in range(0, 256, 4):
+            for mark in (b"Xing\xff\xff\xff\xff", b"Info\x00\x00\x00\x07", b"Xing", b"VBRI"):
+                for at in (4, 6, 13, 15, 21, 23, 36, 38):
+                    frame = bytearray(b"\xff" + bytes([second, third, 0xC0]) + bytes(60))
+                    frame[at : at + len(mark)] = mark
+                    mpeg_audio.probe_mpeg(bytes(frame))
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert mpeg_audio.read_audio(mpeg_audio.store_audio(empty)).collect() == []
+
+
+def test_terms_are_found_in_rows_without_an_id(spark):
+    texts = [f"report {k} by zanzibar person, mail zed@ex.org today" for k in range(4)] + [f"report {k} of other words, nothing else" for k in range(40)]
+    known = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    nameless = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    spans = lambda df: sorted((r["text"], str(r["spans"])) for r in pii.find_pii(df).collect())
+    assert spans(known) == spans(nameless) and any("'term'" in s for _, s in spans(nameless))
+
+
+def test_a_lost_part_of_the_language_model_is_an_error(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} of a text {i % 3}") for i in range(30)], "doc_id long, text string")
+    model = kneser_ney.train_lm(docs.select("text"), 3)
+    assert all(r["score"] > -1000 for r in kneser_ney.score_lm(docs, model).collect())
+    part = sorted(model.held["pairs"])[0]
+    kneser_ney.mapped.cache_clear()
+    fs, path = kneser_ney.file_system(model.folder)
+    fs.delete_file(f"{path}/pairs{part}.keys.npy")
+    with pytest.raises(Exception, match="pairs"):
+        kneser_ney.Model.scores(model, ["some words 1 of a text 1", "some words 2"], kneser_ney.WordHash())
+    empty = docs.where("doc_id < 0")
+    assert kneser_ney.score_lm(empty, model).collect() == []
+    assert [r["n_tokens"] for r in kneser_ney.score_lm(docs.where("doc_id = 1"), kneser_ney.train_lm(empty.select("text"), 3)).collect()] == [8]

@@ -112,6 +112,7 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def count_pairs(texts: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
     """part, data: each task's pairs, added up and packed by the part that owns them."""
     schema = pa.schema([("part", pa.int32()), ("data", pa.binary())])
+    session = texts.sparkSession.sparkContext.applicationId
 
     def emit(h1: np.ndarray, h2: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         part = part_of(h1, h2, parts, hot)
@@ -123,7 +124,7 @@ def count_pairs(texts: DataFrame, parts: int, hot: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mapped.cache_clear()  # a worker that counts lets go of the models that it scored with before
-        drop_copies()
+        drop_copies(session)
         hashes, kept = WordHash(), []
         for (own,) in columns(batches):
             for a, b in in_blocks(own, BLOCK):
@@ -174,9 +175,9 @@ def host_copy(fs: pafs.FileSystem, path: str, folder: str) -> str:
     return local
 
 
-def drop_copies() -> None:
-    """Removes copies of former models from this host; what is mapped stays readable."""
-    for old in glob.glob(os.path.join(tempfile.gettempdir(), f"{COPIES}-*")):
+def drop_copies(session: str) -> None:
+    """Removes copies of former models of one Spark application from this host; what is mapped stays readable."""
+    for old in glob.glob(os.path.join(tempfile.gettempdir(), f"{COPIES}-bigrams-{session}-*")):
         shutil.rmtree(old, ignore_errors=True)
 
 
@@ -216,6 +217,7 @@ def write_pairs(packed: DataFrame, folder: str, parts: int) -> DataFrame:
                 width = small[0].itemsize
                 out.append((p, np.int64([len(o), width]).tobytes() + b"".join(x.tobytes() for x in [h[o], *small])))
         stats = pd.DataFrame(out, columns=["part2", "data"])
+        stats["part"] = int(pdf["part"].iloc[0])
         for k in (1, 2, 3, 4):
             stats[f"n{k}"] = 0
             stats.loc[0, f"n{k}"] = int((n == k).sum())
@@ -223,7 +225,7 @@ def write_pairs(packed: DataFrame, folder: str, parts: int) -> DataFrame:
         stats.loc[0, "tokens"] = int(n.sum())
         return stats
 
-    return packed.groupBy("part").applyInPandas(reduce, "part2 int, data binary, n1 long, n2 long, n3 long, n4 long, tokens long")
+    return packed.groupBy("part").applyInPandas(reduce, "part2 int, data binary, part int, n1 long, n2 long, n3 long, n4 long, tokens long")
 
 
 def write_words(facts: DataFrame, folder: str) -> DataFrame:
@@ -239,9 +241,9 @@ def write_words(facts: DataFrame, folder: str) -> DataFrame:
         (h,), facts_ = summed([np.concatenate(hs)], [np.concatenate(c) for c in columns_])
         save_arrays(folder, f"words{pdf['part2'].iloc[0]}", {"keys": h} | dict(zip(WORD_FIELDS, facts_, strict=True)))
         cont = facts_[1]
-        return pd.DataFrame([[int((facts_[0] > 0).sum()), int(cont.sum()), *[int((cont == k).sum()) for k in (1, 2, 3, 4)], int((cont > 2).sum())]], columns=["words", "continuations", "n1", "n2", "n3", "n4", "more"])
+        return pd.DataFrame([[int((facts_[0] > 0).sum()), int(cont.sum()), *[int((cont == k).sum()) for k in (1, 2, 3, 4)], int((cont > 2).sum()), int(pdf["part2"].iloc[0])]], columns=["words", "continuations", "n1", "n2", "n3", "n4", "more", "part"])
 
-    return facts.groupBy("part2").applyInPandas(reduce, "words long, continuations long, n1 long, n2 long, n3 long, n4 long, more long")
+    return facts.groupBy("part2").applyInPandas(reduce, "words long, continuations long, n1 long, n2 long, n3 long, n4 long, more long, part int")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -256,24 +258,23 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 class Model:
     """Where the arrays are, and the totals."""
 
-    def __init__(self, folder: str, parts: int, hot: np.ndarray, tokens: int, words: int, pair_counts: tuple, word_counts: tuple, continuations: int, more: int):
-        self.folder, self.parts, self.hot, self.tokens, self.words = folder, parts, hot, tokens, words
+    def __init__(self, folder: str, parts: int, held: dict[str, frozenset[int]], hot: np.ndarray, tokens: int, words: int, pair_counts: tuple, word_counts: tuple, continuations: int, more: int):
+        self.folder, self.parts, self.held, self.hot, self.tokens, self.words = folder, parts, held, hot, tokens, words
         self.d2, self.d1 = discounts(*pair_counts), discounts(*word_counts)
         self.continuations = continuations
         n1, n2 = word_counts[:2]
         self.left = (self.d1[0] * n1 + self.d1[1] * n2 + self.d1[2] * more) / continuations if continuations else 1.0
 
     def lookup(self, kind: str, part: np.ndarray, keys: np.ndarray, fields: tuple[str, ...]) -> list[np.ndarray]:
-        """Fields of sorted unique keys of each part, 0 where unknown."""
+        """Fields of sorted unique keys of each part, 0 where unknown; a part that was written must be there."""
         out = [np.zeros(len(keys), np.int64) for _ in fields]
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
         for p in np.flatnonzero(np.diff(cuts)):
             at = order[cuts[p] : cuts[p + 1]]
-            try:
-                have = mapped(self.folder, f"{kind}{p}.keys")
-            except FileNotFoundError:
+            if p not in self.held[kind]:
                 continue  # no key fell to this part
+            have = mapped(self.folder, f"{kind}{p}.keys")
             pos = np.minimum(np.searchsorted(have, keys[at]), len(have) - 1)
             right = have[pos] == keys[at]
             for o, f in zip(out, fields, strict=True):
@@ -331,12 +332,13 @@ def hot_contexts(texts: DataFrame, sample_rows: int = 500) -> np.ndarray:
 def train_lm(texts: DataFrame, parts: int) -> Model:
     """The model of a one-column frame of texts; `parts` should grow with them (pairs of a part meet in one task)."""
     spark = texts.sparkSession
-    folder, hot = shared_dir(spark, "bigrams"), hot_contexts(texts)
+    folder, hot = shared_dir(spark, f"bigrams-{spark.sparkContext.applicationId}"), hot_contexts(texts)
     facts = stored(write_pairs(count_pairs(texts, parts, hot), folder, parts), "facts")
-    pairs = facts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "tokens")]).first()
+    pairs = facts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "tokens")], F.collect_set("part").alias("parts")).first()
     names = ("words", "continuations", "n1", "n2", "n3", "n4", "more")
-    words = write_words(facts.where(F.col("data").isNotNull()).select("part2", "data"), folder).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
-    return Model(folder, parts, hot, pairs["tokens"], words["words"], tuple(pairs)[:4], tuple(words)[2:6], words["continuations"], words["more"])
+    words = write_words(facts.where(F.col("data").isNotNull()).select("part2", "data"), folder).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names], F.collect_set("part").alias("parts")).first()
+    held = {"pairs": frozenset(pairs["parts"]), "words": frozenset(words["parts"])}  # numbers of parts
+    return Model(folder, parts, held, hot, pairs["tokens"], words["words"], tuple(pairs)[:4], tuple(words)[2:6], words["continuations"], words["more"])
 
 
 def score_lm(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
