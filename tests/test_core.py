@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import text as X
 from tidemill.operators.components import connected_components
 from tidemill.operators.dupes import gram_hashes, hash_units, sketch_similarity
-from tidemill.operators import dupes, grams, search, sync
+from tidemill.operators import dupes, grams, search, semantic, sync
 from tidemill.operators.fuzzy import find_nearest, nearest_of
 from tidemill.operators.semantic import passage_spans, quantize_vectors, semantic_search, vector_scores
 from tidemill.sources import corpus
@@ -317,6 +317,42 @@ def test_duplicates(spark):
     assert (top["n"], top["exact"], top["total_groups"], top["total_files"]) == (3, False, 1, 3)
 
 
+def test_prefixes_lose_no_pair(spark, monkeypatch):
+    """Sketches with frequent hashes, repetitive texts and classes of copies against all pairs."""
+    monkeypatch.setattr(dupes, "MAX_SHARED", 18)
+    r = random.Random(12)
+    rows = []
+    base = [r.sample(range(5000), 128) for _ in range(5)]
+    for k in range(60):
+        n = r.choice([128, 128, 128, 120, 20])
+        vals = set(r.sample(r.choice(base), n))
+        for _ in range(r.choice([0, 1, 4, 12, 25, 60])):
+            vals.discard(r.choice(sorted(vals)))
+            vals.add(r.randrange(5000, 9000))
+        vals = sorted(vals)[:128]
+        rows.append((k, f"c{k:02}", r.choice([1, 1, 1, 4]), vals, len(vals) < 128 and r.random() < 0.7))
+    df = spark.createDataFrame(rows, "id long, cls string, size long, vals array<long>, full boolean")
+    files, held = {}, {}
+    for _, _, size, vals, _ in rows:
+        for v in vals:
+            files[v] = files.get(v, 0) + size
+            held[v] = held.get(v, 0) + 1
+    rare = {v for v, n in files.items() if n <= 18 and held[v] > 1}
+    shared, similar = set(), set()
+    for i, (_, a, _, x, fx) in enumerate(rows):
+        for _, b, _, y, fy in rows[i + 1 :]:
+            n = len(rare & set(x) & set(y))
+            if n and 10 * n >= 3 * min(len(x), len(y)):
+                shared.add((a, b, n))
+                limit = min([max(v) for v, full in ((x, fx), (y, fy)) if not full], default=10**9)
+                union = [v for v in sorted({*x, *y}) if v <= limit][:128]
+                both = sum(v in x and v in y for v in union)
+                if union and both / len(union) >= 0.85:
+                    similar.add((a, b, round(both / len(union), 9)))
+    assert {tuple(x) for x in dupes.dup_candidates(df).collect()} == shared and len(shared) > 20
+    assert {(x["a"], x["b"], round(x["sim"], 9)) for x in dupes.near_duplicates(df).collect()} == similar and len(similar) > 5
+
+
 def test_vectors_in_blocks(spark):
     rng = np.random.default_rng(1)
     unit = lambda n: [[float(x) for x in v / np.linalg.norm(v)] for v in rng.normal(size=(n, 8))]
@@ -337,6 +373,51 @@ def test_vectors_in_blocks(spark):
     assert found and all(x["qid"] > 0 and int(x["key"][1:]) % 2 for x in found)
 
 
+def test_means_of_groups(spark, monkeypatch):
+    monkeypatch.setattr(semantic, "HELD_GROUPS", 3)
+    rng = np.random.default_rng(4)
+    rows = [(f"g{k}" if k else None, rng.normal(size=6).tolist()) for k in rng.choice([0, 1, 1, 1, 2, 3, 4, 5, 6, 7], 300).tolist()] + [("zero", [1.0] * 6), ("zero", [-1.0] * 6), ("g1", None)]
+    df = spark.createDataFrame(rows, "label string, v array<double>").repartition(7)
+    got = {r["label"]: np.array(r["vec"]) for r in semantic.mean_pool(df, "label", "v").collect()}
+    assert got.keys() == {k for k, _ in rows}
+    for k, v in got.items():
+        m = np.mean([x for j, x in rows if j == k and x], 0)
+        assert np.allclose(v, m / (np.linalg.norm(m) or 1))
+    assert semantic.mean_pool(df.where("label = 'none'"), "label", "v").collect() == []
+
+
+def test_shares_over_several_blocks_of_labels(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    items = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(12)] + [(99, [0.0] * 5)], "item long, vec array<float>")
+    labels = spark.createDataFrame([(f"l{k}", rng.integers(-127, 128, 5).tolist()) for k in range(20)], "label_id string, vec array<tinyint>").repartition(3)
+    flat = lambda: sorted((r["item"], r["rank"], r["label_id"], round(r["share"], 9)) for r in semantic.zero_shot_share(items, labels).collect())
+    one = flat()
+    monkeypatch.setattr(semantic, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(semantic, "BROADCAST_BYTES", 0)
+    assert flat() == one and len(one) == 13 * semantic.TOP
+    v, ls = items.first()["vec"], {r["label_id"]: np.array(r["vec"], float) for r in labels.collect()}
+    sims = {k: np.dot(v, x) / 127 / np.linalg.norm(v) for k, x in ls.items()}
+    e = {k: np.exp(100 * (s - max(sims.values()))) for k, s in sims.items()}
+    best = max(sims, key=lambda k: sims[k])
+    assert one[0][2] == best and abs(one[0][3] - e[best] / sum(e.values())) < 1e-6
+
+
+def test_previews_start_where_they_are_told(spark):
+    files = corpus.prepare_search(files_of(spark, ["a" * 600 + "needle" + "b" * 3000, None]))
+    key, bad = [r["key"] for r in files.orderBy("doc_id").select("key").collect()]
+    asked = [(1, key, 0, ["needle"], None), (2, key, 0, ["needle"], 50), (3, key, 1, ["needle"], None), (4, bad, 0, ["x"], 3), (5, "none", 0, ["x"], None), (6, key, -1, ["x"], None)]
+    wanted = spark.createDataFrame(asked, "n int, key string, chunk int, terms array<string>, at int")
+    got = {r["n"]: r["preview"] for r in corpus.previews(files, wanted).collect()}
+    assert (got[1]["text"][500:506], len(got[1]["text"]), got[1]["cut_start"], got[1]["cut_end"]) == ("needle", 2000, True, True)
+    assert (got[2]["text"][550:556], len(got[2]["text"])) == ("needle", 1500)
+    assert got[3] is got[4] is got[5] is got[6] is None
+
+
+def test_old_dates_show_their_time(spark):
+    row = spark.sql("SELECT date'1899-12-31' a, date'1900-01-01' b").select(*[corpus.cell_text(F.col(c), "date").alias(c) for c in "ab"]).first()
+    assert tuple(row) == ("00:00:00", "1900-01-01 00:00:00")
+
+
 def test_entry_point_imports():
     import __spark_entry__ as e
 

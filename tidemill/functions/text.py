@@ -26,7 +26,7 @@ INVISIBLE = "​‌‍﻿­\u0000"
 #: What counts as white space, spelled out since engines differ.
 SPACE = "\t\n\x0b\x0c\r                  　﻿"
 NAME_LOC = "ชื่อไฟล์"
-TAG_LOC, OLD_TAG_LOCS = "ในภาพ (บูรพา)", ("ในภาพ (AI)",)
+TAG_LOC, OLD_TAG_LOCS = "ในภาพ (ป้าย)", ("ในภาพ (AI)",)
 TAGGABLE = (".png", ".jpg", ".jpeg", ".bmp")
 
 THAI_GLYPHS = "".join(chr(0xF700 + i) for i in range(len(THAI_PUA)))

@@ -189,7 +189,7 @@ _MONEY = "regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '')"
 
 
 @query(f"""WITH r AS (SELECT o_orderstatus AS sheet, o_orderkey, concat_ws(' | ', CAST(o_orderkey AS VARCHAR), {_MONEY}, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), CASE WHEN o_totalprice > 300000 THEN 'TRUE' ELSE 'FALSE' END, nullif(o_orderpriority, '')) AS line FROM orders),
-n AS (SELECT *, (row_number() OVER (PARTITION BY sheet ORDER BY o_orderkey) - 1) // 5000 AS block FROM r)
+n AS (SELECT *, (row_number() OVER (PARTITION BY sheet ORDER BY o_orderkey) - 1) // 1048576 AS block FROM r)
 SELECT sheet, 'ชีต ' || sheet AS loc, block, string_agg(line, chr(10) ORDER BY o_orderkey) AS text FROM n GROUP BY sheet, block""")
 def rows_to_text(spark, d):
     o = C.spread(t(spark, d, "orders")).withColumn("large", F.col("o_totalprice") > 300000)
@@ -300,6 +300,17 @@ def context_window(spark, d):
     return c.select("key", "chunk", F.col("w.text").alias("body"), "w.cut_start", "w.cut_end")
 
 
+@query(f"""WITH {FILES}, w AS (SELECT key, CAST(doc_id % 3 AS INT) AS chunk, CASE WHEN doc_id % 2 = 0 THEN CAST(doc_id % 700 AS INT) END AS at_ FROM files),
+p AS (SELECT w.key, w.chunk, at_, text, greatest(strpos(low, 'thtion') - 1, 0) AS pos FROM w LEFT JOIN chunks c ON c.key = w.key AND c.chunk = w.chunk),
+b AS (SELECT *, coalesce(at_, greatest(0, pos - 500)) AS start, coalesce(at_, pos) + 1500 AS stop FROM p)
+SELECT key, chunk, text[start + 1:least(length(text), stop)] AS body, CASE WHEN text IS NOT NULL THEN start > 0 END AS cut_start, stop < length(text) AS cut_end FROM b""")
+def previews(spark, d):
+    f = files_of(spark, d)
+    i = F.col("doc_id")
+    wanted = metadata(spark, d).select("key", (i % 3).cast("int").alias("chunk"), F.when(i % 2 == 0, (i % 700).cast("int")).alias("at"), F.array(F.lit("thtion")).alias("terms"))
+    return C.previews(f, wanted).select("key", "chunk", F.col("preview.text").alias("body"), "preview.cut_start", "preview.cut_end")
+
+
 @query(f"WITH {FILES} SELECT key, chunk, regexp_replace(text, '(thtion|tion|e\\.)', '<mark>\\1</mark>', 'gi') AS marked FROM chunks")
 def highlight_marks(spark, d):
     return C.chunk_rows(files_of(spark, d)).select("key", "chunk", X.highlight_marks(F.col("text"), F.array(F.lit("tion"), F.lit("e."), F.lit("thtion"))).alias("marked"))
@@ -432,7 +443,7 @@ def rescan_folders(spark, d):
     return Y.rescan_folders(corpus_stats(spark, d), ocr=True, tags=True)
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'ในภาพ (บูรพา)' ELSE 'turn ' || turn END AS loc FROM conversations")
+@query(f"SELECT conv_id, turn, CASE WHEN turn = 0 THEN '{X.TAG_LOC}' ELSE 'turn ' || turn END AS loc FROM conversations")
 def migrate_tag_loc(spark, d):
     c = t(spark, d, "conversations").withColumn("c", F.array(F.struct(F.when(F.col("turn") == 0, X.OLD_TAG_LOCS[0]).otherwise(F.concat(F.lit("turn "), "turn")).alias("loc"), "text")))
     return c.select("conv_id", "turn", F.get(C.migrate_tag_loc(F.col("c")), F.lit(0))["loc"].alias("loc"))

@@ -15,7 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemill.functions.text import NAME_LOC, TAG_LOC, count_letters, in_pool, trim_space
-from tidemill.operators.components import written
+from tidemill.operators.components import small, written
 
 PASSAGE_CHARS, MAX_PASSAGES, MIN_LETTERS, NAME_LETTERS = 200, 40, 12, 8
 MIN_SCORE, SEM_FILES, NAME_WEIGHT, SEM_HITS = 0.35, 5, 0.75, 2
@@ -57,12 +57,64 @@ def quantize_vectors(vec: Column) -> Column:
     return F.transform(vec, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x.cast("double") * 127 + 0.5))).cast("tinyint"))
 
 
+#: Groups whose sums a task holds before it hands them on.
+HELD_GROUPS = 10_000
+
+
 def mean_pool(rows: DataFrame, group: str, vec: str) -> DataFrame:
-    """group, vec: mean of the group's vectors, scaled to length one (a zero mean stays)."""
-    means = rows.select(group, F.posexplode(vec).alias("d", "x")).groupBy(group, "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    pooled = means.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return pooled.select(group, F.transform("v", lambda x: x / F.when(norm > 0, norm).otherwise(1.0)).alias("vec"))
+    """group, vec: mean of the group's vectors (of one length; null ones are left out), scaled to length one (a zero mean stays).
+
+    A task adds up its vectors by group and shuffles one row for each, so that a group may hold most rows.
+    """
+    own = to_arrow_schema(rows.select(group).schema).field(0)
+    part = pa.schema([own, ("n", pa.int64()), ("s", pa.list_(pa.float64()))])
+    kind = dict(rows.dtypes)[group]
+
+    def given(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([list(held), [n for n, _ in held.values()], [s for _, s in held.values()]], part.types, strict=True)], schema=part)
+
+    def add(held: dict, key, n: int, s: np.ndarray) -> None:
+        m, t = held.get(key, (0, 0.0))
+        held[key] = (m + n, t + s)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = b.column(0).dictionary_encode()
+            m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            at = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(at, kind="stable")
+            cuts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+            names = [*codes.dictionary.to_pylist(), None]
+            for k, n, s in zip(at[order][cuts].tolist(), np.diff(np.r_[cuts, len(at)]).tolist(), np.add.reduceat(m[order], cuts), strict=True):
+                add(held, names[k], n, s)
+            if len(held) >= HELD_GROUPS:
+                yield given(held)
+                held = {}
+        if held:
+            yield given(held)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}  # the last group may go on in the next batch
+        done = pa.schema([own, ("vec", pa.list_(pa.float64()))])
+
+        def out(keys: list) -> pa.RecordBatch:
+            means = [held[k][1] / held[k][0] for k in keys]
+            return pa.RecordBatch.from_arrays([pa.array(keys, own.type), pa.array([m / (np.linalg.norm(m) or 1.0) for m in means], done.types[1])], schema=done)
+
+        for b in batches:
+            for key, n, s in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                add(held, key, n, np.array(s))
+            if len(keys := list(held)[:-1]):
+                yield out(keys)
+                held = {k: held[k] for k in list(held)[-1:]}
+        if held:
+            yield out(list(held))
+
+    sums = rows.select(group, vec).where(F.col(vec).isNotNull()).mapInArrow(partial, f"`{group}` {kind}, n long, s array<double>")
+    return sums.repartition(group).sortWithinPartitions(group).mapInArrow(merged, f"`{group}` {kind}, vec array<double>")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -156,20 +208,46 @@ def semantic_snippets(found: DataFrame, passages: DataFrame, files: DataFrame) -
 
 
 def zero_shot_share(items: DataFrame, labels: DataFrame, top: int = TOP) -> DataFrame:
-    """item, label_id, sim, share, rank: softmax over all labels of the cosines, the best `top`. Labels are a small vocabulary."""
-    v = items.join(F.broadcast(labels.agg(F.array_sort(F.collect_list(F.struct("label_id", "vec"))).alias("labels"))))
-    norm = F.sqrt(dot(F.col("vec"), F.col("vec")))
-    sims = F.transform("labels", lambda x: F.struct((dot(F.col("vec"), x["vec"]) / 127 / F.when(norm > 0, norm).otherwise(1.0)).alias("sim"), x["label_id"].alias("label_id")))
-    v = v.select("item", sims.alias("sims")).withColumn("most", F.array_max(F.transform("sims", lambda s: s["sim"])))
-    v = v.withColumn("total", F.aggregate("sims", F.lit(0.0), lambda a, s: a + F.exp(GAIN * (s["sim"] - F.col("most")))))
-    ordered = F.slice(F.array_sort(F.transform("sims", lambda s: F.struct((-s["sim"]).alias("o"), s["label_id"].alias("label_id"), s["sim"].alias("sim")))), 1, top)
-    v = v.select("item", "most", "total", F.posexplode(ordered).alias("rank", "s"))
-    return v.select("item", "s.label_id", "s.sim", (F.exp(GAIN * (F.col("s.sim") - F.col("most"))) / F.col("total")).alias("share"), (F.col("rank") + 1).alias("rank"))
+    """item, label_id, sim, share, rank: softmax over all labels of the cosines, the best `top`.
+
+    A block of items meets blocks of labels in matrix products; the blocks of labels are broadcast if they take
+    BROADCAST_BYTES at most. Where there are several, each gives an item's greatest cosine, the sum of its exponentials
+    and its best labels, and these are put together.
+    """
+    kinds = {"item": dict(items.dtypes)["item"], "label_id": dict(labels.dtypes)["label_id"]}
+    own = labels.coalesce(1) if labels.count() <= BLOCK_ROWS else labels
+    blocks = written(packed(own, ["label_id"], "vec"), "labels")
+    n, total = blocks.agg(F.count("*"), F.coalesce(F.sum(F.length("m")), F.lit(0))).first()
+    pairs = packed(items, ["item"], "vec").crossJoin((F.broadcast(blocks) if total <= BROADCAST_BYTES else blocks).select("label_id", F.col("m").alias("l")))
+    best = pa.list_(pa.struct([("o", pa.float64()), ("label_id", to_arrow_schema(labels.select("label_id").schema).field(0).type)]))
+    schema = pa.schema([to_arrow_schema(items.select("item").schema).field(0), ("most", pa.float64()), ("total", pa.float64()), ("best", best)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for names, m, ids, l in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                x = np.frombuffer(m, np.float32).reshape(len(names), -1).astype(np.float64)
+                y = np.frombuffer(l, np.float32).reshape(len(ids), -1).astype(np.float64)
+                norm = np.linalg.norm(x, axis=1)
+                sims = x @ y.T / 127 / np.where(norm > 0, norm, 1.0)[:, None]
+                most = sims.max(1)
+                rank = np.argsort(np.argsort(np.array(ids, object), kind="stable"), kind="stable")
+                first = [np.lexsort((rank, -row))[:top] for row in sims]
+                lists = [[{"o": -float(row[k]), "label_id": ids[k]} for k in at] for row, at in zip(sims, first, strict=True)]
+                cols = [names, most, np.exp(GAIN * (sims - most[:, None])).sum(1), lists]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+
+    v = pairs.select("item", "m", "label_id", "l").mapInArrow(run, f"item {kinds['item']}, most double, total double, best array<struct<o: double, label_id: {kinds['label_id']}>>")
+    if n > 1:  # a row per item and block of labels
+        v = v.groupBy("item").agg(F.max("most").alias("most"), F.collect_list(F.struct("most", "total")).alias("parts"), F.flatten(F.collect_list("best")).alias("best"))
+        whole = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["total"] * F.exp(GAIN * (p["most"] - F.col("most"))))
+        v = v.select("item", "most", whole.alias("total"), F.slice(F.array_sort("best"), 1, top).alias("best"))
+    v = v.select("item", "most", "total", F.posexplode("best").alias("rank", "s")).withColumn("sim", -F.col("s.o"))
+    return v.select("item", "s.label_id", "sim", (F.exp(GAIN * (F.col("sim") - F.col("most"))) / F.col("total")).alias("share"), (F.col("rank") + 1).alias("rank"))
 
 
 def assign_tags(shares: DataFrame, labels: DataFrame) -> DataFrame:
-    """item, tags: none unless the best label is sure; then up to MAX_TAGS labels, in both languages."""
-    s = shares.join(F.broadcast(labels.select("label_id", "th", "en")), "label_id").where(F.col("share") >= ALSO)
+    """item, tags: none unless the best label is sure; then up to MAX_TAGS labels, in both languages. At most TOP shares an item are read."""
+    s = shares.where(F.col("share") >= ALSO).join(small(labels.select("label_id", "th", "en")), "label_id")
     kept = F.slice(F.array_sort(F.collect_list(F.struct("rank", "share", "th", "en"))), 1, MAX_TAGS)
     g = s.groupBy("item").agg(kept.alias("k"))
     text = F.concat(F.array_join(F.transform("k", lambda x: x["th"]), ", "), F.lit(" · "), F.array_join(F.transform("k", lambda x: x["en"]), ", "))

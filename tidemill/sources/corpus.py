@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from tidemill.functions.text import FILE_TYPES, OLD_TAG_LOCS, SKIP_DIRS, TAG_LOC, composed, ext_of, glyphs, join_thai_lines, let, normalize_text, once, stem_of, tidied, trim_space
+from tidemill.functions.text import FILE_TYPES, OLD_TAG_LOCS, SKIP_DIRS, TAG_LOC, composed, context_window, ext_of, glyphs, join_thai_lines, let, normalize_text, once, stem_of, tidied, trim_space
 from tidemill.operators.components import written
 
 CHUNK_LINES = 50
 #: Files above this many bytes are not read.
 MAX_SIZE = 100 * 1024 * 1024
+#: Rows that a sheet of a workbook can have (fixed value of the format).
+SHEET_ROWS = 1 << 20
 LINE_LOC = "บรรทัด "
 
 
@@ -122,6 +124,16 @@ def metadata_from_documents(docs: DataFrame) -> DataFrame:
     return file_records(docs).withColumn("error", F.when(F.col("size").isNull(), "bad"))
 
 
+def previews(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The columns of `wanted` with preview (text, cut_start, cut_end): the part of a chunk that a result shows.
+
+    wanted: key, chunk, terms (lower case) and at: the preview starts there, or where it is null, before the earliest term.
+    Missing files and chunks give null. files are prepared.
+    """
+    rows = wanted.join(files.select("key", "chunks"), "key", "left").withColumn("c", F.get("chunks", F.when(F.col("chunk") >= 0, F.col("chunk"))))
+    return rows.select(*wanted.columns, context_window(F.col("c.text"), F.col("c.low"), F.col("terms"), F.col("at")).alias("preview"))
+
+
 def corpus_from_documents(docs: DataFrame) -> DataFrame:
     """File records with chunks, in order of no kind; a document without a text counts as unreadable."""
     files = with_chunks(file_records(spread(docs), "text"), "text")
@@ -131,7 +143,7 @@ def corpus_from_documents(docs: DataFrame) -> DataFrame:
 def cell_text(cell: Column, kind: str) -> Column:
     """A typed cell as text: times with the date from 1900 on, TRUE or FALSE, numbers as short as they can be; null and '' give null."""
     if kind.startswith(("timestamp", "date")):
-        return F.date_format(cell, "yyyy-MM-dd HH:mm:ss") if kind == "date" else F.when(F.year(cell) < 1900, F.date_format(cell, "HH:mm:ss")).otherwise(F.date_format(cell, "yyyy-MM-dd HH:mm:ss"))
+        return F.when(F.year(cell) < 1900, F.date_format(cell, "HH:mm:ss")).otherwise(F.date_format(cell, "yyyy-MM-dd HH:mm:ss"))
     if kind == "boolean":
         return F.upper(cell.cast("string"))
     if kind in ("double", "float") or kind.startswith("decimal"):
@@ -142,10 +154,10 @@ def cell_text(cell: Column, kind: str) -> Column:
     return F.nullif(cell.cast("string"), F.lit(""))
 
 
-def rows_to_text(rows: DataFrame, sheet: Column, order: Column, cells: list[str], rows_per_chunk: int = 5000) -> DataFrame:
+def rows_to_text(rows: DataFrame, sheet: Column, order: Column, cells: list[str], rows_per_chunk: int = SHEET_ROWS) -> DataFrame:
     """sheet, loc, block, text: non-empty cells of each row joined by ' | ', blank rows dropped, rows joined in order.
 
-    A sheet is one text; one of more than `rows_per_chunk` rows becomes several, so that no task gathers a whole sheet.
+    A sheet is one text. Tables that are no sheets may be longer than a sheet can be; they become a text for every SHEET_ROWS rows.
     Rows are numbered by counts of sorted ranges.
     """
     kinds = dict(rows.dtypes)
