@@ -6,7 +6,7 @@ which residuals occur; the search starts at the piece's length and goes to the n
 compatible one is found. Every bin has a bitmap of its sources and one of its clusters; each residual list also has the AND of
 its bins' bitmaps, so that a list in which all bins conflict is passed over at once.
 
-Packing runs in shards of about `shard_rows` pieces, dealt by a hash of the document, so that hot sources and
+Packing runs in shards of about `shard_rows` documents, dealt by a hash of the document, so that hot sources and
 clusters spread and no task grows; only ids, lengths and keys are shuffled. Best fit holds within a shard.
 
 Documents without a word take one token (their end). A null source or cluster conflicts with nothing. Ties go by
