@@ -6,8 +6,9 @@ ancillary bytes hold the payload. Every frame carries its checksum.
 
 The probe skips junk until a frame header that the next one confirms, reads tags (ID3v2.2 to 2.4, with unsynchronisation
 and all text encodings; ID3v1 only behind the last frame, so that no payload is taken for one) and the variable-bitrate
-table, verifies the checksums of all layers, and gives exact durations (samples over rate) and the byte offset of each
-frame.
+table (Xing and VBRI, with their seek entries), verifies the checksums of all layers, and gives exact durations (samples
+over rate) and the byte offset of each frame. `seek_error` is the greatest distance in bytes between an entry of the seek
+table and the frame it names, as found; null without a seek table or without frames.
 
 Null text counts as empty; an empty payload is 64 zero bytes. Repeated texts give equal media. Extra columns are
 not read. A null or unparsable stream gives zero frames and an empty payload.
@@ -16,6 +17,7 @@ not read. A null or unparsable stream gives zero frames and an empty payload.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -175,8 +177,11 @@ def read_id3(data: bytes) -> tuple[int, dict[str, str]]:
     return size, notes
 
 
-def rate_table(frame: bytes, at: int) -> tuple | None:
-    """Kind, frames, bytes and length of the seek table of a frame's variable-bitrate header; None if there is none, or a part of it is cut off."""
+def rate_table(frame: bytes, at: int) -> dict | None:
+    """Kind, frame and byte counts (None if not given) and seek entries of a frame's variable-bitrate header; None if there is none, or a part of it is cut off.
+
+    Entries of Xing are 256ths of the bytes for each hundredth of the time; those of VBRI are bytes for `step` frames each.
+    """
     mark = frame[at : at + 4]
     if mark in (b"Xing", b"Info") and len(frame) >= at + 8:
         flags, p, found = struct.unpack(">I", frame[at + 4 : at + 8])[0], at + 8, []
@@ -185,19 +190,37 @@ def rate_table(frame: bytes, at: int) -> tuple | None:
         for bit in (1, 2):
             found.append(struct.unpack(">I", frame[p : p + 4])[0] if flags & bit else None)
             p += 4 * bool(flags & bit)
-        return (mark.decode(), *found, 100 if flags & 4 else 0)
-    if frame[36:40] == b"VBRI" and len(frame) >= 54:
-        return ("VBRI", *reversed(struct.unpack(">II", frame[46:54])), 0)
+        return {"kind": mark.decode(), "frames": found[0], "bytes": found[1], "entries": list(frame[p : p + 100]) if flags & 4 else [], "step": 0}
+    if frame[36:40] == b"VBRI" and len(frame) >= 62:
+        total, frames, n, scale, width, step = struct.unpack(">IIHHHH", frame[46:62])
+        if n and (not 1 <= width <= 4 or not step) or len(frame) < 62 + n * width:
+            return None
+        return {"kind": "VBRI", "frames": frames, "bytes": total, "entries": [scale * int.from_bytes(frame[k : k + width], "big") for k in range(62, 62 + n * width, width)], "step": step}
     return None
 
 
+def seek_points(found: dict, start: int, size: int, offsets: list[int], length: int) -> list[tuple[int, int]]:
+    """(offset by the table, offset where the probe found that frame) for each entry of a seek table that names a frame.
+
+    The table stands in the frame of `size` bytes at `start`; `offsets` are those of the frames behind it.
+    """
+    n, entries = len(offsets), found["entries"]
+    if not n or not entries:
+        return []
+    if found["kind"] == "VBRI":
+        named = itertools.accumulate(entries, initial=start + size)
+        return [(p, offsets[i * found["step"]]) for i, p in enumerate(named) if i * found["step"] < n]
+    whole = found["bytes"] or length - start
+    return [(start + x * whole // 256, offsets[i * n // 100]) for i, x in enumerate(entries)]
+
+
 def probe_mpeg(data: bytes | None) -> dict:
     """Frames, exact length, checksums, seek offsets and carried payload of an MPEG audio stream."""
     data = data or b""
     start, notes = read_id3(data)
     at_end = len(data)
-    out = {"frames": 0, "samples": 0, "rate": 0, "offsets": [], "good": 0, "bad": 0, "junk": 0, "vbr": None, "bps": set()}
-    at, kind, first, parts = start, None, True, []
+    out = {"frames": 0, "samples": 0, "rate": 0, "offsets": [], "good": 0, "bad": 0, "junk": 0, "vbr": None, "seek": [], "bps": set()}
+    at, kind, first, parts, frame_of_table = start, None, True, [], (0, 0)
     while at + 4 <= at_end:
         if at == at_end - 128 and not first and data[at : at + 3] == b"TAG":  # ID3v1, right behind a frame
             break
@@ -221,7 +244,7 @@ def probe_mpeg(data: bytes | None) -> dict:
             out["good" if right else "bad"] += 1
         table = rate_table(data[at : at + size], 4 + 2 * check + side) if first else None
         if table:
-            out["vbr"] = table
+            out["vbr"], frame_of_table = table, (at, size)
         else:
             out["frames"] += 1
             out["samples"] += samples
@@ -231,6 +254,9 @@ def probe_mpeg(data: bytes | None) -> dict:
         out["rate"], first, at = hz, False, at + size
     payload = b"".join(parts)
     out["tags"] = notes
+    if out["vbr"]:
+        out["seek"] = seek_points(out["vbr"], *frame_of_table, out["offsets"], at_end)
+    out["seek_error"] = max((abs(p - q) for p, q in out["seek"]), default=None)
     return out | {"payload": payload[: int(notes["payload"])] if notes.get("payload", "").isdigit() else payload}
 
 
@@ -249,13 +275,13 @@ def store_audio(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 PROBED = pa.schema(
-    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.int64()), ("samples", pa.int64()), ("rate", pa.int32()), ("checksums_good", pa.int64()), ("checksums_bad", pa.int64()), ("seek_offsets", pa.list_(pa.int64()))]
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("frames", pa.int64()), ("samples", pa.int64()), ("rate", pa.int32()), ("checksums_good", pa.int64()), ("checksums_bad", pa.int64()), ("seek_offsets", pa.list_(pa.int64())), ("seconds", pa.float64()), ("seek_error", pa.int64())]
 )
-PROBED_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, samples long, rate int, checksums_good long, checksums_bad long, seek_offsets array<long>"
+PROBED_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames long, samples long, rate int, checksums_good long, checksums_bad long, seek_offsets array<long>, seconds double, seek_error long"
 
 
 def read_audio(media: DataFrame) -> DataFrame:
-    """What the stored streams hold: digests of payload and stream, exact duration (samples / rate) and seek offsets."""
+    """What the stored streams hold: digests of payload and stream, exact duration (samples / rate), seek offsets, and how far the stored seek table is off."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sizes, streams in columns(batches):
@@ -263,9 +289,10 @@ def read_audio(media: DataFrame) -> DataFrame:
             for i, n, stream in zip(ids, sizes, streams, strict=True):
                 p, stream = probe_mpeg(stream), stream or b""
                 seek = zlib.crc32(struct.pack(f">{len(p['offsets'])}Q", *p["offsets"]))
-                vbr = ":".join(map(str, p["vbr"])) if p["vbr"] else "none"
+                v = p["vbr"]
+                vbr = f"{v['kind']}:{v['frames']}:{v['bytes']}:{len(v['entries'])}:{p['seek_error']}" if v else "none"
                 feature = f"frames={p['frames']};samples={p['samples']};rate={p['rate']};vbr={vbr};bps={min(p['bps'], default=0)}-{max(p['bps'], default=0)};crc={p['good']}/{p['bad']};junk={p['junk']};seek={seek}"
-                rows.append((i, n, len(p["payload"]), hashlib.sha256(p["payload"]).hexdigest(), zlib.crc32(p["payload"][-BLOCK:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, p["frames"], p["samples"], p["rate"], p["good"], p["bad"], p["offsets"]))
+                rows.append((i, n, len(p["payload"]), hashlib.sha256(p["payload"]).hexdigest(), zlib.crc32(p["payload"][-BLOCK:]), len(stream), hashlib.sha256(stream).hexdigest(), feature, p["frames"], p["samples"], p["rate"], p["good"], p["bad"], p["offsets"], p["samples"] / p["rate"] if p["rate"] else 0.0, p["seek_error"]))
             yield batch(PROBED, *(zip(*rows, strict=True) if rows else [[]] * len(PROBED)))
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, PROBED_DDL)
@@ -273,4 +300,4 @@ def read_audio(media: DataFrame) -> DataFrame:
 
 def op6_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     probed = read_audio(store_audio(table(spark, sf_dir, "documents")))
-    return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return probed.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "seconds", "seek_offsets", "seek_error")
