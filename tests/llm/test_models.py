@@ -171,4 +171,6 @@ def test_seek_tables_that_do_not_fit():
         broken = media[:at] + value + media[at + 2 :]
         p = mpeg_audio.probe_mpeg(broken)
         assert p["vbr"] is None and p["frames"] == 5 and p["seek"] == [] and p["seek_error"] is None
+    none = mpeg_audio.probe_mpeg(media[:54] + bytes(8) + media[62:])  # no entries, of no width
+    assert none["vbr"]["entries"] == [] and none["seek_error"] is None and none["frames"] == 4
     assert mpeg_audio.probe_mpeg(media[:1044])["seek_error"] is None  # no frame behind the table

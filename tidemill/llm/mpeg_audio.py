@@ -195,7 +195,7 @@ def rate_table(frame: bytes, at: int) -> dict | None:
         total, frames, n, scale, width, step = struct.unpack(">IIHHHH", frame[46:62])
         if n and (not 1 <= width <= 4 or not step) or len(frame) < 62 + n * width:
             return None
-        return {"kind": "VBRI", "frames": frames, "bytes": total, "entries": [scale * int.from_bytes(frame[k : k + width], "big") for k in range(62, 62 + n * width, width)], "step": step}
+        return {"kind": "VBRI", "frames": frames, "bytes": total, "entries": [scale * int.from_bytes(frame[62 + k * width : 62 + (k + 1) * width], "big") for k in range(n)], "step": step}
     return None
 
 
