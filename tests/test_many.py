@@ -80,3 +80,13 @@ def test_plain_texts_pass_by_the_translation(spark):
     assert tidy == ["a b", "a b", "a b"]
     plan = df.select(X.glyphs(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN RLIKE" in plan
+
+
+def test_files_of_a_stream_do_not_grow_with_the_input(spark, monkeypatch, tmp_path):
+    from tidemill.jobs import queries
+
+    monkeypatch.setattr(queries, "PART_ROWS", 100)
+    monkeypatch.setattr(queries, "folder", lambda spark, tag: str(tmp_path / tag))
+    path, most = queries._parts(spark, "", spark.range(2000).select(F.col("id").cast("string").alias("key")), "in")
+    files = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(files) == 2000 and max(files) < 300 and most < len(files) <= 2 * most
