@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidemill.llm import signature_tree
+from tidemill.llm import packing, signature_tree
 
 DOC = "doc_id long, text string, source string"
 
@@ -57,3 +57,11 @@ def test_candidates_grow_with_the_group_not_its_square(spark, monkeypatch):
                 low, high = sorted((best[i], best[j]))
                 best = [low if x == high else x for x in best]
     assert got == dict(enumerate(best)) and sum(made) < 10 * 210
+
+
+def test_packing_reads_words_with_the_signatures(spark):
+    texts = [None, "", " \t\r\n", "a", " a\x0bb ", "a b c", "one two three four five six", "\x1f \x0c x"]
+    rows = packing.with_clusters(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], DOC))
+    assert "split(" not in rows._jdf.queryExecution().toString()
+    got = {x["doc_id"]: (x["total"], x["exact"] is not None) for x in rows.collect()}
+    assert got == {0: (1, True), 1: (1, True), 2: (1, True), 3: (2, False), 4: (3, False), 5: (3, False), 6: (7, False), 7: (3, False)}

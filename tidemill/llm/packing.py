@@ -132,13 +132,13 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shard_rows: int = 4000
 
 def with_clusters(docs: DataFrame) -> DataFrame:
     """doc_id, source, total (words and an end) and cluster: the component of texts with similar sets of five-word shingles (0.8 or more)."""
-    found = jaccard_components(docs, width=5, percent=80)
-    found = stored(found.groupBy("doc_id").agg(F.min("component_id").alias("component")), "clusters")
-    total = F.size(words_of(F.col("text"))) + 1
     # texts without a word have no shingles: their copies meet by the text
-    exact = F.when(total == 1, F.concat(F.lit("text "), F.md5(F.coalesce("text", F.lit("")))))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", total.alias("total"), exact.alias("exact"))
-    return rows.join(found, "doc_id", "left").withColumn("cluster", F.coalesce("exact", F.col("component").cast("string")))
+    text = F.coalesce("text", F.lit(""))
+    exact = F.when(~text.rlike(r"[^\x20\x09-\x0D]"), F.concat(F.lit("text "), F.md5(text)))
+    found = jaccard_components(docs, width=5, percent=80, keep=[F.col("source").cast("string").alias("source"), exact.alias("exact")])
+    found = stored(found.select("doc_id", "source", (F.col("n_words") + 1).alias("total"), "exact", "component_id"), "clusters")
+    least = found.groupBy("doc_id").agg(F.min("component_id").alias("component"))
+    return found.drop("component_id").join(least, "doc_id", "left").withColumn("cluster", F.coalesce("exact", F.col("component").cast("string")))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
