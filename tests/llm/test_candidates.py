@@ -68,6 +68,7 @@ def test_packing_reads_words_with_the_signatures(spark):
 
 
 def test_near_misses_make_no_more_rows_than_entries(spark, monkeypatch):
+    monkeypatch.setattr(signature_tree, "DENSE", 1)
     r = random.Random(9)
     made, plain = [], signature_tree.traverse
 

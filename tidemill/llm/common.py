@@ -144,10 +144,29 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.n
         return mix(np.add.reduceat(each, firsts), sizes.astype(np.uint64))
 
 
+_BASE = int(_M1)
+#: Powers of an odd number and of its inverse, modulo 2 ** 64, for that many bytes.
+_RISING, _FALLING = [np.cumprod(np.full(1 << 19, x, np.uint64)) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+#: Longer words are hashed by span_hashes.
+_LONG_WORD = 256
+
+
 def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of many texts, text by text (A-Z count as a-z), and how many words each text has."""
+    """64-bit hashes of the words of many texts, text by text (A-Z count as a-z), and how many words each text has.
+
+    A word's hash is the polynomial of its bytes' numbers, a difference of running sums, mixed with its length.
+    """
     data, starts, sizes, n = word_spans(texts)
-    return span_hashes(data, starts, sizes), n
+    up, down = _RISING, _FALLING
+    if len(data) > len(up):
+        up, down = [np.cumprod(np.full(len(data), x[0], np.uint64)) for x in (up, down)]
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTES[data] * up[: len(data)], out=sums[1:])
+        h = mix((sums[starts + sizes] - sums[starts]) * down[starts], sizes.astype(np.uint64))
+    long = np.flatnonzero(sizes > _LONG_WORD)
+    h[long] = span_hashes(data, starts[long], sizes[long])
+    return h, n
 
 
 def columns(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
