@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from tidemill.llm import packing, signature_tree
+from tidemill.llm import common, packing, signature_tree
 
 DOC = "doc_id long, text string, source string"
 
@@ -68,7 +68,7 @@ def test_packing_reads_words_with_the_signatures(spark):
 
 
 def test_near_misses_make_no_more_rows_than_entries(spark, monkeypatch):
-    monkeypatch.setattr(signature_tree, "DENSE", 1)
+    monkeypatch.setattr(signature_tree, "DENSE", 1, raising=False)
     r = random.Random(9)
     made, plain = [], signature_tree.traverse
 
@@ -91,3 +91,26 @@ def test_near_misses_make_no_more_rows_than_entries(spark, monkeypatch):
     got = {x["doc_id"]: x["component_id"] for x in signature_tree.jaccard_components(docs).collect()}
     assert 20 < len(set(best)) < 150
     assert got == dict(enumerate(best)) and made and all(rows <= entries for rows, entries in made)
+
+
+def test_short_words_are_hashed_by_running_sums(monkeypatch):
+    sizes, plain = [], common.span_hashes
+    monkeypatch.setattr(common, "span_hashes", lambda d, s, n: sizes.extend(n.tolist()) or plain(d, s, n))
+    texts = ["a b", None, "ab ba b a", f"{'y' * 300} \u00e9 a", "", "z " * 400_000 + "b a \u00e9", f"B {'y' * 300}"]
+    h, n = common.hashed_words(texts)
+    words = [w for t in texts if t for w in t.lower().split()]
+    assert n.tolist() == [len((t or "").split()) for t in texts] and len(h) == len(words)
+    assert len(set(zip(words, h.tolist(), strict=True))) == len(set(words)) == len(set(h.tolist()))
+    assert set(sizes) == {300}
+
+
+def test_entries_meet_without_sorting_all(spark):
+    size = lambda n, rest: n * (1 << 31) + rest
+    rows = [(1, 1 << 32, i, size(100, 99), i) for i in (1, 2, 3)] + [(1, 1 << 32, 4, size(500, 499), 4), (2, 1 << 32, 1, size(100, 98), 1), (3, 2 << 32, 1, size(100, 97), 1)]
+    met = signature_tree.met_in_trees(spark.createDataFrame(rows, "token long, spot long, id long, sizes long, label long").repartition(3, "token", "spot"), 0, 85)
+    assert "Window" not in met._jdf.queryExecution().toString()
+    got = met.collect()
+    assert sorted((x["token"], x["id"], x["n"], x["rest"]) for x in got) == [(1, 1, 100, 99), (1, 2, 100, 99), (1, 3, 100, 99), (3, 1, 100, 97)]
+    first, *others = [x for x in got if x["token"] == 1]
+    assert first["prev"] is None and first["pivot"] is None and all(x["pivot"] == first["id"] for x in others)
+    assert [x["prev"] for x in others] == [first["id"], others[0]["id"]] and [x["head"] for x in got if x["token"] == 3] == [True]
